@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
 from tallyframe.operators.common import rank_in_group
+from tallyframe.session import cut_lineage
 
 AMOUNT_KEY = ("household_id", "cents")
 CELL = ("household_id", "cents", "account_id", "day", "sign")
@@ -223,10 +224,15 @@ def pairs_of(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return both.withColumn("transfer_group_key", group_key())
 
 
+def settled_cells(rows: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """Partner cells written once: pairing, grouping and reporting all read them."""
+    return cut_lineage(partner_cells(rows, tolerance))
+
+
 def pair_transfers(ledger: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
     """All pairs of a ledger: mutual best partners, then balanced groups."""
     rows = candidates(ledger)
-    return pairs_of(rows, partner_cells(rows, tolerance))
+    return pairs_of(rows, settled_cells(rows, tolerance))
 
 
 NO_CANDIDATE = "no candidate within the date tolerance"
@@ -269,8 +275,8 @@ def apply_pairing(ledger: DataFrame, tolerance: int = TOLERANCE_DAYS, domain: Co
     owned = inbound_domain() if domain is None else domain
     armed = rearm(ledger, owned)
     rows = candidates(armed)
-    cells = partner_cells(rows, tolerance)
-    status = candidate_status(rows, cells, pairs_of(rows, cells)).select(
+    cells = settled_cells(rows, tolerance)
+    status = candidate_status(rows, cells, cut_lineage(pairs_of(rows, cells))).select(
         "id", F.col("status").alias("_status"), F.col("transfer_group_key").alias("_key")
     )
     joined = armed.join(status, "id", "left")
