@@ -85,22 +85,45 @@ def join_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], da
     return rows.alias("r").join(intervals.alias("i"), condition).select("r.*", *values)
 
 
-def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", prefix: int = 6) -> DataFrame:
-    """1-based rank by a string column inside each group, without sorting a group in one task.
+def rank_in_group(
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", prefix: int = 6, weight: str | None = None
+) -> DataFrame:
+    """1-based position by a string column inside each group, without sorting a group in one task.
 
     Rows are bucketed by the first ``prefix`` characters, which keep the string order;
-    each bucket is ranked on its own and shifted by the sizes of the buckets before it.
+    each bucket is ordered on its own and shifted by the sizes of the buckets before it.
+    With ``weight`` a row takes that many places and gets the first of them.
     """
+    places = F.lit(1) if weight is None else F.col(weight)
     bucketed = df.withColumn("_b", F.substring(order, 1, prefix))
-    sizes = bucketed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    sizes = bucketed.groupBy(*keys, "_b").agg(F.sum(places).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
-    return (
-        bucketed.join(sizes, [*keys, "_b"])
-        .withColumn(name, F.col("_base") + F.row_number().over(inside))
-        .drop("_b", "_base")
-    )
+    before = F.row_number().over(inside) - 1
+    if weight is not None:
+        before = F.coalesce(F.sum(places).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bucketed.join(sizes, [*keys, "_b"]).withColumn(name, F.col("_base") + before + 1).drop("_b", "_base")
+
+
+COPY_CHUNK = 10_000
+
+
+def number_copies(df: DataFrame, keys: Sequence[str], digest: Column, name: str = "ordinal") -> DataFrame:
+    """0-based ordinal of each row inside its group, in digest order; equal rows count on.
+
+    Equal rows are folded into one row with a count before anything is ordered, and are
+    unfolded afterwards, so a group made of copies never sits in one task.
+    """
+    columns = df.columns
+    folded = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_digest", digest)
+    placed = rank_in_group(folded, keys, "_digest", name="_first", prefix=3, weight="_copies")
+    few = placed.where(F.col("_copies") <= COPY_CHUNK).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    chunks = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPY_CHUNK))
+    many = placed.where(F.col("_copies") > COPY_CHUNK).withColumn("_chunk", F.explode(chunks)).repartition(*keys, "_chunk")
+    low = F.col("_chunk") * COPY_CHUNK
+    many = many.withColumn("_i", F.explode(F.sequence(low, F.least(low + COPY_CHUNK, F.col("_copies")) - 1))).drop("_chunk")
+    return few.unionByName(many).select(*columns, (F.col("_first") - 1 + F.col("_i")).alias(name))
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
