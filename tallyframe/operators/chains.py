@@ -114,8 +114,8 @@ def intraday_chains(rows: DataFrame, keys: Sequence[str] = ACCOUNT_DAY, walk_in_
     rows = rows.where(F.col("running_balance").isNotNull())
     days = _day_shape(_value_degrees(rows, keys), keys)
     linked = (~F.col("forked")) & (F.col("terminals") == 1) & (F.col("heads") == 1)
-    # A loop needs two edges of its own beside the path.
-    needs_walk = linked & (F.col("edge_count") >= 3)
+    # A loop takes two edges; the path beside it may be a lone zero row without any.
+    needs_walk = linked & (F.col("edge_count") >= 2)
     days = days.withColumn("linked", linked).withColumn("needs_walk", needs_walk)
     small = days.where(F.col("needs_walk") & (F.col("edge_count") <= walk_in_row))
     ends = _walk_in_row(rows, small, keys)

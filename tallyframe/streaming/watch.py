@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.functions import predicates as P
@@ -26,13 +27,13 @@ EVENT_LOG_SHOWN = 25
 
 def statement_stream(spark: SparkSession, folder: str, layout: Layout, header: Sequence[str]) -> DataFrame:
     """Rows of statement files as they arrive; ``header`` is the column order of this folder's exports."""
-    names = [clean_name(h) for h in header]
-    schema = ", ".join(f"`{n}` string" for n in names)
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    named = {clean_name(h): h for h in header}
     # Every file is checked against the header, so a changed column order fails instead of shifting values.
     source = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).csv(folder)
     path = F.col("_metadata.file_path")
     wanted = [*layout.required, *layout.optional]
-    columns = [(F.col(w) if w in names else F.lit(None).cast("string")).alias(w) for w in wanted]
+    columns = [(F.col(f"`{named[w]}`") if w in named else F.lit(None).cast("string")).alias(w) for w in wanted]
     return source.select(
         *columns, F.col("_metadata.file_name").alias("source_document_name"), path.alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"),
