@@ -52,15 +52,27 @@ def net_flow() -> Column:
 
 
 def period_breakdown(ledger: DataFrame, periods: DataFrame) -> DataFrame:
-    """Flows per account and period; periods may split a month but not span two."""
-    days = day_breakdown(ledger).withColumn("_month", F.trunc("occurred_on", "month"))
-    slots = periods.select(*PERIOD_KEY, F.trunc("period_start", "month").alias("_month"))
-    hit = slots.join(days, [ACCOUNT, "_month"]).where(F.col("occurred_on").between(F.col("period_start"), F.col("period_end")))
-    sums = hit.groupBy(*PERIOD_KEY).agg(*[F.sum(f).cast("decimal(28,2)").alias(f) for f in FLOWS])
-    out = periods.join(sums, list(PERIOD_KEY), "left")
-    for f in FLOWS:
-        out = out.withColumn(f, F.coalesce(f, zero()))
-    return out.withColumn("net", net_flow())
+    """Flows per account and period; periods may split a month but not span two.
+
+    A month's days travel as one array of at most 31 entries, so every period needs a
+    single join and sums its own days in place.
+    """
+    days = day_breakdown(ledger)
+    months = days.groupBy(ACCOUNT, F.trunc("occurred_on", "month").alias("_month")).agg(
+        F.collect_list(F.struct("occurred_on", *FLOWS)).alias("_days")
+    )
+    joined = periods.withColumn("_month", F.trunc("period_start", "month")).join(months, [ACCOUNT, "_month"], "left")
+    inside = F.filter("_days", lambda d: d["occurred_on"].between(F.col("period_start"), F.col("period_end")))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.aggregate("_days", zero(), lambda acc, d: (acc + d[name]).cast("decimal(28,2)")), zero()).alias(name)
+
+    kept = [c for c in periods.columns]
+    return (
+        joined.withColumn("_days", inside)
+        .select(*kept, *[total(f) for f in FLOWS])
+        .withColumn("net", net_flow().cast("decimal(28,2)"))
+    )
 
 
 def months_in_range(keys: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -251,7 +263,11 @@ def reconcile(
     flows = period_breakdown(ledger, split)
 
     explicit = closings.select(ACCOUNT, F.col("as_of").alias("period_end"), F.col("balance").alias("_explicit"))
-    derived = statement_closings(split, ledger).withColumnsRenamed({"closing": "_derived", "closing_source": "_derived_source"})
+    # Only accounts that carry running balances can derive a closing from them.
+    carrying = per_account.where("has_running_balance").select(ACCOUNT)
+    derived = statement_closings(
+        split.where("has_running_balance"), ledger.join(carrying, ACCOUNT, "left_semi")
+    ).withColumnsRenamed({"closing": "_derived", "closing_source": "_derived_source"})
     notes = stored.select(*PERIOD_KEY, F.col("variance_explanation").alias("_note"))
     rows = (
         flows.join(explicit, [ACCOUNT, "period_end"], "left")

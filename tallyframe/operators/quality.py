@@ -108,13 +108,11 @@ def cross_file_duplicates(ledger: DataFrame) -> DataFrame:
 
 
 def duplicate_documents(ledger: DataFrame) -> DataFrame:
-    """The documents of each cross-file duplicate, listed in order."""
+    """The documents of each cross-file duplicate, one row per posting and document."""
     keys = [*HOUSEHOLD, "account_id", "occurred_on", "amount", "description_raw"]
-    names = ledger.select(*keys, "source_document_name").distinct()
-    listed = names.groupBy(*keys).agg(
-        F.count("*").alias("files"), F.expr("listagg(source_document_name, ',') WITHIN GROUP (ORDER BY source_document_name)").alias("documents")
-    )
-    return listed.where("files > 1")
+    named = ledger.groupBy(*keys, "source_document_name").agg(F.count("*").alias("copies"))
+    several = named.groupBy(*keys).agg(F.count("*").alias("files")).where("files > 1")
+    return named.join(several, keys)
 
 
 def _outside(df: DataFrame, vocabulary: dict[str, Sequence[str]], keys: Sequence[str]) -> DataFrame:

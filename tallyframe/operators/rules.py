@@ -189,11 +189,10 @@ def suggested_pattern() -> Column:
 
 
 def suggest(ledger: DataFrame, scope: Sequence[str] = ("household_id",)) -> DataFrame:
-    """Suggested patterns over the unclassified backlog, ranked by rows then amount."""
+    """Suggested patterns over the unclassified backlog, most rows then largest amount first."""
     grouped = (
         ledger.where(P.is_unclassified_backlog())
         .groupBy(*scope, suggested_pattern().alias("pattern"))
         .agg(F.count("*").alias("row_count"), F.sum(F.abs("amount")).alias("total"))
     )
-    ranked = Window.partitionBy(*scope).orderBy(F.col("row_count").desc(), F.col("total").desc(), "pattern")
-    return grouped.withColumn("position", F.row_number().over(ranked))
+    return grouped.orderBy(*scope, F.col("row_count").desc(), F.col("total").desc(), "pattern")

@@ -171,12 +171,10 @@ WITH b AS (
     WHERE primary_category = 'unclassified' AND direction <> 'transfer') x),
 g AS (SELECT household_id, regexp_replace(base, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') AS pattern, count(*) AS row_count, sum(abs(amount)) AS total
   FROM b GROUP BY 1, 2)
-SELECT household_id, pattern, row_count, CAST(total AS DOUBLE) AS total,
-  CAST(row_number() OVER (PARTITION BY household_id ORDER BY row_count DESC, total DESC, pattern) AS BIGINT) AS position FROM g
+SELECT household_id, pattern, row_count, CAST(total AS DOUBLE) AS total FROM g ORDER BY household_id, row_count DESC, g.total DESC, pattern
 """)
 def rule_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    out = rules.suggest(L.orders_ledger(spark, d))
-    return doubles(out, "total").withColumn("position", F.col("position").cast("bigint"))
+    return doubles(rules.suggest(L.orders_ledger(spark, d)), "total")
 
 
 @query("join1_overrides_at_ingest", "ol ov", """

@@ -52,12 +52,13 @@ def cross_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ver2_duplicate_documents", "ol", """
-SELECT account_id, occurred_on, description_raw, CAST(2 AS BIGINT) AS files, source_document_name || ',zz_again.csv' AS documents
-FROM ol WHERE n % 40 = 0 AND n % 120 <> 0
+SELECT account_id, occurred_on, description_raw, CAST(2 AS BIGINT) AS files, CAST(1 AS BIGINT) AS copies, f AS source_document_name
+FROM ol, (VALUES (0), (1)) v(i), LATERAL (SELECT CASE i WHEN 0 THEN source_document_name ELSE 'zz_again.csv' END AS f) x
+WHERE n % 40 = 0 AND n % 120 <> 0
 """)
 def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
     out = quality.duplicate_documents(doubled(spark, d))
-    return out.select("account_id", "occurred_on", "description_raw", "files", "documents")
+    return out.select("account_id", "occurred_on", "description_raw", "files", "copies", "source_document_name")
 
 
 @query("ver3_vocabulary", "ol", """

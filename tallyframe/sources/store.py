@@ -69,9 +69,10 @@ def write_months(rows: DataFrame, path: str) -> None:
     ``rows`` may read from ``path``: it is checkpointed before anything is overwritten.
     """
     settled = cut_lineage(rows.withColumn("month", S.month_label("occurred_on")))
-    settled.repartition("month", F.pmod(F.xxhash64("account_id"), F.lit(64))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("month").parquet(path)
+    # Rebalancing gathers small months and splits large ones by size, so no file count is guessed.
+    settled.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "month"
+    ).parquet(path)
 
 
 def merge_statement(target: str, source: str, columns: Sequence[str], keys: Sequence[str] = RECORD_KEY) -> str:
