@@ -95,7 +95,8 @@ def rank_in_group(
     With ``weight`` a row takes that many places and gets the first of them.
     """
     places = F.lit(1) if weight is None else F.col(weight)
-    bucketed = df.withColumn("_b", F.substring(order, 1, prefix))
+    # Never null, so the join below adds no filter and both its sides share one shuffle.
+    bucketed = df.withColumn("_b", F.coalesce(F.substring(order, 1, prefix), F.lit("")))
     sizes = bucketed.groupBy(*keys, "_b").agg(F.sum(places).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
@@ -118,12 +119,12 @@ def number_copies(df: DataFrame, keys: Sequence[str], digest: Column, name: str
     columns = df.columns
     folded = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_digest", digest)
     placed = rank_in_group(folded, keys, "_digest", name="_first", prefix=3, weight="_copies")
-    few = placed.where(F.col("_copies") <= COPY_CHUNK).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    chunks = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPY_CHUNK))
-    many = placed.where(F.col("_copies") > COPY_CHUNK).withColumn("_chunk", F.explode(chunks)).repartition(*keys, "_chunk")
+    # Many copies unfold in chunks, and chunks are spread by size before they unfold.
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPY_CHUNK))
+    spread = placed.withColumn("_chunk", F.explode(chunks)).hint("rebalance")
     low = F.col("_chunk") * COPY_CHUNK
-    many = many.withColumn("_i", F.explode(F.sequence(low, F.least(low + COPY_CHUNK, F.col("_copies")) - 1))).drop("_chunk")
-    return few.unionByName(many).select(*columns, (F.col("_first") - 1 + F.col("_i")).alias(name))
+    places = F.sequence(low, F.least(low + COPY_CHUNK, F.col("_copies")) - 1)
+    return spread.withColumn("_i", F.explode(places)).select(*columns, (F.col("_first") - 1 + F.col("_i")).alias(name))
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyframe.operators import balances, maintenance, quality, summaries, tran
 from tallyframe.operators import overrides as O
 from tallyframe.plans import verify
 from tallyframe.plans.catalog import classification as C
-from tallyframe.plans.catalog.balances import CHAIN_SQL, RECON_SQL, chain_rows, reconciled
+from tallyframe.plans.catalog.balances import CHAIN_SQL, RECON_SQL, reconciled
 from tallyframe.plans.catalog.summaries import DEBT_SQL, _debt, stored_openings
 from tallyframe.plans.catalog.transfers import PAIR_SQL
 from tallyframe.plans.registry import query

@@ -102,8 +102,8 @@ def _joined_description() -> Column:
     return F.regexp_replace(joined, r"^[ |]+|[ |]+$", "")
 
 
-def _with_balance(description: str) -> list[Column]:
-    return [S.collapse(text(description)), S.money(text("balance"))]
+def _with_balance() -> list[Column]:
+    return [S.collapse("_description"), S.money(text("balance"))]
 
 
 # Header names, accounts, transfer descriptions and date forms per export.
@@ -116,9 +116,9 @@ CARD_A = Layout(
     account=Account("acct-chase-credit-card", "Chase", "Chase Credit Card", "credit_card"),
     skip=lambda: _first_reason((text("transaction_date") == "", "pending")),
     error=lambda: _first_reason(
-        (S.us_date(text("transaction_date"), True).isNull(), "unparseable transaction date"),
-        (text("description") == "", "description is empty"),
-        (S.money(text("amount")).isNull(), "amount is empty or unparseable"),
+        (F.col("_day").isNull(), "unparseable transaction date"),
+        (F.col("_description") == "", "description is empty"),
+        (F.col("_amount").isNull(), "amount is empty or unparseable"),
     ),
     occurred_on=lambda: S.us_date(text("transaction_date"), True),
     posted_on=lambda: S.us_date(text("post_date"), True),
@@ -127,7 +127,7 @@ CARD_A = Layout(
     direction=lambda amount, _, __: F.when(F.lower(text("type")) == "payment", "transfer")
     .when(amount < 0, "outflow")
     .otherwise("inflow"),
-    key=lambda: [S.collapse(text("description"))],
+    key=lambda: [S.collapse("_description")],
     metadata={"chase_category": lambda: text("category"), "chase_type": lambda: text("type"), "memo": lambda: text("memo")},
     numbered=True,
 )
@@ -141,9 +141,9 @@ CHECKING_A = Layout(
     account_id=lambda: F.concat(F.lit("acct-beacon-"), F.lower(text("account"))),
     skip=lambda: _first_reason((text("posted_date") == "", "pending")),
     error=lambda: _first_reason(
-        (S.iso_date(text("posted_date")).isNull(), "unparseable posted date"),
-        (text("raw_description") == "", "raw description is empty"),
-        (S.money(text("amount")).isNull(), "amount is empty or unparseable"),
+        (F.col("_day").isNull(), "unparseable posted date"),
+        (F.col("_description") == "", "raw description is empty"),
+        (F.col("_amount").isNull(), "amount is empty or unparseable"),
         (text("account") == "", "account is empty"),
         (S.money(text("balance")).isNull(), "balance is empty or unparseable"),
     ),
@@ -152,7 +152,7 @@ CHECKING_A = Layout(
     description=lambda: text("raw_description"),
     amount=lambda: S.money(text("amount")),
     direction=direction_of,
-    key=lambda: _with_balance("raw_description"),
+    key=_with_balance,
     metadata={
         "beacon_type": lambda: text("type"),
         "short_description": lambda: text("description"),
@@ -176,17 +176,17 @@ SAVINGS_A = Layout(
     account=Account("acct-ally-hysa", "Ally", "Ally HYSA", "savings"),
     skip=lambda: _first_reason((text("date") == "", "missing_date")),
     error=lambda: _first_reason(
-        (_iso_or_us("date").isNull(), "unparseable date"),
+        (F.col("_day").isNull(), "unparseable date"),
         (S.clock_time(text("time")).isNull(), "unparseable time"),
-        (text("description") == "", "description is empty"),
-        (S.money(text("amount")).isNull(), "amount is empty or unparseable"),
+        (F.col("_description") == "", "description is empty"),
+        (F.col("_amount").isNull(), "amount is empty or unparseable"),
     ),
     occurred_on=lambda: _iso_or_us("date"),
     posted_on=lambda: _iso_or_us("date"),
     description=lambda: text("description"),
     amount=lambda: S.money(text("amount")),
     direction=direction_of,
-    key=lambda: [S.collapse(text("description"))],
+    key=lambda: [S.collapse("_description")],
     metadata={"ally_type": lambda: text("type"), "occurred_at_time": lambda: S.clock_time(text("time"))},
     transfer_patterns=(
         r"requested\s+transfer\s+from\b",
@@ -204,9 +204,9 @@ CHECKING_B = Layout(
     account=Account("acct-webster-checking", "Webster", "Webster checking", "checking"),
     skip=lambda: _first_reason((text("date") == "", "missing_date")),
     error=lambda: _first_reason(
-        (_iso_or_us("date").isNull(), "unparseable date"),
-        (text("description") == "", "description is empty"),
-        (_one_side().isNull(), "debit and credit are both empty or unparseable"),
+        (F.col("_day").isNull(), "unparseable date"),
+        (F.col("_description") == "", "description is empty"),
+        (F.col("_amount").isNull(), "debit and credit are both empty or unparseable"),
         (S.money(text("balance")).isNull(), "balance is empty or unparseable"),
     ),
     occurred_on=lambda: _iso_or_us("date"),
@@ -214,7 +214,7 @@ CHECKING_B = Layout(
     description=lambda: text("description"),
     amount=_one_side,
     direction=direction_of,
-    key=lambda: _with_balance("description"),
+    key=_with_balance,
     metadata={
         "webster_type": lambda: text("type"),
         "reference_no": lambda: text("referenceno"),
@@ -232,8 +232,8 @@ CARD_B = Layout(
     account=Account("acct-citi-credit-card", "Citi", "Citi Credit Card", "credit_card"),
     skip=lambda: _first_reason((~F.lower(text("status")).isin("cleared", "posted") | (text("date") == ""), "pending")),
     error=lambda: _first_reason(
-        (_iso_or_us("date", True).isNull(), "unparseable date"),
-        (text("description") == "", "description is empty"),
+        (F.col("_day").isNull(), "unparseable date"),
+        (F.col("_description") == "", "description is empty"),
         (S.money(text("debit")).isNull() & S.money(text("credit")).isNull(), "both debit and credit are empty or unparseable"),
         (S.money(text("debit")).isNotNull() & S.money(text("credit")).isNotNull(), "both debit and credit are populated"),
     ),
@@ -242,7 +242,7 @@ CARD_B = Layout(
     description=lambda: text("description"),
     amount=_card_side,
     direction=_card_direction,
-    key=lambda: [S.collapse(text("description"))],
+    key=lambda: [S.collapse("_description")],
     metadata={
         "citi_status": lambda: text("status"),
         "citi_debit_raw": lambda: text("debit"),
@@ -260,9 +260,9 @@ SAVINGS_B = Layout(
     account=Account("acct-selfhelp-savings", "Self-Help", "Self-Help savings", "savings"),
     skip=lambda: _first_reason((text("date") == "", "missing_date")),
     error=lambda: _first_reason(
-        (_iso_or_us("date").isNull(), "unparseable date"),
-        (_joined_description() == "", "row has neither a description nor an ext value"),
-        (S.money(text("amount")).isNull(), "amount is empty or unparseable"),
+        (F.col("_day").isNull(), "unparseable date"),
+        (F.col("_description") == "", "row has neither a description nor an ext value"),
+        (F.col("_amount").isNull(), "amount is empty or unparseable"),
         (S.money(text("balance")).isNull(), "balance is empty or unparseable"),
     ),
     occurred_on=lambda: _iso_or_us("date"),
@@ -302,15 +302,23 @@ def parse(raw: DataFrame, layout: Layout, *, extra_patterns: Sequence[str] = (),
     used = ["source_document_name", *layout.required, *layout.optional]
     if "household_id" in raw.columns:
         used.append("household_id")
-    amount, description = layout.amount(), layout.description()
-    head = [layout.occurred_on(), amount]
+    # Texts are read once; everything after works on the typed columns.
+    rows = raw.select(
+        *used,
+        layout.occurred_on().alias("_day"),
+        layout.posted_on().alias("_posted"),
+        layout.description().alias("_description"),
+        layout.amount().alias("_amount"),
+        layout.skip().alias("_skip"),
+    )
+    rows = rows.withColumn("_error", F.when(F.col("_skip").isNull(), layout.error()))
+    status = F.when(F.col("_skip").isNotNull(), "skipped").when(F.col("_error").isNotNull(), "error").otherwise("parsed")
+    head = [F.col("_day"), F.col("_amount")]
     if "time" in layout.extra:
-        head = [layout.occurred_on(), S.clock_time(text("time")), amount]
-    status = F.when(layout.skip().isNotNull(), "skipped").when(layout.error().isNotNull(), "error").otherwise("parsed")
-    rows = raw.select(*used).withColumn("row_status", status)
-    rows = rows.withColumn(
-        "row_reason", F.when(F.col("row_status") == "skipped", layout.skip()).when(F.col("row_status") == "error", layout.error())
-    ).withColumn("_payload", F.concat_ws("|", *[c.cast("string") for c in (*head, *layout.key())]))
+        head.insert(1, S.clock_time(text("time")))
+    payload = F.concat_ws("|", *[c.cast("string") for c in (*head, *layout.key())])
+    rows = rows.select("*", status.alias("row_status"), F.coalesce("_skip", "_error").alias("row_reason"), payload.alias("_payload"))
+    amount, description = F.col("_amount"), F.col("_description")
     if layout.numbered:
         scope = ["source_document_name", "_payload", "row_status"]
         whole = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in used]), 256)
@@ -336,8 +344,8 @@ def parse(raw: DataFrame, layout: Layout, *, extra_patterns: Sequence[str] = (),
         when_parsed(account).alias("account_id"),
         when_parsed(F.substring(F.sha2(payload, 256), 1, 16)).alias("source_record_key"),
         "source_document_name",
-        when_parsed(layout.occurred_on()).alias("occurred_on"),
-        when_parsed(layout.posted_on()).alias("posted_on"),
+        when_parsed(F.col("_day")).alias("occurred_on"),
+        when_parsed(F.col("_posted")).alias("posted_on"),
         when_parsed(description).alias("description_raw"),
         F.lit(None).cast("string").alias("merchant_normalized"),
         when_parsed(S.signed_amount(amount, direction).cast(S.MONEY)).alias("amount"),
