@@ -17,6 +17,11 @@ AUDIT_WINDOW_DAYS = 183
 AUDIT_ROWS = 100
 
 
+def mean(total: Column, count: Column) -> Column:
+    """``total / count`` to the cent, half up, divided as decimals."""
+    return F.round(total / count, 2).cast("double")
+
+
 def kpis(months: DataFrame, scope: Sequence[str] = HOUSEHOLD) -> DataFrame:
     """Totals and averages over the months shown."""
     return months.groupBy(*scope).agg(
@@ -24,8 +29,8 @@ def kpis(months: DataFrame, scope: Sequence[str] = HOUSEHOLD) -> DataFrame:
         F.sum("inflow").alias("total_inflow"),
         F.sum("outflow").alias("total_outflow"),
         (F.sum("inflow") - F.sum("outflow")).alias("net"),
-        F.round(F.sum("inflow").cast("double") / F.count("*"), 2).alias("avg_inflow"),
-        F.round(F.sum("outflow").cast("double") / F.count("*"), 2).alias("avg_outflow"),
+        mean(F.sum("inflow"), F.count("*")).alias("avg_inflow"),
+        mean(F.sum("outflow"), F.count("*")).alias("avg_outflow"),
     )
 
 
@@ -69,9 +74,9 @@ def subscription_audit(ledger: DataFrame, scope: Sequence[str] = HOUSEHOLD, limi
         F.sum(F.abs("amount")).alias("total_amount"),
         F.max("occurred_on").alias("last_charged_on"),
     )
-    total = F.col("total_amount").cast("double")
-    measured = grouped.withColumn("avg_amount", F.round(total / F.col("charge_count"), 2)).withColumn(
-        "monthly_burn", F.round(total / F.col("month_count"), 2)
+    total = F.col("total_amount")
+    measured = grouped.withColumn("avg_amount", mean(total, F.col("charge_count"))).withColumn(
+        "monthly_burn", mean(total, F.col("month_count"))
     )
     ranked = Window.partitionBy(*scope).orderBy(
         F.col("monthly_burn").desc(), "merchant", "subcategory", F.col("household_role").asc_nulls_first()
@@ -89,7 +94,7 @@ def leakage_burn(ledger: DataFrame, caps: DataFrame, scope: Sequence[str] = HOUS
         .groupBy(*scope, "primary_category", S.month_label("occurred_on").alias("m"))
         .agg(F.sum(F.abs("amount")).alias("total"))
     )
-    average = F.round(F.sum("total").cast("double") / F.count("*"), 2)
+    average = mean(F.sum("total"), F.count("*"))
     burn = monthly.groupBy(*scope, F.col("primary_category").alias("category_key")).agg(average.alias("monthly_burn"))
     cap = F.coalesce(F.col("monthly_cap").cast("double"), F.lit(0.0))
     return (
@@ -141,7 +146,7 @@ def feasibility(months: DataFrame, goal: DataFrame, leakage: DataFrame, as_of: d
     ``goal`` carries the scope and ``gate_date`` (no row: no line; null date: not reachable).
     """
     net = months.groupBy(*scope).agg(
-        F.round((F.sum("inflow") - F.sum("outflow")).cast("double") / F.count("*"), 2).alias("avg_net")
+        mean(F.sum("inflow") - F.sum("outflow"), F.count("*")).alias("avg_net")
     )
     over = leakage.groupBy(*scope).agg(F.round(F.sum(F.greatest(F.col("over_by"), F.lit(0.0))), 2).alias("total_overage"))
     line = goal.select(*scope, "gate_date", F.lit(True).alias("_has_line"))

@@ -20,6 +20,11 @@ cf AS (
   FROM ol GROUP BY 1, 2)"""
 
 
+def mean_sql(total: str, count: str) -> str:
+    """``total / count`` to the cent, half away from zero, in whole cents."""
+    return f"CAST(sign({total}) * ((CAST(abs({total}) * 100 AS HUGEINT) * 2 + {count}) // (2 * {count})) AS DOUBLE) / 100"
+
+
 def _months(spark: SparkSession, d: str) -> DataFrame:
     return summaries.monthly_cashflow(L.orders_ledger(spark, d, describe=False))
 
@@ -27,8 +32,8 @@ def _months(spark: SparkSession, d: str) -> DataFrame:
 @query("agg18_dashboard_kpis", "ol", f"""
 WITH {CF_SQL}
 SELECT household_id, count(*) AS month_count, CAST(sum(inflow) AS DOUBLE) AS total_inflow, CAST(sum(outflow) AS DOUBLE) AS total_outflow,
-  CAST(sum(inflow) - sum(outflow) AS DOUBLE) AS net, round(CAST(sum(inflow) AS DOUBLE) / count(*), 2) AS avg_inflow,
-  round(CAST(sum(outflow) AS DOUBLE) / count(*), 2) AS avg_outflow
+  CAST(sum(inflow) - sum(outflow) AS DOUBLE) AS net, {mean_sql("sum(inflow)", "count(*)")} AS avg_inflow,
+  {mean_sql("sum(outflow)", "count(*)")} AS avg_outflow
 FROM cf GROUP BY 1
 """)
 def kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +84,7 @@ WITH g AS (
   FROM ol WHERE direction = 'outflow' AND primary_category = 'fixed_obligation'
     AND subcategory IN ('subscriptions_apps', 'streaming') GROUP BY ALL),
 r AS (
-  SELECT *, round(CAST(total AS DOUBLE) / charge_count, 2) AS avg_amount, round(CAST(total AS DOUBLE) / month_count, 2) AS monthly_burn FROM g),
+  SELECT *, """ + mean_sql("total", "charge_count") + " AS avg_amount, " + mean_sql("total", "month_count") + """ AS monthly_burn FROM g),
 p AS (SELECT *, row_number() OVER (PARTITION BY household_id
     ORDER BY monthly_burn DESC, merchant, subcategory, household_role NULLS FIRST) AS position FROM r)
 SELECT household_id, merchant, subcategory, household_role, charge_count, month_count, CAST(total AS DOUBLE) AS total_amount,
@@ -104,7 +109,7 @@ def leakage_caps(spark: SparkSession, d: str) -> DataFrame:
     ).select("household_id", "c.*")
 
 
-LEAK_SQL = """
+LEAK_SQL = f"""
 caps AS (
   SELECT 'hh-' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS household_id, k AS category_key, nm AS name, CAST(c AS DOUBLE) AS monthly_cap
   FROM nation, (VALUES ('medical', 'Medical', 200000), ('abnormal', 'Abnormal', 250000), ('dining', 'Dining', 100)) v(k, nm, c)),
@@ -112,7 +117,7 @@ lk_m AS (
   SELECT household_id, primary_category, strftime(occurred_on, '%Y-%m') AS m, sum(abs(amount)) AS total
   FROM ol WHERE direction = 'outflow' GROUP BY 1, 2, 3),
 leak AS (
-  SELECT caps.*, coalesce((SELECT round(CAST(sum(total) AS DOUBLE) / count(*), 2) FROM lk_m
+  SELECT caps.*, coalesce((SELECT {mean_sql("sum(total)", "count(*)")} FROM lk_m
     WHERE lk_m.household_id = caps.household_id AND primary_category = category_key), 0.0) AS monthly_burn
   FROM caps)"""
 
@@ -178,7 +183,7 @@ def goal_line(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sum5_feasibility", "ol ac ga", f"""
 WITH {CF_SQL}, {LEAK_SQL}, {POINTS_SQL},
-net AS (SELECT household_id, round(CAST(sum(inflow) - sum(outflow) AS DOUBLE) / count(*), 2) AS avg_net FROM cf GROUP BY 1),
+net AS (SELECT household_id, {mean_sql("(sum(inflow) - sum(outflow))", "count(*)")} AS avg_net FROM cf GROUP BY 1),
 ov AS (SELECT household_id, round(sum(greatest(round(monthly_burn - monthly_cap, 2), 0.0)), 2) AS total_overage FROM leak GROUP BY 1),
 gl AS (SELECT ga.household_id, gate_date FROM ga JOIN line ON line.account_id = ga.account_id),
 j AS (
