@@ -714,11 +714,12 @@ def _small(table: DataFrame) -> list[Row]:
 
 def disposition_metrics(ledger: DataFrame, unpaired: DataFrame) -> DataFrame:
     """Transfer groups, grouped rows and unpaired rows by disposition, per household."""
+    names = ("groups", "grouped_rows", "unpaired_rows", "balanced_cluster", "orphan")
     grouped = ledger.groupBy(*HOUSEHOLD).agg(
         F.count_distinct("transfer_group_key").alias("groups"), F.count("transfer_group_key").alias("grouped_rows")
     )
     loose = unpaired.groupBy(*HOUSEHOLD).agg(
         F.count("*").alias("unpaired_rows"), F.count_if("in_cluster").alias("balanced_cluster"), F.count_if(~F.col("in_cluster")).alias("orphan")
     )
-    zeros = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("unpaired_rows", "balanced_cluster", "orphan")}
-    return grouped.join(loose, list(HOUSEHOLD), "left").withColumns(zeros)
+    both = grouped.unionByName(loose, allowMissingColumns=True)
+    return both.groupBy(*HOUSEHOLD).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
