@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import mixing, packing, sequences, urls, warc
+from tallyframe.llm import langid, mixing, packing, sequences, urls, warc
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,5 +32,9 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op3_sequences, op5_packing, op6_urls, op8_mix)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op3_sequences, op5_packing, op6_urls, op8_mix, op9_language)}
 ORACLES: dict[str, str] = {}
