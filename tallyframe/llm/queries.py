@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import langid, mixing, packing, sequences, urls, warc
+from tallyframe.llm import langid, mixing, neardup, packing, sequences, urls, warc
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op3_sequences, op5_packing, op6_urls, op8_mix, op9_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op3_sequences, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language)}
 ORACLES: dict[str, str] = {}
