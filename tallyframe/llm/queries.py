@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, mixing, neardup, packing, sequences, urls, warc
+from tallyframe.llm import langid, mixing, mtree, neardup, packing, sequences, syncmers, urls, warc
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,5 +49,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op3_sequences, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language)}
 ORACLES: dict[str, str] = {}
