@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, mixing, mtree, neardup, packing, sequences, syncmers, urls, warc
+from tallyframe.llm import langid, mixing, mtree, neardup, packing, repeats, sequences, syncmers, urls, warc
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,5 +49,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language, op10_repeats)}
 ORACLES: dict[str, str] = {}
