@@ -1,15 +1,36 @@
-"""The corpus pipeline: language ID, near duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: language, near duplicates, repeated passages, mixing, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept. All but
+the last return the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables
+behave as each operator's docstring says; columns beyond those of ``documents`` are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import mixing, packing
+from tallyframe.llm import langid, mixing, neardup, packing, repeats
 from tallyframe.llm.common import settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those in which no language holds half of the letters."""
+    return langid.keep_known(docs.select(*COLUMNS))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a similarity of 0.85 or more, the one with the smallest id stays."""
+    return neardup.one_of_each(docs.select(*COLUMNS))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 bytes or more that an earlier document holds; ``n_chars`` follows the text."""
+    return repeats.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed(docs.select(*COLUMNS))
@@ -20,9 +41,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("cut_repeats", cut_repeats),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
-#: Language models and packing have no SQL form.
+#: Language models, sketches, suffix sorting and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
