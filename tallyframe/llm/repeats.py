@@ -275,9 +275,9 @@ def _kept(data: bytes, covered: list) -> bytes:
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    gathered = ranges.groupBy("row").agg(F.collect_set(F.struct("at", "upto")).alias("ranges"))
+    gathered = ranges.groupBy(F.col("row").alias("_of")).agg(F.collect_set(F.struct("at", "upto")).alias("_ranges"))
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(gathered, keyed["_row"] == gathered["row"], "left").drop("row", "_row")
+    return keyed.join(gathered, F.col("_row") == F.col("_of"), "left").drop("_of", "_row")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, ranges in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["ranges"]):
+            for doc_id, text, ranges in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["_ranges"]):
                 data, covered = (text or "").encode("utf-8", "surrogatepass"), _covered(ranges)
                 rows.append((doc_id, len(data), sum(b - a for a, b in covered), len(covered), hashlib.sha256(_kept(data, covered)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
@@ -304,4 +304,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pd.Series([None if t is None else _kept(t.encode(), _covered(r)).decode(errors="ignore") for t, r in zip(text, ranges)], dtype=object)
 
     rows = _with_ranges(docs, removed_strings(docs))
-    return rows.withColumn("text", cut("text", "ranges")).drop("ranges")
+    return rows.withColumn("text", cut("text", "_ranges")).drop("_ranges")
