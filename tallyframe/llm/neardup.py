@@ -271,7 +271,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = grouped(dealt.join(classes, "id").select("key", "i", "j", "id", "block", "n", "sketch"))
     near = settle(rows.mapInPandas(_by_group(GROUP, _screen), kind), "near-candidates")
     wanted = near.select("id").distinct()
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     sets = settle(texts.mapInPandas(_hashing, "id long, hashes binary"), "near-sets")
     full = grouped(near.join(sets, "id").select(*near.columns, "hashes"))
     return settle(full.mapInPandas(_by_group(GROUP, _confirm), "a long, b long").distinct(), "near-links")
