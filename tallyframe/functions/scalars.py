@@ -169,9 +169,15 @@ def merchant_key(merchant: Column | str = "merchant_normalized", description: Co
     return F.coalesce(F.lower(named), normalize_merchant(description))
 
 
+def title_case(text: Column) -> Column:
+    """The first letter of every run of letters upper, the others lower: ``o'neil 7-eleven`` is ``O'Neil 7-Eleven``."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def merchant_name(merchant: Column | str = "merchant_normalized", description: Column | str = "description_raw") -> Column:
     named = F.nullif(F.trim(_c(merchant)), F.lit(""))
-    return F.coalesce(named, F.initcap(normalize_merchant(description)))
+    return F.coalesce(named, title_case(normalize_merchant(description)))
 
 
 def account_label(institution: Column | str = "institution", name: Column | str = "account_name") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,22 +108,51 @@ READ_PREFIXES = ("select", "with")
 WRITE_MARKS = ("Insert", "Command", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Overwrite", "Append", "Write", "Replace", "Cache", "Refresh")
 
 
-def _plan_nodes(plan) -> list[str]:
-    names = [plan.getClass().getSimpleName()]
-    for group in (plan.children(), plan.innerChildren()):
-        for i in range(group.size()):
-            child = group.apply(i)
-            if hasattr(child, "children"):
-                names += _plan_nodes(child)
-    return names
+# Functions that call into the JVM or read files.
+UNSAFE_FUNCTIONS = ("reflect", "java_method", "try_reflect", "read_files", "input_file_name")
+
+
+def _parts(names) -> list[str]:
+    return [names.apply(i) for i in range(names.size())]
+
+
+def _plan_nodes(gateway, node) -> list:
+    """A parsed plan's nodes and expressions, those of subqueries and named queries too."""
+
+    def is_a(x, name: str) -> bool:
+        return is_instance_of(gateway, x, f"org.apache.spark.sql.catalyst.{name}")
+
+    groups = [node.children(), node.innerChildren()]
+    if is_a(node, "plans.logical.LogicalPlan"):
+        groups.append(node.expressions())
+    inside = [g.apply(i) for g in groups for i in range(g.size())]
+    if is_a(node, "expressions.PlanExpression"):
+        inside.append(node.plan())
+    return [node, *[x for child in inside if is_a(child, "trees.TreeNode") for x in _plan_nodes(gateway, child)]]
+
+
+def _refused(spark: SparkSession, plan) -> list[str]:
+    out = set()
+    for node in _plan_nodes(spark.sparkContext._gateway, plan):
+        kind = node.getClass().getSimpleName()
+        if any(mark in kind for mark in WRITE_MARKS):
+            out.add(kind)
+        if kind == "UnresolvedFunction" and _parts(node.nameParts())[-1].lower() in UNSAFE_FUNCTIONS:
+            out.add(_parts(node.nameParts())[-1].lower())
+        if kind == "UnresolvedRelation":
+            name = _parts(node.multipartIdentifier())
+            if len(name) > 1 and not spark.catalog.databaseExists(name[-2]):
+                out.add(".".join(name))
+    return sorted(out)
 
 
 def read_only_sql(spark: SparkSession, text: str, args: Sequence[object] = ()) -> DataFrame:
-    """Run a SELECT or WITH query with positional parameters; anything that writes is refused before it runs."""
+    """Run a SELECT or WITH query with positional parameters; anything that writes,
+    calls into the JVM or reads a path instead of a registered table is refused before it runs."""
     if not text.lstrip().lower().startswith(READ_PREFIXES):
         raise ValueError("only SELECT and WITH queries are allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    bad = sorted({n for n in _plan_nodes(plan) if any(mark in n for mark in WRITE_MARKS)})
+    bad = _refused(spark, plan)
     if bad:
         raise ValueError(f"query is not read-only: {', '.join(bad)}")
     return spark.sql(text, args=list(args)) if args else spark.sql(text)

@@ -90,18 +90,15 @@ def cross_file_duplicates(ledger: DataFrame) -> DataFrame:
     """Equal postings from several files fail; repeats inside one file are genuine."""
     keys = [*HOUSEHOLD, "account_id", "occurred_on", "amount", "description_raw"]
     groups = (
-        ledger.groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            F.min("source_document_name").alias("first_file"),
-            F.max("source_document_name").alias("last_file"),
-            F.count_distinct("source_document_name").alias("files"),
-        )
+        ledger.groupBy(*keys, "source_document_name")
+        .agg(F.count("*").alias("copies"))
+        .groupBy(*keys)
+        .agg(F.sum("copies").alias("n"), F.array_sort(F.collect_list("source_document_name")).alias("files"))
         .where("n > 1")
     )
     subject = F.concat_ws("|", "account_id", "occurred_on", "description_raw")
-    crossed = F.col("files") > 1
-    problem = F.when(crossed, F.concat(F.lit("in "), F.col("files").cast("string"), F.lit(" files: "), "first_file", F.lit(" .. "), "last_file")).otherwise(
+    crossed = F.size("files") > 1
+    problem = F.when(crossed, F.concat(F.lit("in "), F.size("files").cast("string"), F.lit(" files: "), F.array_join("files", ", "))).otherwise(
         "repeated inside one file"
     )
     return findings(groups, "cross_file_duplicates", F.when(crossed, "fail").otherwise("info"), subject, problem, F.col("n"), F.col("amount"))
@@ -297,14 +294,14 @@ def dated_files(ledger: DataFrame, limits: DataFrame, life_files: Sequence[str]
     """Dated monthly files of the watched accounts, with their last row."""
     month = F.regexp_extract("source_document_name", DATED_FILE, 1)
     files = ledger.groupBy(*HOUSEHOLD, "source_document_name", "account_id").agg(F.max("occurred_on").alias("last_row"), F.count("*").alias("n"))
-    files = files.withColumn("month", month).where("month <> ''").join(limits, "account_id")
+    files = files.withColumn("month", month).where("month <> ''").join(limits.select("account_id", "days"), "account_id")
     return files.where(~F.col("source_document_name").isin(*life_files)) if life_files else files
 
 
 def tail_gap(ledger: DataFrame, limits: DataFrame, months: DataFrame, life_files: Sequence[str] = ()) -> DataFrame:
     """Dated files that stop too long before their month end, and watched accounts silent in the as-of month.
 
-    ``limits(account_id, days)``.
+    ``limits(household_id, account_id, days)``; an account without any row is silent too.
     """
     end = F.last_day(F.to_date(F.concat(F.col("month"), F.lit("-01"))))
     gap = F.datediff(end, "last_row")
@@ -314,8 +311,7 @@ def tail_gap(ledger: DataFrame, limits: DataFrame, months: DataFrame, life_files
     problem = F.concat(F.lit("last row "), F.col("gap").cast("string"), F.lit(" days before the month end"))
     out = findings(short, "tail_gap", "warn", subject, problem, F.col("n"))
     active = ledger.select(*HOUSEHOLD, "account_id", S.month_label("occurred_on").alias("as_of_month")).distinct()
-    owners = ledger.select(*HOUSEHOLD, "account_id").distinct()
-    watched = limits.join(owners, "account_id").join(months, list(HOUSEHOLD)).select(*HOUSEHOLD, "account_id", "as_of_month")
+    watched = limits.join(months, list(HOUSEHOLD)).select(*HOUSEHOLD, "account_id", "as_of_month")
     silent = watched.join(active, [*HOUSEHOLD, "account_id", "as_of_month"], "left_anti")
     return out.unionByName(findings(silent, "tail_gap", "warn", F.col("account_id"), "no rows in the as-of month", 0))
 

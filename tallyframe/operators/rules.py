@@ -20,7 +20,7 @@ RULES_PER_BLOCK = 200
 SEED_RULES = (
     ("rule-transfer-catchall", ".+", None, "transfer", "transfer", None, None, None, None, "high", 900),
     ("rule-interest-paid", "(?i)interest paid", None, None, "income", "interest", None, None, "recurring", "high", 10),
-    ("rule-payroll", "(?i)novartis.*payroll|payroll.*novartis", None, None, "income", "payroll", "Novartis Payroll", None, "recurring", "high", 10),
+    ("rule-payroll", r"(?i)\bpayroll\b", None, None, "income", "payroll", "Payroll", None, "recurring", "high", 10),
     ("rule-mobile-check-dep", "(?i)mobile check dep", None, "inflow", "income", "check_deposit", "Mobile Check Deposit", None, "one_time", "high", 10),
     ("rule-fidelity-moneyline", "(?i)fid bkg svc llc moneyline", None, None, "income", "rsu_proceeds", "Fidelity MoneyLine", None, "one_time", "high", 15),
     ("rule-amazon", r"(?i)\bamazon\b|\bamzn\b", None, None, "variable_lifestyle", "amazon", "Amazon", None, "recurring", "high", 20),

@@ -54,7 +54,7 @@ def _annualized(to_date: Column) -> Column:
     return F.round(to_date * 12 / F.month("month_start"), 2).cast("double")
 
 
-def monthly_cashflow(ledger: DataFrame, scope: Sequence[str] = HOUSEHOLD) -> DataFrame:
+def monthly_flow(ledger: DataFrame, scope: Sequence[str] = HOUSEHOLD) -> DataFrame:
     """Income, spend and net per month, decided by category; net is rounded once."""
     magnitude = F.abs("amount")
     inflow, outflow = P.sum_where(P.is_income()), P.sum_where(P.is_spend(), magnitude)

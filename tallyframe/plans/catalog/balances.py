@@ -31,7 +31,7 @@ def period_flows(spark: SparkSession, d: str) -> DataFrame:
     return doubles(out, "inflows", "outflows", "transfers_in", "transfers_out", "net")
 
 
-@query("bal1_computed_balance", "ol ac an", f"""
+@query("bal1_computed_balance", "ol ac an cp", f"""
 WITH {BALANCE_SQL}
 SELECT account_id, account_type, anchor_date, CAST(anchor_balance AS DOUBLE) AS anchor_balance, CAST(net AS DOUBLE) AS net_since_anchor,
   CAST(anchor_balance + net AS DOUBLE) AS computed_balance, DATE '2001-08-01' AS as_of_date FROM bal
@@ -84,7 +84,7 @@ def _goals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("bal3_refresh_goals", "ol ac an ga hp", f"""
+@query("bal3_refresh_goals", "ol ac an cp ga hp", f"""
 WITH {BALANCE_SQL}
 SELECT 'gate-' || hp.household_id AS gate_key, CAST(coalesce(anchor_balance + net, 1) AS DOUBLE) AS current_amount,
   CAST(goal_target AS DOUBLE) AS target_amount, anchor_balance IS NOT NULL AS updated

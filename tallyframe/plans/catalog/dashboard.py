@@ -26,7 +26,7 @@ def mean_sql(total: str, count: str) -> str:
 
 
 def _months(spark: SparkSession, d: str) -> DataFrame:
-    return summaries.monthly_cashflow(L.orders_ledger(spark, d, describe=False))
+    return summaries.monthly_flow(L.orders_ledger(spark, d, describe=False))
 
 
 @query("agg18_dashboard_kpis", "ol", f"""

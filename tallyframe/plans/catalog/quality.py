@@ -44,7 +44,7 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("ver2_cross_file_duplicates", "ol", """
 SELECT CASE WHEN n % 120 = 0 THEN 'info' ELSE 'fail' END AS severity, household_id,
   account_id || '|' || CAST(occurred_on AS VARCHAR) || '|' || description_raw AS subject,
-  CASE WHEN n % 120 = 0 THEN 'repeated inside one file' ELSE 'in 2 files: ' || source_document_name || ' .. zz_again.csv' END AS problem,
+  CASE WHEN n % 120 = 0 THEN 'repeated inside one file' ELSE 'in 2 files: ' || source_document_name || ', zz_again.csv' END AS problem,
   CAST(2 AS BIGINT) AS row_count, CAST(amount AS DOUBLE) AS amount FROM ol WHERE n % 40 = 0
 """)
 def cross_file(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ def recurring_income(spark: SparkSession, d: str) -> DataFrame:
 
 def tail_limits(spark: SparkSession, d: str) -> DataFrame:
     k = F.substring("account_id", 6, L.ID_WIDTH).cast("bigint")
-    return L.accounts(spark, d).where(k % 4 == 0).select("account_id", (k % 9 + 3).cast("int").alias("days"))
+    return L.accounts(spark, d).where(k % 4 == 0).select("household_id", "account_id", (k % 9 + 3).cast("int").alias("days"))
 
 
 TAIL_SQL = AS_OF_SQL + """,
@@ -263,7 +263,7 @@ SELECT 'warn' AS severity, fs.household_id, account_id || '|' || f AS subject,
   'last row ' || CAST(last_day(CAST(month || '-01' AS DATE)) - last_row AS VARCHAR) || ' days before the month end' AS problem, n AS row_count, CAST(NULL AS DOUBLE) AS amount
 FROM fs JOIN mo ON mo.household_id = fs.household_id WHERE month <= as_of_month AND last_day(CAST(month || '-01' AS DATE)) - last_row > days
 UNION ALL SELECT 'warn', lm.household_id, lm.account_id, 'no rows in the as-of month', 0, NULL FROM lm JOIN mo ON mo.household_id = lm.household_id
-WHERE lm.account_id IN (SELECT account_id FROM ol) AND as_of_month IS NOT NULL
+WHERE as_of_month IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM ol WHERE ol.account_id = lm.account_id AND strftime(occurred_on, '%Y-%m') = as_of_month)
 """)
 def tail_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -416,10 +416,13 @@ def self_anchor_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARK_SQL = RECON_SQL + """,
+newest_anchor AS (
+  SELECT account_id, max(as_of) AS as_of, arg_max(balance, as_of) AS balance
+  FROM (SELECT account_id, as_of, balance FROM an UNION ALL SELECT account_id, as_of, balance FROM cp) GROUP BY 1),
 bal AS (
   SELECT ac.account_id, account_type, an.as_of AS anchor_date, an.balance + coalesce((SELECT sum(effect) FROM ol WHERE ol.account_id = ac.account_id
     AND occurred_on > an.as_of AND occurred_on <= DATE '2001-08-01'), 0) * CASE account_type WHEN 'credit_card' THEN -1 ELSE 1 END AS cb
-  FROM ac LEFT JOIN an ON an.account_id = ac.account_id),
+  FROM ac LEFT JOIN newest_anchor an ON an.account_id = ac.account_id),
 pd AS (SELECT account_id, s, e, closing, computed + CASE WHEN k % 8 = 0 THEN 5 ELSE 0 END AS computed,
     CASE WHEN fixed IS NOT NULL AND abs(closing - computed) <= 0.01 THEN 0 ELSE closing - computed END AS variance FROM rc),
 ck AS (
@@ -677,7 +680,7 @@ c AS (
   UNION ALL SELECT 'orphaned_overrides', 'overrides', 5, 'warn', (SELECT count(*) FROM ov o WHERE NOT EXISTS (SELECT 1 FROM ol WHERE {C.TUPLE_JOIN}))
   UNION ALL SELECT 'tail_gap', 'completeness', 6, 'warn', (SELECT count(*) FROM fs JOIN mo ON mo.household_id = fs.household_id WHERE month <= as_of_month
       AND last_day(CAST(month || '-01' AS DATE)) - last_row > days) + (SELECT count(*) FROM lm JOIN mo ON mo.household_id = lm.household_id
-      WHERE lm.account_id IN (SELECT account_id FROM ol) AND as_of_month IS NOT NULL
+      WHERE as_of_month IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM ol WHERE ol.account_id = lm.account_id AND strftime(occurred_on, '%Y-%m') = as_of_month))
   UNION ALL SELECT 'summary_drift', 'summaries', 7, 'error', 1
   UNION ALL SELECT 'null_merchant_spend', 'labels', 8, 'info', (SELECT count(*) FROM (SELECT DISTINCT household_id, primary_category FROM ol WHERE merchant_normalized IS NULL

@@ -16,7 +16,7 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-@query("agg1_monthly_cashflow", "ol", """
+@query("agg1_monthly_flow", "ol", """
 SELECT household_id, strftime(occurred_on, '%Y-%m') AS month,
   CAST(coalesce(sum(amount) FILTER (primary_category = 'income' AND direction = 'inflow'), 0) AS DOUBLE) AS inflow,
   CAST(coalesce(sum(abs(amount)) FILTER (primary_category IN ('fixed_obligation', 'variable_lifestyle', 'medical', 'abnormal')
@@ -26,8 +26,8 @@ SELECT household_id, strftime(occurred_on, '%Y-%m') AS month,
     AND direction <> 'inflow'), 0) AS DOUBLE) AS net_cash_flow
 FROM ol GROUP BY 1, 2
 """)
-def monthly_cashflow(spark: SparkSession, d: str) -> DataFrame:
-    out = summaries.monthly_cashflow(L.orders_ledger(spark, d, describe=False))
+def monthly_flow(spark: SparkSession, d: str) -> DataFrame:
+    out = summaries.monthly_flow(L.orders_ledger(spark, d, describe=False))
     return doubles(out, "inflow", "outflow", "net_cash_flow")
 
 
@@ -280,18 +280,21 @@ def top_movers(spark: SparkSession, d: str) -> DataFrame:
 
 
 BALANCE_SQL = """
+newest_anchor AS (
+  SELECT account_id, max(as_of) AS as_of, arg_max(balance, as_of) AS balance
+  FROM (SELECT account_id, as_of, balance FROM an UNION ALL SELECT account_id, as_of, balance FROM cp) GROUP BY 1),
 bal AS (
   SELECT ac.account_id, account_type, an.as_of AS anchor_date, an.balance AS anchor_balance,
     CASE WHEN an.as_of IS NOT NULL THEN coalesce((SELECT sum(effect) FROM ol
       WHERE ol.account_id = ac.account_id AND occurred_on > an.as_of AND occurred_on <= DATE '2001-08-01'), 0)
       * CASE WHEN account_type = 'credit_card' THEN -1 ELSE 1 END END AS net
-  FROM ac LEFT JOIN an ON an.account_id = ac.account_id)"""
+  FROM ac LEFT JOIN newest_anchor an ON an.account_id = ac.account_id)"""
 
 
 def stored_openings(spark: SparkSession, d: str) -> DataFrame:
-    """The opening anchors seeded as stored periods."""
+    """The opening anchors and the dated closings seeded as stored periods."""
     anchors = balances.config_anchors(
-        L.accounts(spark, d), L.opening_anchors(spark, d), L.checkpoints(spark, d).limit(0), L.OPENING_DAY
+        L.accounts(spark, d), L.opening_anchors(spark, d), L.checkpoints(spark, d), L.OPENING_DAY
     )
     return balances.seed_anchors(balances.empty_periods(spark), anchors).drop("action")
 
@@ -344,7 +347,7 @@ summary AS (
   FROM w)"""
 
 
-@query("sum1_monthly_summary", "ol mm ac an ga hp ln", f"""
+@query("sum1_monthly_summary", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL}
 SELECT household_id, month_start, CAST(row_count AS BIGINT) AS row_count, CAST(goal_balance AS DOUBLE) AS goal_balance, gap,
   CAST(monthly_delta AS DOUBLE) AS monthly_delta, trail AS trailing_3mo_avg, status AS projection_status,
@@ -371,7 +374,7 @@ def monthly_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("sum2_theoretical_savings", "ol mm ac an ga hp ln", f"""
+@query("sum2_theoretical_savings", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL}
 SELECT household_id, month_start, CAST(greatest(implied, 0) AS DOUBLE) AS implied_withholding, implied < 0 AS withholding_floored,
   CAST(advantaged + monthly_delta + investment_outflows AS DOUBLE) AS theoretical_savings, theo_rate AS theoretical_rate_pct,
@@ -386,7 +389,7 @@ def theoretical_savings(spark: SparkSession, d: str) -> DataFrame:
     return doubles(out, "implied_withholding", "theoretical_savings")
 
 
-@query("sum3_summary_flags", "ol mm ac an ga hp ln", f"""
+@query("sum3_summary_flags", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL}, {MERCHANT_SQL}
 SELECT household_id, month_start, 'savings_rate_below_floor' AS code, 'warn' AS severity, CAST(NULL AS VARCHAR) AS merchant,
   CAST(NULL AS DATE) AS occurred_on, rate AS value FROM summary WHERE rate < 18
@@ -401,7 +404,7 @@ def summary_flags(spark: SparkSession, d: str) -> DataFrame:
     return summaries.summary_flags(_summary(spark, d), L.orders_ledger(spark, d))
 
 
-@query("sum4_identity_check", "ol mm ac an ga hp ln", f"""
+@query("sum4_identity_check", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL}
 SELECT household_id, month_start, CAST((earned - net_consumption) - (net_fcf + mortgage_principal + spend_offsets) AS DOUBLE) AS residual,
   (earned - net_consumption) = (net_fcf + mortgage_principal + spend_offsets) AS holds FROM summary
@@ -410,7 +413,7 @@ def identity_check(spark: SparkSession, d: str) -> DataFrame:
     return doubles(summaries.identity_check(_summary(spark, d)), "residual")
 
 
-@query("agg14_annual_summary", "ol mm ac an ga hp ln", f"""
+@query("agg14_annual_summary", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL}
 SELECT household_id, CAST(year(month_start) AS INTEGER) AS year, strftime(month_start, '%Y-%m') AS month,
   CASE WHEN grouping(strftime(month_start, '%Y-%m')) = 1 THEN 'total' ELSE 'month' END AS kind,
@@ -429,7 +432,7 @@ def annual_summary(spark: SparkSession, d: str) -> DataFrame:
     return doubles(out, "inflows", "fixed_obligations", "discretionary", "net_fcf", *summaries.CONSUMPTION_FIELDS)
 
 
-@query("sum6_summary_drift", "ol mm ac an ga hp ln", f"""
+@query("sum6_summary_drift", "ol mm ac an cp ga hp ln", f"""
 WITH RECURSIVE {SUMMARY_SQL},
 now_rows AS (SELECT *, year(month_start) * 12 + month(month_start) - 1 AS ix FROM summary),
 lng AS (

@@ -51,18 +51,32 @@ def expected_extensions(form: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _features(words: Column, grams: Column) -> Column:
-    return F.concat(
-        F.transform(words, lambda t: F.struct(F.lit("t").alias("kind"), t.alias("feature"))),
-        F.transform(grams, lambda g: F.struct(F.lit("b").alias("kind"), g.alias("feature"))),
-    )
+# Bigram likeness that a pair without a shared token needs beside the extension bonus: 2 * shared / (f + s).
+LEAST_LIKENESS = (THRESHOLD - EXTENSION_BONUS) / NAME_WEIGHT
+
+
+def _rare_grams(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``name, gram``: the rarest bigrams of each name, enough that two names alike share one.
+
+    With likeness at least t a name of n bigrams shares at least n * t / (2 - t) of them, so
+    two names alike agree on one of their first n - that + 1 in any common order.
+    """
+    counts = files.select(F.explode("_grams").alias("gram")).unionAll(sources.select(F.explode("_grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def first(df: DataFrame) -> DataFrame:
+        placed = df.select("name", F.explode("_grams").alias("gram")).join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+        least = F.ceil(F.size("g") * (LEAST_LIKENESS / (2 - LEAST_LIKENESS)) - 1e-9)
+        return placed.select("name", F.explode(F.slice("g", F.lit(1), (F.size("g") - least + 1).cast("int"))).alias("x")).select("name", F.col("x.gram").alias("gram"))
+
+    return first(files), first(sources)
 
 
 def score_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Every (file, source) pair that reaches the threshold, with its score.
 
-    A score needs a shared token or a shared name bigram, the extension alone stays below
-    the threshold; so pairs come from an inverted index on those, never from a product.
+    Pairs come from inverted indexes, never from a product. Without a shared token a score
+    needs names so alike that one of the rarest bigrams of each is shared, so only those are
+    indexed; each pair is then scored once.
     ``files(path)``, ``sources(source_id, position, category, document, subject, why_needed, format)``.
     """
     parts = file_parts("path")
@@ -75,14 +89,18 @@ def score_files(files: DataFrame, sources: DataFrame) -> DataFrame:
         "source_id", "position", S.tokens(haystack).alias("_words"), S.bigrams(normal_text(F.col("document"))).alias("_grams"),
         expected_extensions(F.col("format")).alias("_exts"),
     )
-    left = f.select("path", F.explode(_features(F.col("_words"), F.col("_grams"))).alias("x")).select("path", "x.*")
-    right = s.select("source_id", F.explode(_features(F.col("_words"), F.col("_grams"))).alias("x")).select("source_id", "x.*")
-    shared = left.join(right, ["kind", "feature"]).groupBy("path", "source_id").agg(
-        F.count_if(F.col("kind") == "t").alias("words"), F.count_if(F.col("kind") == "b").alias("grams")
-    )
-    sized = shared.join(f.select("path", "extension", F.size("_grams").alias("f_grams")), "path").join(
-        s.select("source_id", "position", F.size("_words").alias("s_words"), F.size("_grams").alias("s_grams"), "_exts"), "source_id"
-    )
+    shared_word = f.select("path", F.explode("_words").alias("x")).join(s.select("source_id", F.explode("_words").alias("x")), "x")
+    rare = _rare_grams(f.select(F.col("path").alias("name"), "_grams"), s.select(F.col("source_id").alias("name"), "_grams"))
+    like = rare[0].withColumnRenamed("name", "path").join(rare[1].withColumnRenamed("name", "source_id"), "gram")
+    pairs = shared_word.select("path", "source_id").union(like.select("path", "source_id")).distinct()
+    sized = (
+        pairs.join(f.select("path", "extension", F.col("_words").alias("_fw"), F.col("_grams").alias("_fg")), "path")
+        .join(s.select("source_id", "position", "_exts", F.col("_words").alias("_sw"), F.col("_grams").alias("_sg")), "source_id")
+        .select(
+            "path", "source_id", "position", "extension", "_exts", F.size("_sw").alias("s_words"), F.size("_sg").alias("s_grams"), F.size("_fg").alias("f_grams"),
+            F.size(F.array_intersect("_fw", "_sw")).alias("words"), F.size(F.array_intersect("_fg", "_sg")).alias("grams"),
+        )
+    )
     overlap = F.col("words") / F.greatest(F.col("s_words"), F.lit(1))
     likeness = F.when(F.col("s_grams") + F.col("f_grams") > 0, F.col("grams") * 2 / (F.col("s_grams") + F.col("f_grams"))).otherwise(0.0)
     bonus = F.when(F.array_contains("_exts", F.col("extension")), EXTENSION_BONUS).otherwise(0.0)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.sources.layouts import Layout
 
-# Folders and files a scan of the watch folder leaves out.
-IGNORED_FOLDERS = (".git", "node_modules", "dist", "docs", "src", "src-tauri", "server", ".claudecowork")
+# Folders and files a scan of the watch folder leaves out, unless the caller names others.
+IGNORED_FOLDERS = (".git", "node_modules")
 IGNORED_SUFFIX = ".md"
 
 
@@ -83,20 +83,20 @@ def read_sidecar(spark: SparkSession, path: str, required: Sequence[str], option
     return copies.withColumn("entry_id", F.xxhash64(text, "_i")).drop("_n", "_i")
 
 
-def is_candidate(relative_path: Column) -> Column:
+def is_candidate(relative_path: Column, ignored_folders: Sequence[str] = IGNORED_FOLDERS) -> Column:
     """Whether a path below the scan root is looked at."""
     parts = F.split(relative_path, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     held_back = F.exists(folders, lambda p: (F.lower(p) == "archive") | p.startswith(".") | p.startswith("_"))
-    ignored = F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS))
+    ignored = F.exists(parts, lambda p: p.isin(*ignored_folders))
     return ~held_back & ~ignored & ~F.lower(F.element_at(parts, -1)).endswith(IGNORED_SUFFIX)
 
 
-def file_catalogue(spark: SparkSession, root: str) -> DataFrame:
+def file_catalogue(spark: SparkSession, root: str, ignored_folders: Sequence[str] = IGNORED_FOLDERS) -> DataFrame:
     """``(path, relative_path, size, modified)`` of every candidate file below ``root``; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
     return files.select(
         "path", relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
-    ).where(is_candidate(F.col("relative_path")))
+    ).where(is_candidate(F.col("relative_path"), ignored_folders))

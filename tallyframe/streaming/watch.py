@@ -98,6 +98,6 @@ def refresh_months(spark: SparkSession, ledger_path: str, summary_path: str, fre
     if not months:
         return
     ledger = read_ledger(spark, ledger_path).where(S.month_label("occurred_on").isin(*months))
-    summaries.monthly_cashflow(ledger).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    summaries.monthly_flow(ledger).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "month"
     ).parquet(summary_path)

@@ -106,7 +106,7 @@ def test_spend_is_category_driven(spark):
         spark, ledger_row(1, "a", "2026-01-01", "-5", "transfer", category="fixed_obligation"), ledger_row(2, "a", "2026-01-01", "2", "inflow", category="medical"),
         ledger_row(3, "a", "2026-01-01", "-9", "transfer", category="transfer"), ledger_row(4, "a", "2026-01-01", "20", "inflow", category="income"),
     )
-    out = summaries.monthly_cashflow(rows).first()
+    out = summaries.monthly_flow(rows).first()
     assert (out["inflow"], out["outflow"], out["net_cash_flow"]) == (20, 5, 15)
 
 
