@@ -65,14 +65,27 @@ def ingest_into(
 ) -> None:
     """Close a batch into the stored ledger, reading and rewriting only the months around it.
 
-    One month on either side is read, as pairs straddle month ends; rows further from the
-    batch than a change can reach keep their pairing.
+    Each touched month is read with one on either side, as pairs straddle month ends; rows
+    further from the batch than a change can reach keep their pairing.
     """
     months = store.touched_months(batch)
     if not months:
         return
-    first, last = F.lit(f"{months[0]}-01").cast("date"), F.last_day(F.lit(f"{months[-1]}-01").cast("date"))
-    low, high = F.add_months(first, -1), F.last_day(F.add_months(last, 1))
-    around = store.read_ledger(spark, path).where(F.col("occurred_on").between(low, high))
-    active = F.col("occurred_on").between(F.date_sub(first, REACH_DAYS), F.date_add(last, REACH_DAYS))
-    store.write_months(close(around, batch, rules, overrides, domain=domain, active=active), path)
+    around = store.with_neighbours(months)
+    active = F.lit(False)
+    for first, last in _runs(months):
+        start, end = F.lit(f"{first}-01").cast("date"), F.last_day(F.lit(f"{last}-01").cast("date"))
+        active = active | F.col("occurred_on").between(F.date_sub(start, REACH_DAYS), F.date_add(end, REACH_DAYS))
+    closed = close(store.read_ledger(spark, path, around), batch, rules, overrides, domain=domain, active=active)
+    store.write_months(closed, path, around)
+
+
+def _runs(months: Sequence[str]) -> list[tuple[str, str]]:
+    """Sorted months as first and last of each run without a gap."""
+    runs: list[tuple[str, str]] = []
+    for month in months:
+        if runs and month in store.with_neighbours([runs[-1][1]]):
+            runs[-1] = (runs[-1][0], month)
+        else:
+            runs.append((month, month))
+    return runs

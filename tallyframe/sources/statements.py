@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.sources.layouts import Layout
 
 # Folders and files a scan of the watch folder leaves out, unless the caller names others.
-IGNORED_FOLDERS = (".git", "node_modules")
+IGNORED_FOLDERS = (".git", "node_modules", "dist", "docs", "src")
 IGNORED_SUFFIX = ".md"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +50,26 @@ def upsert_accounts(accounts: DataFrame, found: DataFrame, order: str | None = N
     return accounts.join(newest.select("account_id"), "account_id", "left_anti").unionByName(newest.select(*accounts.columns))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The stored ledger; an absent path is an empty ledger."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    if not exists:
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """Number of the newest complete manifest, and the folder that holds each month; 0 and nothing for a new ledger."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/seq=*/_SUCCESS")
+    done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    newest = max((int(x.getPath().getParent().getName().removeprefix("seq=")) for x in done), default=0)
+    if not newest:
+        return 0, {}
+    return newest, {r["month"]: r["folder"] for r in spark.read.parquet(f"{path}/manifest/seq={newest:08d}").collect()}
+
+
+def read_ledger(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    """The stored ledger, or some of its months; an absent path is an empty ledger.
+
+    The manifest names one folder per month, so months that are not asked for are not even listed.
+    """
+    _, folders = _manifest(spark, path)
+    wanted = sorted(folders if months is None else folders.keys() & set(months))
+    if not wanted:
         return spark.createDataFrame([], LEDGER)
-    return spark.read.parquet(path).select(*LEDGER.fieldNames())
+    return spark.read.schema(LEDGER).parquet(*[f"{path}/data/{folders[m]}/month={m}" for m in wanted])
 
 
 def touched_months(batch: DataFrame) -> list[str]:
@@ -63,16 +77,34 @@ def touched_months(batch: DataFrame) -> list[str]:
     return sorted(r["m"] for r in batch.select(S.month_label("occurred_on").alias("m")).distinct().collect())
 
 
-def write_months(rows: DataFrame, path: str) -> None:
-    """Replace the month partitions that occur in ``rows`` and leave the others alone.
+def with_neighbours(months: Sequence[str]) -> list[str]:
+    """The months, and for each the one before and the one after."""
+    numbers = {int(m[:4]) * 12 + int(m[5:]) - 1 + d for m in months for d in (-1, 0, 1)}
+    return [f"{n // 12:04d}-{n % 12 + 1:02d}" for n in sorted(numbers)]
 
-    ``rows`` may read from ``path``: it is checkpointed before anything is overwritten.
+
+def write_months(rows: DataFrame, path: str, months: Sequence[str] = ()) -> None:
+    """Put ``rows`` in place of the stored rows of their months and of ``months``; other months stay.
+
+    Rows go to a new folder first. A manifest that names the folder of every month is written last
+    and counts once Spark has committed it, so readers see the ledger before or after the write, and
+    a write that dies in between changes nothing. One writer at a time.
     """
+    spark = rows.sparkSession
+    number, folders = _manifest(spark, path)
+    # Settled, as the rows may read from the folders they replace and are used twice.
     settled = cut_lineage(rows.withColumn("month", S.month_label("occurred_on")))
+    folder = f"v{number + 1:08d}-{uuid.uuid4().hex[:12]}"
     # Rebalancing gathers small months and splits large ones by size, so no file count is guessed.
-    settled.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "month"
-    ).parquet(path)
+    settled.hint("rebalance", "month").write.partitionBy("month").parquet(f"{path}/data/{folder}")
+    written = {r["month"] for r in settled.select("month").distinct().collect()}
+    held = {m: f for m, f in folders.items() if m not in written and m not in set(months)} | {m: folder for m in written}
+    _commit(spark, f"{path}/manifest/seq={number + 1:08d}", held)
+
+
+def _commit(spark: SparkSession, path: str, folders: dict[str, str]) -> None:
+    table = spark.createDataFrame(sorted(folders.items()), "month string, folder string")
+    table.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def merge_statement(target: str, source: str, columns: Sequence[str], keys: Sequence[str] = RECORD_KEY) -> str:

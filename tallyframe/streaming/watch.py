@@ -57,6 +57,7 @@ def watch_folder(
     """Ingest every new file once and log it; stops when the folder is drained (``availableNow``)."""
 
     def take(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # the month list, the upsert and the event log read it
         rows = parse(batch, layout, household=household)
         fresh = ingest.ledger_rows(rows, F.lit(f"{layout.name}-{epoch}"))
         ingest.ingest_into(spark, ledger_path, fresh, rules, overrides)
@@ -64,6 +65,7 @@ def watch_folder(
         events.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
         if after is not None:
             after(fresh, epoch)
+        batch.unpersist()
 
     stream = statement_stream(spark, folder, layout, header)
     relative = F.substring_index("path", "/", -1)
@@ -97,7 +99,7 @@ def refresh_months(spark: SparkSession, ledger_path: str, summary_path: str, fre
     months = [r["m"] for r in fresh.select(S.month_label("occurred_on").alias("m")).distinct().collect()]
     if not months:
         return
-    ledger = read_ledger(spark, ledger_path).where(S.month_label("occurred_on").isin(*months))
+    ledger = read_ledger(spark, ledger_path, months)
     summaries.monthly_flow(ledger).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "month"
     ).parquet(summary_path)

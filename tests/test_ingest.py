@@ -147,6 +147,39 @@ def test_pairs_beyond_the_read_months_stay(spark, tmp_path):
     assert {r["transfer_group_key"] for r in store.read_ledger(spark, table).where("id <> 'r3'").collect()} == {key}
 
 
+def test_far_months_are_neither_read_nor_rewritten(spark, tmp_path):
+    table = str(tmp_path / "ledger")
+    loaded = rules.load_rules(rules.seed_rules(spark))
+    days = [f"20{y}-{m:02d}-10" for y in (16, 26) for m in (1, 2, 3, 4, 5)]
+    ingest.ingest_into(spark, table, frame(spark, *[ledger_row(i, "a", d, "-1", "outflow") for i, d in enumerate(days)]), loaded, no_overrides(spark))
+    before = store._manifest(spark, table)[1]
+    read = store.read_ledger(spark, table, ["2026-01"])
+    assert len(read.collect()) == 1 and all("month=2026-01" in f for f in read.inputFiles())
+    late = frame(spark, ledger_row(20, "a", "2016-01-11", "-2", "outflow"), ledger_row(21, "a", "2026-05-11", "-2", "outflow"))
+    ingest.ingest_into(spark, table, late, loaded, no_overrides(spark))
+    after = store._manifest(spark, table)[1]
+    assert {m for m in after if after[m] != before[m]} == {"2016-01", "2016-02", "2026-04", "2026-05"}
+    assert store.read_ledger(spark, table).count() == 12
+
+
+@pytest.mark.parametrize("step", ["_commit", "month_label"])
+def test_a_write_that_dies_loses_no_row(spark, tmp_path, monkeypatch, step):
+    table = str(tmp_path / "ledger")
+    loaded = rules.load_rules(rules.seed_rules(spark))
+    ingest.ingest_into(spark, table, frame(spark, ledger_row(1, "a", "2026-01-10", "-1", "outflow")), loaded, no_overrides(spark))
+    more = frame(spark, ledger_row(2, "a", "2026-01-11", "-2", "outflow"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+
+        def die(*_):
+            raise RuntimeError("died")
+
+        m.setattr(store if step == "_commit" else store.S, step, die)
+        ingest.ingest_into(spark, table, more, loaded, no_overrides(spark))
+    assert [r["id"] for r in store.read_ledger(spark, table).collect()] == ["r1"]
+    ingest.ingest_into(spark, table, more, loaded, no_overrides(spark))
+    assert store.read_ledger(spark, table).count() == 2
+
+
 def test_state_export_and_restore(spark, tmp_path):
     table = spark.createDataFrame(
         [("a", None, "x,y", datetime.datetime(2026, 1, 2)), ("b", "", 'say "hi"', datetime.datetime(2026, 1, 1))],
