@@ -28,10 +28,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Spark drops the shuffle files of frames that nobody holds any more when the driver collects its
+    garbage; asking for that here keeps finished steps from piling up on the executors' disks.
+    """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

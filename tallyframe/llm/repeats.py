@@ -4,8 +4,10 @@ A byte goes if it lies in a ``LENGTH``-byte string that also starts in a documen
 Suffixes need to be ordered only by their first ``LENGTH`` bytes and only where a string can repeat:
 
 1. Every string of ``LENGTH`` bytes has an anchor, the ``GRAM``-byte piece in it with the smallest
-   hash. Equal strings have equal anchors, so strings whose anchor occurs in one document alone can't
-   repeat elsewhere. Anchors are counted by hash, in packed arrays.
+   hash. Equal strings have equal anchors with equal surroundings: of the bytes beside the anchor at
+   least half lie on one side. So strings can repeat elsewhere only if the anchor with that many bytes
+   before it, or with as many after it, occurs in another document too. Both are counted by hash, in
+   packed arrays.
 2. Strings with a common anchor that touch are one segment. Equal segments are folded to one with the
    smallest id of their documents.
 3. Segments are dealt by anchor. In each part suffixes are sorted by the difference cover modulo 3:
@@ -42,18 +44,28 @@ LAST = (1 << 63) - 1
 _BYTES = np.random.default_rng(10).integers(0, 2**64, 256, dtype=np.uint64)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (b >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def _grams(codes: np.ndarray) -> np.ndarray:
     """A hash of the ``GRAM`` bytes from every place on; runs double in length."""
     out, width = _BYTES[codes], 1
     while width < GRAM:
-        out = (out[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ (out[width:] + (out[width:] >> np.uint64(29)))
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        width *= 2
+        out, width = _joined(out[:-width], out[width:]), 2 * width
     return out ^ (out >> np.uint64(32))
 
 
-def _runs(data: bytes, at: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First string, number of strings and anchor of every run of strings with one anchor, for a slice of a text from ``at``."""
+#: Bytes beside the anchor of which a string has at least so many on one side; two grams cover them.
+HALF = (LENGTH - GRAM) // 2
+assert GRAM <= HALF <= 2 * GRAM
+
+
+def _runs(data: bytes, at: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First string, number of strings, anchor, and hashes with what is before and after it, of every run of strings with one anchor.
+
+    For the strings that start in a slice of a text from ``at``.
+    """
     codes = np.frombuffer(data, np.uint8)[at : at + SLICE + length - 1]
     grams = _grams(codes)
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -65,10 +77,18 @@ def _runs(data: bytes, at: int, length: int = LENGTH) -> tuple[np.ndarray, np.nd
         least = np.minimum(least[: len(low) - span + 1], least[span - width :])
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    return first + at, np.diff(np.append(first, len(anchor))), grams[anchor[first]]
-
-
-def _all_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places = anchor[first]
+    own = grams[places]
+    before = _joined(_joined(grams[np.maximum(0, places - HALF)], grams[np.maximum(0, places - GRAM)]), own)
+    last = len(grams) - 1
+    after = _joined(own, _joined(grams[np.minimum(last, places + GRAM)], grams[np.minimum(last, places + HALF)]) + np.uint64(1))
+    # where a side is too short no string leans on it; the anchor alone then stands for it
+    before = np.where(places >= HALF, before, own)
+    after = np.where(places + HALF <= last, after, own)
+    return first + at, np.diff(np.append(first, len(anchor))), own, before, after
+
+
+def _all_runs(data: bytes) -> tuple[np.ndarray, ...]:
     parts = [_runs(data, at) for at in range(0, len(data) - LENGTH + 1, SLICE)]
     return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
 
@@ -77,17 +97,19 @@ def _anchoring(buckets: int):
     """Anchors of many texts at once, packed by bucket: hashes, and for each text how many it has there and which."""
 
     def pack(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
-        rows = np.array([r for r, _ in held], np.int64)
-        hashes = np.concatenate([h for _, h in held])
-        of = np.repeat(np.arange(len(held)), [len(h) for _, h in held])
-        number = np.concatenate([np.arange(len(h)) for _, h in held]).astype(np.uint32)
+        rows = np.array([r for r, *_ in held], np.int64)
+        hashes = np.concatenate([h for _, *both in held for h in both])
+        of = np.repeat(np.arange(len(held)), [2 * len(h) for _, h, _ in held])
+        number = np.concatenate([np.arange(len(h)) for _, *both in held for h in both]).astype(np.uint32)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        hashes >>= np.uint64(16)  # with the bucket more than enough to tell anchors apart; chance hits are sorted out later
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         out = []
         for part in np.split(order, cuts):
             texts, counts = np.unique(of[part], return_counts=True)
-            out.append((int(bucket[part[0]]), hashes[part].tobytes(), rows[texts].tobytes(), counts.astype(np.uint32).tobytes(), number[part].tobytes()))
+            short = hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            out.append((int(bucket[part[0]]), short.tobytes(), rows[texts].tobytes(), counts.astype(np.uint32).tobytes(), number[part].tobytes()))
         return pd.DataFrame(out, columns=["bucket", "hashes", "texts", "counts", "numbers"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +118,7 @@ def _anchoring(buckets: int):
             for row, text in zip(batch["row"], batch["text"]):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) >= LENGTH:
-                    held.append((row, _all_runs(data)[2]))
+                    held.append((row, *_all_runs(data)[3:]))
                     size += len(data)
                     if size >= 4 * SLICE:
                         yield pack(held)
@@ -111,7 +133,8 @@ def _counting(groups: int):
     """Anchors of a bucket that occur in more than one text, by groups of texts."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        hashes, texts, counts, numbers = (np.frombuffer(b"".join(bucket[c]), t) for c, t in (("hashes", np.uint64), ("texts", np.int64), ("counts", np.uint32), ("numbers", np.uint32)))
+        short, texts, counts, numbers = (np.frombuffer(b"".join(bucket[c]), t) for c, t in (("hashes", np.uint8), ("texts", np.int64), ("counts", np.uint32), ("numbers", np.uint32)))
+        hashes = np.pad(short.reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
         own = np.repeat(texts, counts)
         order = np.lexsort((own, hashes))
         h, t = hashes[order], own[order]
@@ -140,7 +163,7 @@ def _cutting(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         a, b = np.searchsorted(rows, row, "left"), np.searchsorted(rows, row, "right")
         if a < b:
             data = text.encode("utf-8", "surrogatepass")
-            first, size, anchor = _all_runs(data)
+            first, size, anchor, _, _ = _all_runs(data)
             for i in np.unique(numbers[a:b]).tolist():
                 piece = data[first[i] : first[i] + size[i] + LENGTH - 1]
                 out.append((xxhash.xxh3_128_digest(piece), int(anchor[i].astype(np.int64)), row, own, int(first[i]), piece))
@@ -235,28 +258,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own"), text.alias("text"))
 
 
-def removed_strings(docs: DataFrame) -> DataFrame:
-    """``row, at, upto``: byte ranges to remove, which may overlap; ``row`` hashes id and text."""
-    spark = docs.sparkSession
+def _segments(docs: DataFrame) -> DataFrame:
+    """``segment, anchor, row, own, at, piece``: every run of strings that may occur in another document."""
     texts = _keyed(docs).where(F.octet_length("text") >= LENGTH)
-    parts = parts_for(spark)
-    packed = texts.select("row", "text").mapInPandas(_anchoring(8 * parts), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
-    found = packed.groupBy("bucket").applyInPandas(_counting(4 * parts), "group int, texts binary, numbers binary")
+    parts = parts_for(docs.sparkSession)
+    found = _repeated_anchors(texts, parts)
     grouped = texts.withColumn("group", (F.col("row").bitwiseAND(F.lit(LAST)) % (4 * parts)).cast("int"))
-    segments = settle(
-        grouped.groupBy("group").cogroup(found.groupBy("group")).applyInPandas(_cutting, "segment binary, anchor long, row long, own long, at long, piece binary"),
-        "repeat-segments",
-    )
-    distinct = settle(
-        segments.groupBy("segment").agg(F.min("own").alias("own"), F.first("anchor").alias("anchor"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n")),
-        "repeat-distinct",
-    )
+    cut = grouped.groupBy("group").cogroup(found.groupBy("group")).applyInPandas(_cutting, "segment binary, anchor long, row long, own long, at long, piece binary")
+    return settle(cut, "repeat-segments")
+
+
+def _repeated_anchors(texts: DataFrame, parts: int) -> DataFrame:
+    packed = texts.select("row", "text").mapInPandas(_anchoring(8 * parts), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
+    return settle(packed.groupBy("bucket").applyInPandas(_counting(4 * parts), "group int, texts binary, numbers binary"), "repeat-anchors")
+
+
+def _distinct(segments: DataFrame) -> DataFrame:
+    """Every different segment once, with the smallest id of its documents."""
+    folded = segments.groupBy("segment").agg(F.min("own").alias("own"), F.first("anchor").alias("anchor"), F.first("piece").alias("piece"))
+    return settle(folded, "repeat-distinct")
+
+
+def removed_strings(docs: DataFrame) -> DataFrame:
+    """``row, at, upto``: byte ranges to remove, which may overlap; ``row`` hashes id and text."""
+    segments = _segments(docs)
+    distinct = _distinct(segments)
     size = distinct.agg(F.sum(F.octet_length("piece") + 1)).first()[0] or 0
     dealt = distinct.withColumn("part", F.pmod("anchor", F.lit(max(1, -(-size // PART)))))
     runs = settle(dealt.groupBy("part").applyInPandas(_sorting, "segment binary, from int, strings int, least long"), "repeat-runs")
+    del distinct, dealt
     hit = segments.select("segment", "row", "own", "at").join(runs, "segment").where("least < own")
     start = F.col("at") + F.col("from")
-    return hit.select("row", start.alias("at"), (start + F.col("strings") + LENGTH - 1).alias("upto"))
+    return settle(hit.select("row", start.alias("at"), (start + F.col("strings") + LENGTH - 1).alias("upto")), "repeat-ranges")
 
 
 def _covered(ranges) -> list[tuple[int, int]]:
