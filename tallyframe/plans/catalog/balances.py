@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
@@ -197,23 +197,32 @@ def partly(spark: SparkSession, d: str) -> DataFrame:
 # --- reconciliation ----------------------------------------------------------
 
 RECON_SQL = """
-WITH RECURSIVE mo AS (
+WITH RECURSIVE rb AS (
+  SELECT account_id, occurred_on AS d, CASE WHEN count(*) OVER (PARTITION BY account_id, occurred_on) = 1
+    THEN CAST(100 + sum(amount) OVER (PARTITION BY account_id ORDER BY occurred_on, id ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) END AS b
+  FROM ol WHERE CAST(substr(account_id, 6) AS BIGINT) % 7 = 1),
+hb AS (SELECT account_id FROM rb GROUP BY 1 HAVING count(b) > 0),
+mo AS (
   SELECT CAST(m AS DATE) AS ps, least(last_day(CAST(m AS DATE)), DATE '2001-08-01') AS pe
   FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH) g(m)),
 gov AS (
   SELECT cp.account_id, CAST(date_trunc('month', as_of) AS DATE) AS ps, max(as_of) AS g, max_by(balance, as_of) AS x
-  FROM cp JOIN ac ON ac.account_id = cp.account_id AND account_type <> 'credit_card' GROUP BY 1, 2),
+  FROM cp JOIN ac ON ac.account_id = cp.account_id AND account_type <> 'credit_card' WHERE cp.account_id NOT IN (SELECT account_id FROM hb) GROUP BY 1, 2),
 am AS (SELECT ac.account_id, account_type, ac.k, mo.ps, mo.pe, g, x FROM ac CROSS JOIN mo LEFT JOIN gov ON gov.account_id = ac.account_id AND gov.ps = mo.ps),
 pr AS (
   SELECT account_id, account_type, k, CASE WHEN g = ps THEN CAST(g + 1 AS DATE) ELSE ps END AS s, CASE WHEN g > ps AND g < pe THEN g ELSE pe END AS e,
     CASE WHEN g = ps THEN 'remainder' WHEN g IS NOT NULL THEN 'verify' ELSE 'plain' END AS role,
     CASE WHEN g = ps THEN x END AS own, CASE WHEN g > ps THEN x END AS fixed FROM am
   UNION ALL SELECT account_id, account_type, k, CAST(g + 1 AS DATE), pe, 'remainder', x, NULL FROM am WHERE g > ps AND g < pe),
+ex AS (
+  SELECT pr.*, (SELECT balance FROM cp WHERE cp.account_id = pr.account_id AND as_of = e AND (pr.account_type = 'credit_card' OR pr.account_id IN (SELECT account_id FROM hb))) AS given,
+    (SELECT any_value(b) FROM rb WHERE rb.account_id = pr.account_id AND d = (SELECT max(d) FROM rb q WHERE q.account_id = pr.account_id AND q.d <= e)) AS derived
+  FROM pr),
 sq AS (
-  SELECT pr.*, row_number() OVER (PARTITION BY account_id ORDER BY s) AS i, coalesce(fixed, (SELECT balance FROM cp WHERE cp.account_id = pr.account_id
-      AND as_of = e AND pr.account_type = 'credit_card')) AS closing,
+  SELECT pr.* EXCLUDE (given, derived), row_number() OVER (PARTITION BY account_id ORDER BY s) AS i, coalesce(fixed, given, derived) AS closing,
+    CASE WHEN fixed IS NOT NULL THEN 'checkpoint' WHEN given IS NOT NULL THEN 'statement' WHEN derived IS NOT NULL THEN 'running_balance' END AS src,
     coalesce((SELECT sum(effect) FROM ol WHERE ol.account_id = pr.account_id AND occurred_on BETWEEN s AND e), 0) AS net
-  FROM pr),
+  FROM ex pr),
 rc AS (
   SELECT sq.*, coalesce(own, an.balance) AS opening,
     CAST(coalesce(own, an.balance) + net * CASE account_type WHEN 'credit_card' THEN -1 ELSE 1 END AS DECIMAL(28,2)) AS computed
@@ -224,8 +233,16 @@ rc AS (
   FROM rc JOIN sq ON sq.account_id = rc.account_id AND sq.i = rc.i + 1)"""
 
 
+def with_running_balances(ledger: DataFrame) -> DataFrame:
+    """Every seventh account carries running balances, on the days with one row; the others carry none."""
+    so_far = Window.partitionBy("account_id").orderBy("occurred_on", "id").rowsBetween(Window.unboundedPreceding, 0)
+    alone = F.count("*").over(Window.partitionBy("account_id", "occurred_on")) == 1
+    carries = F.substring("account_id", 6, L.ID_WIDTH).cast("bigint") % 7 == 1
+    return ledger.withColumn("running_balance", F.when(carries & alone, 100 + F.sum("amount").over(so_far)).cast("decimal(18,2)"))
+
+
 def reconciled(spark: SparkSession, d: str, closings: DataFrame | None = None) -> DataFrame:
-    ledger = L.orders_ledger(spark, d, describe=False, household=False).withColumn("running_balance", F.lit(None).cast("decimal(18,2)"))
+    ledger = with_running_balances(L.orders_ledger(spark, d, describe=False, household=False))
     return balances.reconcile(
         ledger, L.accounts(spark, d), L.opening_anchors(spark, d), L.checkpoints(spark, d) if closings is None else closings,
         balances.empty_periods(spark), start=START, end=END, as_of=L.AS_OF, seed_day=L.OPENING_DAY,
@@ -234,7 +251,7 @@ def reconciled(spark: SparkSession, d: str, closings: DataFrame | None = None) -
 
 @query("bal5_reconcile_periods", "ol ac an cp", RECON_SQL + """
 SELECT account_id, s AS period_start, e AS period_end, CAST(opening AS DOUBLE) AS statement_opening, CAST(closing AS DOUBLE) AS statement_closing,
-  CASE WHEN fixed IS NOT NULL THEN 'checkpoint' WHEN closing IS NOT NULL THEN 'statement' END AS closing_source,
+  src AS closing_source,
   CAST(computed AS DOUBLE) AS computed_closing,
   CAST(CASE WHEN fixed IS NOT NULL AND abs(closing - computed) <= 0.01 THEN 0 ELSE closing - computed END AS DOUBLE) AS variance
 FROM rc
@@ -280,9 +297,9 @@ def month_list(spark: SparkSession, d: str) -> DataFrame:
     return balances.months_in_range(L.accounts(spark, d).select("account_id"), "1998-11-20", "1999-04-17")
 
 
-@query("bal9_upsert_checkpoint", "ol ac an cp", RECON_SQL.replace("RECURSIVE mo AS", """RECURSIVE en AS (
+@query("bal9_upsert_checkpoint", "ol ac an cp", RECON_SQL.replace("RECURSIVE rb AS", """RECURSIVE en AS (
   SELECT account_id, DATE '1997-06-20' AS as_of, CAST(k * 10 AS DECIMAL(18,2)) AS balance FROM ac WHERE k % 5 = 0 AND account_type <> 'credit_card'),
-cp2 AS (SELECT account_id, as_of, balance FROM cp UNION ALL SELECT * FROM en), mo AS""").replace("FROM cp JOIN", "FROM cp2 cp JOIN").replace(
+cp2 AS (SELECT account_id, as_of, balance FROM cp UNION ALL SELECT * FROM en), rb AS""").replace("FROM cp JOIN", "FROM cp2 cp JOIN").replace(
     "FROM cp WHERE", "FROM cp2 cp WHERE") + """,
 nw AS (SELECT *, lead(opening) OVER (PARTITION BY account_id ORDER BY s) AS nxt FROM rc)
 SELECT account_id, e AS period_end, s AS period_start, CAST(closing AS DOUBLE) AS statement_closing, CAST(computed AS DOUBLE) AS computed_closing,
