@@ -42,7 +42,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,61 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language, op10_repeats)}
+# Only what SQL can say: no tokenizer, learned model, hash of Spark's or byte-wise suffix sort.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT *, sha1(t) || '0' AS h, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(1 + (5 * i) // 4 AS INTEGER), 3) AS BIGINT) >> (7 - (5 * i) % 4)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM d
+"""
+
+ORACLES["op4_nearest"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+ORACLES["op7_near_duplicates"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS hop FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.hop),
+m AS (SELECT id, min(hop) AS c FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON m.id = doc_id
+"""
+
+ORACLES["op8_mix"] = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5 AS total FROM s),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c),
+f AS (SELECT *, (total - before) * w >= cap * rest AS stops FROM o),
+t AS (
+  SELECT source, source_size, CASE WHEN stops THEN cap ELSE (total - coalesce(sum(cap) FILTER (stops) OVER (), 0)) * w / sum(w) FILTER (NOT stops) OVER () END AS target FROM f),
+b AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS base FROM t),
+x AS (
+  SELECT doc_id, size, source_size, target, base, target - base * source_size AS need, d.source AS src,
+    (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || 'mix'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source),
+y AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY u, CAST(doc_id AS VARCHAR)) AS upto FROM x)
+SELECT doc_id, size, source_size, target, size * CAST(base + CASE WHEN upto - size / 2.0 <= need THEN 1 ELSE 0 END AS BIGINT) AS taken FROM y
+"""

@@ -6,6 +6,9 @@ import collections
 
 import corpus_pipeline
 from fixtures import document_rows, documents
+import __spark_entry__ as entry
+import pytest
+from oracle import compare, connect
 from test_operators import brute_components, brute_repeats
 
 from tallyframe.llm.common import settle
@@ -34,6 +37,11 @@ def test_stages(spark, tmp_path):
     assert pieces == copies
 
 
+@pytest.mark.parametrize("name", ["op1_warc", "op4_nearest", "op7_near_duplicates", "op8_mix"])
+def test_queries_equal_their_sql(spark, small_dir, name):
+    assert compare(entry.queries()[name](spark, small_dir), connect(small_dir), entry.oracle_sql()[name]) is None
+
+
 def test_run(spark, small_dir):
     got = corpus_pipeline.run(spark, small_dir)
     assert set(got.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and got.count() > 0
