@@ -6,8 +6,10 @@ import __spark_entry__ as entry
 import pytest
 from oracle import compare, connect
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+from tallyframe.plans import catalog
+
+ORACLES = catalog.ORACLES
+QUERIES = catalog.QUERIES
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas")
 
 
@@ -28,6 +30,10 @@ def test_query(spark, small_dir, duck, name):
     assert compare(frame, duck, ORACLES[name]) is None
 
 
+def test_entry_lists_the_catalogue():
+    assert entry.queries().keys() >= QUERIES.keys() and entry.oracle_sql().keys() >= ORACLES.keys()
+
+
 def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["household_id", "month", "inflow", "outflow", "net_cash_flow"]
