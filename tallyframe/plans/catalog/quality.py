@@ -660,7 +660,7 @@ def check_set(spark: SparkSession, d: str) -> dict[str, verify.Check]:
         "cross_file_duplicates": lambda: quality.cross_file_duplicates(ledger),
         "vocabulary": lambda: quality.vocabulary(ledger),
         "income_rule_direction": lambda: quality.income_rule_direction(rule_table(spark, d)),
-        "rule_bands": lambda: quality.rule_bands(rule_table(spark, d)),
+        "rule_bands": lambda: quality.rule_bands(rule_table(spark, d)).unionByName(quality.pattern_errors(spark, rule_table(spark, d).select("id", "pattern").collect())),
         "orphaned_overrides": lambda: quality.orphaned_overrides(ledger, L.overrides(spark, d)),
         "tail_gap": lambda: quality.tail_gap(ledger, tail_limits(spark, d), as_of_months(spark, d)),
         "summary_drift": lambda: ledger.select("no_such_column"),
@@ -668,7 +668,7 @@ def check_set(spark: SparkSession, d: str) -> dict[str, verify.Check]:
     }
 
 
-@query("ver28_run_status", "ol ac ov", f"""
+RUN_SQL = f"""
 WITH {TAIL_SQL}, {RULES_SQL},
 c AS (
   SELECT 'duplicate_keys' AS "check", 'integrity' AS family, 0 AS position, 'fail' AS st, (SELECT count(*) FROM ol WHERE n % 40 = 0) AS t
@@ -684,7 +684,10 @@ c AS (
       AND NOT EXISTS (SELECT 1 FROM ol WHERE ol.account_id = lm.account_id AND strftime(occurred_on, '%Y-%m') = as_of_month))
   UNION ALL SELECT 'summary_drift', 'summaries', 7, 'error', 1
   UNION ALL SELECT 'null_merchant_spend', 'labels', 8, 'info', (SELECT count(*) FROM (SELECT DISTINCT household_id, primary_category FROM ol WHERE merchant_normalized IS NULL
-    AND primary_category IN ('fixed_obligation', 'variable_lifestyle', 'medical', 'abnormal') AND direction <> 'inflow') x))
+    AND primary_category IN ('fixed_obligation', 'variable_lifestyle', 'medical', 'abnormal') AND direction <> 'inflow') x))"""
+
+
+@query("ver28_run_status", "ol ac ov", RUN_SQL + """
 SELECT "check", family, CAST(position AS INTEGER) AS position, CASE WHEN t = 0 THEN 'pass' ELSE st END AS status, CAST(t AS BIGINT) AS details_total FROM c
 """)
 def run_status(spark: SparkSession, d: str) -> DataFrame:
@@ -692,8 +695,11 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
     return verify.check_status(spark, verify.run_checks(spark, checks), list(checks))
 
 
-@query("ver28_overall", "", """
-SELECT 'fail' AS status, CAST(3 AS BIGINT) AS fail, CAST(3 AS BIGINT) AS warn, CAST(1 AS BIGINT) AS info, CAST(1 AS BIGINT) AS pass, CAST(1 AS BIGINT) AS error
+@query("ver28_overall", "ol ac ov", RUN_SQL + """,
+r AS (SELECT CASE WHEN t = 0 THEN 'pass' ELSE st END AS s FROM c)
+SELECT CASE WHEN count(*) FILTER (s IN ('fail', 'error')) > 0 THEN 'fail' WHEN count(*) FILTER (s = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS status,
+  count(*) FILTER (s = 'fail') AS fail, count(*) FILTER (s = 'warn') AS warn, count(*) FILTER (s = 'info') AS info, count(*) FILTER (s = 'pass') AS pass,
+  count(*) FILTER (s = 'error') AS error FROM r
 """)
 def run_overall(spark: SparkSession, d: str) -> DataFrame:
     return verify.overall(run_status(spark, d))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.filters import DETAIL_CAP
 from tallyframe.operators.quality import CHECKS, FAMILY, FINDING
+from tallyframe.session import cut_lineage
 
 Check = Callable[[], DataFrame]
 
@@ -16,9 +17,10 @@ STATUS_SQL = "CASE WHEN severity IN ('fail', 'error') THEN 2 WHEN severity = 'wa
 
 
 def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[str] = ()) -> DataFrame:
-    """Findings of all checks, or of some. A check that cannot be built is one ``error`` finding.
+    """Findings of all checks, or of some. A check that cannot be built or that fails as it runs is one ``error`` finding.
 
-    Building is on the driver and costs nothing but planning; all checks then run as one union.
+    Each check runs as a job of its own and its findings are checkpointed, so one bad check leaves
+    the others as they are.
     """
     wanted = list(only) or [name for name, _ in CHECKS if name in checks]
     unknown = [name for name in wanted if name not in checks]
@@ -27,9 +29,9 @@ def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[
     out: DataFrame | None = None
     for name in wanted:
         try:
-            part = checks[name]().select(*FINDING)
+            part = cut_lineage(checks[name]().select(*FINDING))
         except Exception as error:  # noqa: BLE001
-            row = (name, FAMILY.get(name, "meta"), "error", None, name, f"{type(error).__name__}: {str(error)[:200]}", 0, None)
+            row = (name, FAMILY.get(name, "meta"), "error", None, name, f"{type(error).__name__}: {error}", 0, None)
             part = spark.createDataFrame(
                 [row],
                 "check string, family string, severity string, household_id string, subject string, problem string, row_count bigint, amount double",

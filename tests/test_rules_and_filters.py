@@ -12,6 +12,7 @@ from test_ingest import frame, ledger_row, no_overrides
 from tallyframe.functions import scalars as S
 from tallyframe.operators import balances, dashboard, filters, loans, quality, registers, rules, summaries
 from tallyframe.operators import overrides as O
+from tallyframe.plans import verify
 from tallyframe.schema import PERIODS, RULES
 
 STAMP = datetime.datetime(2026, 1, 1)
@@ -60,6 +61,15 @@ def test_many_rules_use_blocks(spark):
     assert got["r1"]["rule_id"] == "r0449" and got["r2"] is None
 
 
+def test_a_check_that_fails_as_it_runs_is_one_finding(spark):
+    good = quality.findings(spark.range(2), "vocabulary", "fail", F.col("id").cast("string"), "bad")
+    broken = quality.findings(spark.range(2).where(F.raise_error(F.lit("broke here")).cast("boolean")), "tail_gap", "warn", F.col("id").cast("string"), "never")
+    found = verify.run_checks(spark, {"vocabulary": lambda: good, "tail_gap": lambda: broken}).collect()
+    assert sorted(r["check"] for r in found) == ["tail_gap", "vocabulary", "vocabulary"]
+    (failed,) = [r for r in found if r["severity"] == "error"]
+    assert failed["check"] == "tail_gap" and "broke here" in failed["problem"]
+
+
 def test_pattern_errors(spark):
     bad = quality.pattern_errors(spark, loaded(spark, rule("ok", "x+"), rule("broken", "(x")))
     assert [r["subject"] for r in bad.collect()] == ["broken"]
