@@ -263,14 +263,14 @@ def _segments(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).where(F.octet_length("text") >= LENGTH)
     parts = parts_for(docs.sparkSession)
     found = _repeated_anchors(texts, parts)
-    grouped = texts.withColumn("group", (F.col("row").bitwiseAND(F.lit(LAST)) % (4 * parts)).cast("int"))
+    grouped = texts.withColumn("group", (F.col("row").bitwiseAND(F.lit(LAST)) % parts).cast("int"))
     cut = grouped.groupBy("group").cogroup(found.groupBy("group")).applyInPandas(_cutting, "segment binary, anchor long, row long, own long, at long, piece binary")
     return settle(cut, "repeat-segments")
 
 
 def _repeated_anchors(texts: DataFrame, parts: int) -> DataFrame:
-    packed = texts.select("row", "text").mapInPandas(_anchoring(8 * parts), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
-    return settle(packed.groupBy("bucket").applyInPandas(_counting(4 * parts), "group int, texts binary, numbers binary"), "repeat-anchors")
+    packed = texts.select("row", "text").mapInPandas(_anchoring(parts), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
+    return settle(packed.groupBy("bucket").applyInPandas(_counting(parts), "group int, texts binary, numbers binary"), "repeat-anchors")
 
 
 def _distinct(segments: DataFrame) -> DataFrame:
