@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.85 or more, the one with the smallest id stays."""
-    return neardup.one_of_each(docs.select(*COLUMNS))
+    """Of documents linked at a similarity of 0.80 or more, the one with the smallest id stays."""
+    return neardup.one_of_each(docs.select(*COLUMNS), percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import parts_for, settle
 
 WORDS = 5
-PERCENT = 85
+#: Similarity in hundredths from which documents are linked, unless the caller asks for another.
+PERCENT = 80
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 254
@@ -184,7 +186,7 @@ def _by_group(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]):
 GROUP = ["key", "i", "j"]
 
 
-def _close_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _close_pairs(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs inside groups that the sketches don't rule out and that belong to this band and block pair."""
     keys = rows[GROUP].to_numpy()
     new = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
@@ -199,7 +201,7 @@ def _close_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         alive = alive[alive + step < len(rows)]
         alive = alive[group[alive] == group[alive + step]]
         a, b = alive, alive + step
-        fits = (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & (~cross[a] | (block[a] != block[b])) & (ids[a] != ids[b])
+        fits = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (~cross[a] | (block[a] != block[b])) & (ids[a] != ids[b])
         a, b = a[fits], b[fits]
         for at in range(0, len(a), 20_000):
             x, y = a[at : at + 20_000], b[at : at + 20_000]
@@ -207,7 +209,7 @@ def _close_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             mine = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
             x, y = x[mine], y[mine]
             above, below = (registers[x] > registers[y]).sum(1), (registers[x] < registers[y]).sum(1)
-            aim = PERCENT / 100
+            aim = percent / 100
             sure = aim - MARGIN * np.sqrt(aim * (1 - aim) / REGISTERS)
             near = estimate(above, below, n[x].astype(float), n[y].astype(float)) >= sure
             left.append(x[near])
@@ -217,15 +219,15 @@ def _close_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _screen(rows: pd.DataFrame) -> pd.DataFrame:
+def _screen(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Rows with at least one possible partner in their group."""
-    a, b = _close_pairs(rows)
+    a, b = _close_pairs(rows, percent)
     return rows.iloc[np.unique(np.r_[a, b])]
 
 
-def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
+def _confirm(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links, confirmed on full sets, that join whatever is linked in each group."""
-    a, b = _close_pairs(rows)
+    a, b = _close_pairs(rows, percent)
     sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
     parent = list(range(len(rows)))
 
@@ -241,7 +243,7 @@ def _confirm(rows: pd.DataFrame) -> pd.DataFrame:
             small, large = sorted((sets[x], sets[y]), key=len)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             shared = int((large[at] == small).sum())
-            if 100 * shared >= PERCENT * (len(small) + len(large) - shared):
+            if 100 * shared >= percent * (len(small) + len(large) - shared):
                 parent[p] = q
                 links.append((x, y))
     ids = rows["id"].to_numpy()
@@ -254,8 +256,8 @@ def _hashing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "hashes": [shingles(x).tobytes() for x in batch["text"]]})
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links ``a, b`` between classes (``id, n, sketch``), enough of them for the components."""
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links ``a, b`` between classes (``id, n, sketch``) of ``percent`` or more, enough of them for the components."""
     spark = docs.sparkSession
     bands = classes.select("id", "sketch").mapInPandas(_banding, "key long, id long")
     shared = settle(bands.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1"), "near-buckets")
@@ -269,12 +271,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     kind = "key long, i int, j int, id long, block int, n long, sketch binary"
     grouped = lambda df: df.repartition(parts_for(spark), *GROUP).sortWithinPartitions(*GROUP, "id")
     rows = grouped(dealt.join(classes, "id").select("key", "i", "j", "id", "block", "n", "sketch"))
-    near = settle(rows.mapInPandas(_by_group(GROUP, _screen), kind), "near-candidates")
+    near = settle(rows.mapInPandas(_by_group(GROUP, functools.partial(_screen, percent=percent)), kind), "near-candidates")
     wanted = near.select("id").distinct()
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     sets = settle(texts.mapInPandas(_hashing, "id long, hashes binary"), "near-sets")
     full = grouped(near.join(sets, "id").select(*near.columns, "hashes"))
-    return settle(full.mapInPandas(_by_group(GROUP, _confirm), "a long, b long").distinct(), "near-links")
+    return settle(full.mapInPandas(_by_group(GROUP, functools.partial(_confirm, percent=percent)), "a long, b long").distinct(), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,14 +297,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``), linked from ``percent`` hundredths on."""
     prints = settle(fingerprints(docs), "near-prints")
     classes = settle(
         prints.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "near-classes",
     )
-    found = components(links(docs, classes.select("id", "n", "sketch")))
+    found = components(links(docs, classes.select("id", "n", "sketch"), percent))
     named = settle(classes.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id")), "near-named")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return prints.select("doc_id", "n", "set_id").join(named, "set_id", "left").select(
@@ -310,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of every component; columns as they are."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")

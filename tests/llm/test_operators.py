@@ -287,6 +287,23 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert all(r["component_id"] == label.get(r["doc_id"]) for r in got)
 
 
+def test_near_duplicates_from_80_on(spark):
+    """Pairs between 0.80 and 0.85 are linked by the pipeline's stage and not by op7; one below 0.80 by neither."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(12):  # an edited word loses five shingles
+        words = [f"p{k}w{j}" for j in range(204)]
+        edited = (20, 60, 100, 140) if k < 11 else (20, 60, 100, 140, 180)
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join("x" if j in edited else w for j, w in enumerate(words)))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = {k: len(sets[10 * k] & sets[10 * k + 1]) / len(sets[10 * k] | sets[10 * k + 1]) for k in range(12)}
+    assert all(0.8 < alike[k] < 0.85 for k in range(11)) and alike[11] < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {10 * k for k in range(12)} | {111}
+    assert all(r["kept"] for r in neardup.near_duplicates(docs, percent=85).collect())
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     for shared in (300, 900):
