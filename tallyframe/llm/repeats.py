@@ -7,16 +7,22 @@ Suffixes need to be ordered only by their first ``LENGTH`` bytes and only where
    hash. Equal strings have equal anchors with equal surroundings: of the bytes beside the anchor at
    least half lie on one side. So strings can repeat elsewhere only if the anchor with that many bytes
    before it, or with as many after it, occurs in another document too. Both are counted by hash, in
-   packed arrays.
+   packed arrays. Of an anchor that several texts read together hold, only the first and last places
+   go to the count; the others are known to repeat and go straight to their texts.
 2. Strings with a common anchor that touch are one segment. Equal segments are folded to one with the
    smallest id of their documents.
 3. Segments are dealt by anchor. In each part suffixes are sorted by the difference cover modulo 3:
    triples at sampled places are sorted and named, the names are sorted the same way until they are
    all different or reach over ``LENGTH`` bytes, the places between are sorted by one byte and the
    rank after it, and both orders are merged. Neighbours that agree on ``LENGTH`` bytes are a group,
-   and its smallest document id goes to each of its strings.
+   and its smallest document id goes to each of its strings. An anchor whose different segments are
+   more than a part is not dealt whole: its strings become rows, equal ones are folded to their
+   smallest id, and rows and folds are joined by string, in as many tasks as there are partitions.
 4. Each occurrence of a segment loses the strings whose smallest id is below its own.
 
+Before all, equal texts are folded: of copies with different ids only the smallest goes on, and the
+others lose everything, as each of their strings starts in it.
+
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing. A null id is larger
 than any other. Rows of equal id don't take from each other; equal rows have equal results. An empty
 table gives no rows. Other columns are ignored by :func:`repeats` and kept by :func:`without_repeats`.
@@ -39,6 +45,8 @@ from tallyframe.llm.common import parts_for, settle
 LENGTH, GRAM = 50, 16
 #: Bytes looked at together, and bytes of segments in one part of the suffix sort.
 SLICE, PART = 1 << 20, 1 << 20
+#: Bytes of text whose anchors are counted together, and that are cut together: at most, and at least if partitions would stay empty.
+MOST, FEWEST = 32 << 20, 4 << 20
 LAST = (1 << 63) - 1
 
 _BYTES = np.random.default_rng(10).integers(0, 2**64, 256, dtype=np.uint64)
@@ -94,7 +102,10 @@ def _all_runs(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _anchoring(buckets: int):
-    """Anchors of many texts at once, packed by bucket: hashes, and for each text how many it has there and which."""
+    """Anchors of many texts at once, packed by bucket: hashes, and for each text how many it has there and which.
+
+    Buckets from ``buckets`` on hold groups of texts, with anchors that are known to repeat.
+    """
 
     def pack(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         rows = np.array([r for r, *_ in held], np.int64)
@@ -102,6 +113,13 @@ def _anchoring(buckets: int):
         of = np.repeat(np.arange(len(held)), [2 * len(h) for _, h, _ in held])
         number = np.concatenate([np.arange(len(h)) for _, *both in held for h in both]).astype(np.uint32)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((rows[of], hashes))
+        new = np.flatnonzero(np.r_[True, hashes[by][1:] != hashes[by][:-1]])
+        ends = np.append(new[1:], len(by)) - 1
+        middle = np.repeat(rows[of[by[new]]] != rows[of[by[ends]]], ends - new + 1)
+        middle[new] = middle[ends] = False
+        known = by[middle]
+        bucket[known] = buckets + (rows[of[known]] & LAST) % buckets
         hashes >>= np.uint64(16)  # with the bucket more than enough to tell anchors apart; chance hits are sorted out later
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -130,18 +148,21 @@ def _anchoring(buckets: int):
 
 
 def _counting(groups: int):
-    """Anchors of a bucket that occur in more than one text, by groups of texts."""
+    """Anchors of a bucket that occur in more than one text, by as many groups of texts as there are buckets."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         short, texts, counts, numbers = (np.frombuffer(b"".join(bucket[c]), t) for c, t in (("hashes", np.uint8), ("texts", np.int64), ("counts", np.uint32), ("numbers", np.uint32)))
         hashes = np.pad(short.reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
         own = np.repeat(texts, counts)
-        order = np.lexsort((own, hashes))
-        h, t = hashes[order], own[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        start = np.flatnonzero(new)
-        several = t[start] != t[np.append(start[1:], len(t)) - 1]
-        keep = order[several[np.cumsum(new) - 1]]
+        if bucket["bucket"].iloc[0] >= groups:
+            keep = np.arange(len(own))
+        else:
+            order = np.lexsort((own, hashes))
+            h, t = hashes[order], own[order]
+            new = np.r_[True, h[1:] != h[:-1]]
+            start = np.flatnonzero(new)
+            several = t[start] != t[np.append(start[1:], len(t)) - 1]
+            keep = order[several[np.cumsum(new) - 1]]
         group = (own[keep] & LAST) % groups
         by = np.argsort(group, kind="stable")
         keep, group = keep[by], group[by]
@@ -258,19 +279,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own"), text.alias("text"))
 
 
-def _segments(docs: DataFrame) -> DataFrame:
+def _folded(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every different text once, with its smallest id, and ``row, at, upto`` of the whole of its copies with larger ids."""
+    same = F.unhex(F.md5("text"))
+    firsts = texts.select("own", same.alias("same")).groupBy("same").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = settle(firsts.where("n > 1").select("same", "first"), "repeat-copies")
+    marked = texts.withColumn("same", same).join(firsts, "same", "left")
+    alone = marked.where("first is null").select("row", "own", "text")
+    kept = marked.where("own = first").select("row", "own", "text").dropDuplicates(["row"])
+    copies = marked.where("own > first").select("row", F.lit(0).cast("long").alias("at"), F.octet_length("text").cast("long").alias("upto"))
+    return alone.unionByName(kept), copies
+
+
+def _groups_for(texts: DataFrame) -> int:
+    """Buckets of anchors and groups of texts, of ``MOST`` bytes of text on average and for every partition as far as each has ``FEWEST``."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, -(-size // MOST), min(parts_for(texts.sparkSession), -(-size // FEWEST)))
+
+
+def _segments(texts: DataFrame, groups: int) -> DataFrame:
     """``segment, anchor, row, own, at, piece``: every run of strings that may occur in another document."""
-    texts = _keyed(docs).where(F.octet_length("text") >= LENGTH)
-    parts = parts_for(docs.sparkSession)
-    found = _repeated_anchors(texts, parts)
-    grouped = texts.withColumn("group", (F.col("row").bitwiseAND(F.lit(LAST)) % parts).cast("int"))
+    found = _repeated_anchors(texts, groups)
+    grouped = texts.withColumn("group", (F.col("row").bitwiseAND(F.lit(LAST)) % groups).cast("int"))
     cut = grouped.groupBy("group").cogroup(found.groupBy("group")).applyInPandas(_cutting, "segment binary, anchor long, row long, own long, at long, piece binary")
     return settle(cut, "repeat-segments")
 
 
-def _repeated_anchors(texts: DataFrame, parts: int) -> DataFrame:
-    packed = texts.select("row", "text").mapInPandas(_anchoring(parts), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
-    return settle(packed.groupBy("bucket").applyInPandas(_counting(parts), "group int, texts binary, numbers binary"), "repeat-anchors")
+def _repeated_anchors(texts: DataFrame, groups: int) -> DataFrame:
+    packed = texts.select("row", "text").mapInPandas(_anchoring(groups), "bucket int, hashes binary, texts binary, counts binary, numbers binary")
+    return settle(packed.groupBy("bucket").applyInPandas(_counting(groups), "group int, texts binary, numbers binary"), "repeat-anchors")
 
 
 def _distinct(segments: DataFrame) -> DataFrame:
@@ -279,17 +316,65 @@ def _distinct(segments: DataFrame) -> DataFrame:
     return settle(folded, "repeat-distinct")
 
 
+def _hot_anchors(distinct: DataFrame, parts: int) -> DataFrame:
+    """``anchor`` of those with more than ``PART`` bytes of segments; cells of anchors are weighed first, as most hold none."""
+    weighed = distinct.select("anchor", F.pmod("anchor", F.lit(64 * parts)).alias("cell"), (F.octet_length("piece") + 1).alias("bytes"))
+    cells = settle(weighed.groupBy("cell").agg(F.sum("bytes").alias("total")).where(F.col("total") > PART).select("cell"), "repeat-cells")
+    hot = weighed.join(cells, "cell", "left_semi").groupBy("anchor").agg(F.sum("bytes").alias("total"))
+    return settle(hot.where(F.col("total") > PART).select("anchor"), "repeat-hot")
+
+
+RUNS = "segment binary, from int, strings int, least long"
+
+
+def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every string of every segment as a digest."""
+    for batch in batches:
+        counts = [len(p) - LENGTH + 1 for p in batch["piece"]]
+        digests = [xxhash.xxh3_128_digest(p[k : k + LENGTH]) for p, n in zip(batch["piece"], counts) for k in range(n)]
+        of = np.repeat(np.arange(len(batch)), counts)
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.empty(0, np.int32)
+        yield pd.DataFrame({"segment": batch["segment"].to_numpy()[of], "from": at, "own": batch["own"].to_numpy()[of], "string": digests})
+
+
+def _joined_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Neighbouring strings of one segment with the same smallest id as one run."""
+    for batch in batches:
+        out = []
+        for segment, strings in zip(batch["segment"], batch["strings"]):
+            for s in strings:
+                if out and out[-1][0] is segment and out[-1][3] == s["least"]:
+                    out[-1][2] += 1
+                else:
+                    out.append([segment, s["from"], 1, s["least"]])
+        yield pd.DataFrame(out, columns=["segment", "from", "strings", "least"])
+
+
+def _hot_runs(distinct: DataFrame) -> DataFrame:
+    """What :func:`_sorting` gives, with strings folded by their digests: equal strings only meet as partial minima."""
+    strings = settle(distinct.select("segment", "own", "piece").mapInPandas(_strings, "segment binary, from int, own long, string binary"), "repeat-strings")
+    folded = strings.groupBy("string").agg(F.min("own").alias("smallest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("string", "smallest")
+    named = strings.join(settle(folded, "repeat-folded"), "string", "left").select("segment", F.struct("from", F.coalesce("smallest", "own").alias("least")).alias("s"))
+    # a segment has one anchor, so no more strings than fit around it
+    return named.groupBy("segment").agg(F.sort_array(F.collect_list("s")).alias("strings")).mapInPandas(_joined_runs, RUNS)
+
+
 def removed_strings(docs: DataFrame) -> DataFrame:
     """``row, at, upto``: byte ranges to remove, which may overlap; ``row`` hashes id and text."""
-    segments = _segments(docs)
+    texts, copies = _folded(_keyed(docs).where(F.octet_length("text") >= LENGTH))
+    segments = _segments(texts, _groups_for(texts))
     distinct = _distinct(segments)
     size = distinct.agg(F.sum(F.octet_length("piece") + 1)).first()[0] or 0
-    dealt = distinct.withColumn("part", F.pmod("anchor", F.lit(max(1, -(-size // PART)))))
-    runs = settle(dealt.groupBy("part").applyInPandas(_sorting, "segment binary, from int, strings int, least long"), "repeat-runs")
+    parts = max(1, -(-size // PART))
+    hot = _hot_anchors(distinct, parts)
+    dealt = distinct.join(hot, "anchor", "left_anti").withColumn("part", F.pmod("anchor", F.lit(parts)))
+    runs = dealt.groupBy("part").applyInPandas(_sorting, RUNS)
+    runs = settle(runs.unionByName(_hot_runs(distinct.join(hot, "anchor", "left_semi"))), "repeat-runs")
     del distinct, dealt
     hit = segments.select("segment", "row", "own", "at").join(runs, "segment").where("least < own")
     start = F.col("at") + F.col("from")
-    return settle(hit.select("row", start.alias("at"), (start + F.col("strings") + LENGTH - 1).alias("upto")), "repeat-ranges")
+    ranges = hit.select("row", start.alias("at"), (start + F.col("strings") + LENGTH - 1).alias("upto"))
+    return settle(ranges.unionByName(copies), "repeat-ranges")
 
 
 def _covered(ranges) -> list[tuple[int, int]]:

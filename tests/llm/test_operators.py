@@ -436,6 +436,46 @@ def test_repeats_over_slices_and_parts(spark, monkeypatch):
     assert rows_of(repeats.repeats(documents(spark)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(document_rows())
 
 
+def hot_rows():
+    """A line of 40 bytes in 400 different surroundings, a passage around it in some, and copies of one text."""
+    import random
+
+    rng = random.Random(4)
+    line, passage = "one very common line of forty bytes, so.", "some words before and " + "one very common line of forty bytes, so." + " and some after"
+    noise = lambda: "".join(rng.choice("abcdefghij ") for _ in range(60))
+    rows = [(i, noise() + (passage if i % 7 == 0 else line) + noise()) for i in range(400)]
+    return rows + [(400 + i, rows[3][1]) for i in range(20)] + [rows[5]] * 5 + [(None, rows[9][1])] * 2
+
+
+def test_repeats_around_a_hot_anchor(spark, monkeypatch):
+    """No group of the suffix sort holds more than the anchors that fit a part, and results stay the same."""
+    monkeypatch.setattr(repeats, "PART", 2000)
+    monkeypatch.setattr(repeats, "MOST", 20_000)
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(repeats.repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+    texts, copies = repeats._folded(repeats._keyed(docs))
+    assert texts.count() == len({t for _, t in rows}) and copies.count() == 22 and repeats._groups_for(texts) > 2
+    distinct = repeats._distinct(repeats._segments(texts, 4))
+    hot = {r["anchor"] for r in repeats._hot_anchors(distinct, 20).collect()}
+    weight = collections.Counter()
+    for r in distinct.collect():
+        weight[r["anchor"]] += len(r["piece"]) + 1
+    assert hot == {a for a, n in weight.items() if n > 2000} and hot
+
+
+def test_anchors_known_to_repeat_pass_the_count():
+    """Of an anchor in all texts of a batch two places reach its bucket."""
+    import pandas as pd
+
+    rows = [(i, t) for i, t in hot_rows()[:400]]
+    packed = pd.concat(repeats._anchoring(1)(iter([pd.DataFrame(rows, columns=["row", "text"])])))
+    assert set(packed["bucket"]) == {0, 1}
+    counted = packed[packed["bucket"] == 0]
+    hashes = np.frombuffer(b"".join(counted["hashes"]), np.uint8).reshape(-1, 6)
+    assert np.unique(hashes, axis=0, return_counts=True)[1].max() == 2
+
+
 def test_suffix_order():
     import random
 
