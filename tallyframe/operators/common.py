@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.ranges import number_in_group
+
 HOUSEHOLD = ("household_id",)
 
 
@@ -85,28 +87,6 @@ def join_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], da
     return rows.alias("r").join(intervals.alias("i"), condition).select("r.*", *values)
 
 
-def rank_in_group(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "rank", prefix: int = 6, weight: str | None = None
-) -> DataFrame:
-    """1-based position by a string column inside each group, without sorting a group in one task.
-
-    Rows are bucketed by the first ``prefix`` characters, which keep the string order;
-    each bucket is ordered on its own and shifted by the sizes of the buckets before it.
-    With ``weight`` a row takes that many places and gets the first of them.
-    """
-    places = F.lit(1) if weight is None else F.col(weight)
-    # Never null, so the join below adds no filter and both its sides share one shuffle.
-    bucketed = df.withColumn("_b", F.coalesce(F.substring(order, 1, prefix), F.lit("")))
-    sizes = bucketed.groupBy(*keys, "_b").agg(F.sum(places).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order)
-    before = F.row_number().over(inside) - 1
-    if weight is not None:
-        before = F.coalesce(F.sum(places).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return bucketed.join(sizes, [*keys, "_b"]).withColumn(name, F.col("_base") + before + 1).drop("_b", "_base")
-
-
 COPY_CHUNK = 10_000
 
 
@@ -118,7 +98,7 @@ def number_copies(df: DataFrame, keys: Sequence[str], digest: Column, name: str
     """
     columns = df.columns
     folded = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_digest", digest)
-    placed = rank_in_group(folded, keys, "_digest", name="_first", prefix=3, weight="_copies")
+    placed = number_in_group(folded, keys, ["_digest"], name="_first", weight="_copies")
     # Many copies unfold in chunks, and chunks are spread by size before they unfold.
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPY_CHUNK))
     spread = placed.withColumn("_chunk", F.explode(chunks)).hint("rebalance")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
-from tallyframe.operators.common import rank_in_group
+from tallyframe.operators.ranges import number_in_group
 from tallyframe.session import cut_lineage
 
 AMOUNT_KEY = ("household_id", "cents")
@@ -203,7 +203,7 @@ def balanced_groups(cells: DataFrame) -> DataFrame:
 def group_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of balanced groups zipped one to one in id order."""
     members = rows.join(groups, list(CELL))
-    ranked = rank_in_group(members, ["group_id", "account_id"], "id")
+    ranked = number_in_group(members, ["group_id", "account_id"], ["id"])
     sides = ranked.groupBy("group_id", "household_id", "cents", "rank").agg(
         F.min(F.struct("account_id", "id", "day")).alias("a"), F.max(F.struct("account_id", "id", "day")).alias("b")
     )

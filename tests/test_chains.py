@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import chains, quality
-from tallyframe.operators.common import number_copies, rank_in_group
+from tallyframe.operators.common import number_copies
+from tallyframe.operators.ranges import number_in_group
 
 DAY = datetime.date(2024, 3, 1)
 ROWS = "account_id string, occurred_on date, amount decimal(18,2), running_balance decimal(18,2)"
@@ -111,13 +112,46 @@ def test_income_fill_matches_greedy(spark, seed):
     assert got == {k: v for k, v in expected.items()}
 
 
-def test_rank_in_group(spark):
+def ranked_by_hand(rows, weight=lambda row: 1):
+    """1-based places of (group, order, ...) rows by hand; nulls first."""
+    want, at = {}, {}
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or "")):
+        want[row] = at.get(row[0], 0) + 1
+        at[row[0]] = at.get(row[0], 0) + weight(row)
+    return want
+
+
+def test_number_in_group(spark):
     rng = random.Random(3)
-    rows = [(f"g{rng.randrange(3)}", f"{rng.randrange(16**6):06x}-{i}") for i in range(400)]
-    got = rank_in_group(spark.createDataFrame(rows, "g string, id string"), ["g"], "id", prefix=2).collect()
-    for group in {g for g, _ in rows}:
-        ordered = sorted(i for g, i in rows if g == group)
-        assert [r["id"] for r in sorted((r for r in got if r["g"] == group), key=lambda r: r["rank"])] == ordered
+    rows = [(rng.choice(("a", "b", None)), f"{rng.randrange(16**6):06x}-{i}", rng.randrange(5)) for i in range(400)] + [("a", None, 2), ("", "x", 1)]
+    df = spark.createDataFrame(rows, "g string, id string, w int").repartition(3)
+    got = {(r["g"], r["id"], r["w"]): r["rank"] for r in number_in_group(df, ["g"], ["id"]).collect()}
+    assert got == ranked_by_hand(rows)
+    heavy = {(r["g"], r["id"], r["w"]): r["first"] for r in number_in_group(df, ["g"], ["id"], name="first", weight="w").collect()}
+    assert heavy == ranked_by_hand(rows, lambda row: row[2])
+    assert number_in_group(df.limit(0), ["g"], ["id"]).collect() == []
+
+
+def test_number_in_group_spreads_one_group_over_every_task(spark):
+    """Ids with a common beginning and one group of all rows: no task holds much more than its share."""
+    from tallyframe.session import cut_lineage
+
+    seen = []
+
+    def watched(df):
+        laid = cut_lineage(df)
+        seen.append([r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect()])
+        return laid
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.lit("one").alias("g"), F.format_string("%020d", F.col("id") * 7 % 4001).alias("id"))
+        out = number_in_group(df, ["g"], ["id"], cut=watched).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["rank"] for r in sorted(out, key=lambda r: r["id"])] == list(range(1, 4001))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(seen[0]) == tasks and max(seen[0]) < 2 * 4000 / tasks
 
 
 def test_number_copies(spark, monkeypatch):
