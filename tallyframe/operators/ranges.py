@@ -25,11 +25,13 @@ def number_in_group(
     order: Sequence[str],
     name: str = "rank",
     weight: str | None = None,
+    size: str | None = None,
     cut: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """1-based position of each row of ``df`` inside its group, as a long, by columns ``order`` (nulls first).
 
-    With ``weight`` a row takes that many places and gets the first of them. Null keys are a group of
+    With ``weight`` a row takes that many places and gets the first of them; ``size`` names a column
+    for the places of the whole group. Null keys are a group of
     their own. Rows that agree on ``keys`` and ``order`` stay in one task, so ``order`` should tell
     most rows of a group apart; between equal rows the order is any. An empty table gives none.
 
@@ -44,7 +46,7 @@ def number_in_group(
     earlier = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     # own names, as both sides stem from one table
     base = F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base")
-    sizes = sizes.select(F.col("__task").alias("__t"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__first", base)
+    sizes = sizes.select(F.col("__task").alias("__t"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__first", base, F.sum("__n").over(Window.partitionBy(*keys)).alias("__size"))
     if weight is not None:
         inside = Window.partitionBy("__task", *keys).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)
         laid = laid.withColumn("__before", F.coalesce(F.sum(places).over(inside), F.lit(0)))
@@ -52,4 +54,5 @@ def number_in_group(
     for i, key in enumerate(keys):
         condition = condition & F.col(key).eqNullSafe(F.col(f"__k{i}"))
     before = F.col("__base") + (F.col(_PLACE) - F.col("__first") if weight is None else F.col("__before"))
-    return laid.join(sizes, condition).select(*df.columns, (before + 1).alias(name))
+    whole = [F.col("__size").alias(size)] if size else []
+    return laid.join(sizes, condition).select(*df.columns, (before + 1).alias(name), *whole)
