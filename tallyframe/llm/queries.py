@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, mixing, mtree, neardup, packing, repeats, sequences, syncmers, urls, warc
+from tallyframe.llm import langid, lexicon, merkle, mixing, mtree, neardup, packing, repeats, sequences, syncmers, urls, warc, whitening
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,29 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language, op10_repeats)}
+def op11_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexicon.round_trip(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_every())
+    return merkle.verified(rows).drop("path", "claimed")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_syncmers, op3_sequences, op4_nearest, op5_packing, op6_urls, op7_near_duplicates, op8_mix, op9_language, op10_repeats,
+        op11_lexicon, op12_merkle, op13_whitening,
+    )
+}
 # Only what SQL can say: no tokenizer, learned model, hash of Spark's or byte-wise suffix sort.
 ORACLES: dict[str, str] = {}
 
@@ -112,3 +134,36 @@ x AS (
 y AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY u, CAST(doc_id AS VARCHAR)) AS upto FROM x)
 SELECT doc_id, size, source_size, target, size * CAST(base + CASE WHEN upto - size / 2.0 <= need THEN 1 ELSE 0 END AS BIGINT) AS taken FROM y
 """
+
+ORACLES["op12_merkle"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, n_chars, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS f,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS g,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 7 = 0 AS hit FROM documents),
+l AS (
+  SELECT doc_id, grp, sha256(array_to_string(list_transform(f, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), '')) AS leaf,
+    sha256(array_to_string(list_transform(CASE WHEN hit THEN g ELSE f END, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), '')) AS claimed FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM l),
+t AS (
+  SELECT grp, 0 AS lvl, idx, n, leaf AS h FROM n
+  UNION ALL SELECT grp, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY grp, lvl, idx // 2, n),
+s AS (SELECT grp, h, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos AS idx, n, h FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 2, n),
+a AS (SELECT grp, lvl, idx, n, h, 0 AS tier FROM t WHERE n > 1 UNION ALL SELECT '', lvl, idx, n, h, 1 FROM u WHERE n > 1),
+p AS (
+  SELECT doc_id, n.grp, n.idx, n.leaf, 0 AS tier, x.lvl, n.idx // CAST(2 ** x.lvl AS BIGINT) AS at FROM n JOIN (SELECT DISTINCT grp, lvl FROM a WHERE tier = 0) x ON x.grp = n.grp
+  UNION ALL SELECT doc_id, n.grp, n.idx, n.leaf, 1, x.lvl, s.pos // CAST(2 ** x.lvl AS BIGINT) FROM n JOIN s ON s.grp = n.grp CROSS JOIN (SELECT DISTINCT lvl FROM a WHERE tier = 1) x),
+q AS (
+  SELECT p.grp, p.idx, list(struct_pack(b := CASE WHEN p.at % 2 = 1 THEN coalesce(a.h, '') ELSE '' END, e := CASE WHEN p.at % 2 = 0 THEN coalesce(a.h, '') ELSE '' END) ORDER BY p.tier, p.lvl) AS path
+  FROM p LEFT JOIN a ON a.tier = p.tier AND a.lvl = p.lvl AND a.idx = xor(p.at, 1) AND (p.tier = 1 OR a.grp = p.grp) GROUP BY p.grp, p.idx),
+r AS (
+  SELECT n.doc_id, n.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(q.path, []) AS path, n.claimed
+  FROM n JOIN s ON s.grp = n.grp LEFT JOIN q ON q.grp = n.grp AND q.idx = n.idx),
+f AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.b || x.e), '')) AS proof_sha256,
+    list_reduce(list_concat([struct_pack(b := claimed, e := '')], path), lambda c, x: struct_pack(b := sha256(x.b || c.b || x.e), e := '')).b AS folded_root FROM r)
+SELECT *, folded_root = root AS verified FROM f
+"""
