@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import rules as R
@@ -41,7 +41,7 @@ def reset_groups(ledger: DataFrame, accounts: Sequence[str] = (), within: Column
 
 def remediate(
     ledger: DataFrame,
-    rules: Sequence[Row],
+    rules: R.Rules,
     overrides: DataFrame,
     *,
     batch: str | None = None,

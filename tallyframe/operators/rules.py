@@ -1,4 +1,8 @@
-"""Rule classification: prioritised regular expressions compiled into one column expression."""
+"""Rule classification by prioritised regular expressions.
+
+A short rule table is one column expression; a table of any length is a join (``rule_index``). Both
+give the same rows, so every function here takes either: a sequence of rules or a DataFrame.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,11 @@ from pyspark.sql import functions as F
 from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
 from tallyframe.operators import overrides as O
+from tallyframe.operators import rule_index
 from tallyframe.schema import OVERRIDABLE, RULES
 
-# Rules are written by hand; a table beyond this is a mistake, not a workload.
-MAX_RULES = 20_000
+# Up to here a rule table becomes an expression; a longer one is joined.
+EXPRESSION_RULES = 2_000
 RULES_PER_BLOCK = 200
 
 # The default rules. Roles name no person; a household edits them.
@@ -49,12 +54,13 @@ def in_order(rules: DataFrame) -> DataFrame:
     return rules.orderBy("priority", "created_at", "id")
 
 
-def load_rules(rules: DataFrame, limit: int = MAX_RULES) -> list[Row]:
-    """The rule table on the driver, in evaluation order, refused when it is not a small table."""
+Rules = Sequence[Row] | DataFrame
+
+
+def load_rules(rules: DataFrame, limit: int = EXPRESSION_RULES) -> Rules:
+    """The rule table in evaluation order on the driver where it is short, else the table itself, to be joined."""
     rows = in_order(rules).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules")
-    return rows
+    return rules if len(rows) > limit else rows
 
 
 def _match(rule: Row) -> Column:
@@ -86,14 +92,17 @@ def first_match(rules: Sequence[Row]) -> Column:
     return F.coalesce(*blocks)
 
 
-def match_rules(ledger: DataFrame, rules: Sequence[Row]) -> DataFrame:
-    """Every row with the rule that would classify it."""
-    return ledger.withColumn("match", first_match(rules))
+def match_rules(ledger: DataFrame, rules: Rules, eligible: Column | None = None, name: str = "match") -> DataFrame:
+    """Every row with the rule that would classify it, null where none does or the row is not eligible."""
+    asked = F.lit(True) if eligible is None else eligible
+    if isinstance(rules, DataFrame):
+        return rule_index.with_matches(ledger, rules, asked, name)
+    return ledger.withColumn(name, F.when(asked, first_match(rules)))
 
 
 def classify(
     ledger: DataFrame,
-    rules: Sequence[Row],
+    rules: Rules,
     overrides: DataFrame,
     *,
     reclassify_all: bool = False,
@@ -107,7 +116,7 @@ def classify(
     eligible = ~S.is_flagged() if reclassify_all else F.col("primary_category") == "unclassified"
     if account:
         eligible = eligible & (F.col("account_id") == account)
-    marked = base.withColumn("_m", F.when(eligible, first_match(rules)))
+    marked = match_rules(base, rules, eligible, "_m")
     changed = {f: F.coalesce(F.col(f"_m.{f}"), F.col(f)) for f in OVERRIDABLE}
     provenance = S.merge_metadata(
         "metadata", {"classifier_rule_id": F.col("_m.rule_id"), "classifier_confidence": F.col("_m.confidence")}
@@ -118,7 +127,7 @@ def classify(
 
 def classify_counts(
     ledger: DataFrame,
-    rules: Sequence[Row],
+    rules: Rules,
     overrides: DataFrame,
     *,
     reclassify_all: bool = False,
@@ -135,8 +144,8 @@ def classify_counts(
     if account:
         scanned = scanned & (F.col("account_id") == account)
     eligible = scanned & ~S.is_flagged() if reclassify_all else scanned
-    hit = F.when(eligible, first_match(rules)).isNotNull()
-    return base.where(scanned).groupBy(*scope).agg(
+    hit = F.col("_m").isNotNull()
+    return match_rules(base.where(scanned), rules, eligible, "_m").groupBy(*scope).agg(
         F.count("*").alias("scanned"), F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unclassified")
     )
 

@@ -63,6 +63,53 @@ def rule_match(spark: SparkSession, d: str) -> DataFrame:
     return matched.select("id", "match.rule_id", "match.confidence")
 
 
+def long_rules(spark: SparkSession, d: str) -> DataFrame:
+    """One rule per part, as many as there are parts: names with and without a gap, filters, rules without outputs, catch-alls."""
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    name = F.when(key % 2 == 0, F.col("p_name")).otherwise(F.regexp_replace("p_name", " ", "(?: |\\\\s{2,})"))
+    return L.table(spark, d, "part").select(
+        F.concat(F.lit("m-"), F.lpad(key.cast("string"), 9, "0")).alias("id"),
+        F.when(key % 50 == 9, F.lit(".+")).otherwise(name).alias("pattern"),
+        F.when(key % 3 == 0, F.concat(F.lit("acct-"), F.lpad((key % 101).cast("string"), 12, "0"))).otherwise(F.when(key % 50 == 9, F.lit("acct-000000000003"))).alias("account_filter"),
+        F.when(key % 4 == 1, F.lit("inflow")).when(key % 4 == 3, F.lit("outflow")).otherwise(F.lit("")).alias("direction_filter"),
+        F.when(key % 11 != 0, F.concat(F.lit("c"), (key % 7).cast("string"))).alias("primary_category"), none.alias("subcategory"),
+        none.alias("merchant_normalized"), none.alias("household_role"), none.alias("lifecycle"), F.lit("high").alias("confidence"),
+        (key * 37 % 1009).cast("int").alias("priority"), F.lit("2026-01-01").cast("timestamp").alias("created_at"),
+    )
+
+
+LONG_RULE_SQL = """
+mr AS (
+  SELECT 'm-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS rid, CASE WHEN p_partkey % 50 = 9 THEN '' ELSE p_name END AS part,
+    CASE WHEN p_partkey % 3 = 0 THEN 'acct-' || lpad(CAST(p_partkey % 101 AS VARCHAR), 12, '0') WHEN p_partkey % 50 = 9 THEN 'acct-000000000003' END AS acct,
+    CASE p_partkey % 4 WHEN 1 THEN 'inflow' WHEN 3 THEN 'outflow' END AS dir, 'c' || p_partkey % 7 AS cat, p_partkey * 37 % 1009 AS pri
+  FROM part WHERE p_partkey % 11 <> 0),
+mh AS (
+  SELECT id, arg_min(struct_pack(rid := rid, cat := cat), struct_pack(p := pri, i := rid)) AS m
+  FROM ol JOIN mr ON (acct IS NULL OR acct = account_id) AND (dir IS NULL OR dir = direction) AND contains(lower(description_raw), part) GROUP BY id)"""
+
+
+@query("join7_many_rules", "ol", f"""
+WITH {LONG_RULE_SQL}
+SELECT ol.id, m.rid AS rule_id, m.cat AS primary_category FROM ol LEFT JOIN mh ON mh.id = ol.id
+""")
+def many_rules(spark: SparkSession, d: str) -> DataFrame:
+    matched = rules.match_rules(L.orders_ledger(spark, d, household=False), long_rules(spark, d))
+    return matched.select("id", "match.rule_id", "match.primary_category")
+
+
+@query("cls1_many_rules_counts", "ol ov", f"""
+WITH {LONG_RULE_SQL},
+g AS (SELECT DISTINCT account_id, occurred_on, amount, description_raw FROM ov)
+SELECT household_id, count(*) AS scanned, count(*) FILTER (g.account_id IS NULL AND m IS NOT NULL) AS matched,
+  count(*) FILTER (g.account_id IS NOT NULL OR m IS NULL) AS unclassified
+FROM ol LEFT JOIN mh ON mh.id = ol.id LEFT JOIN g ON g.account_id = ol.account_id AND g.occurred_on = ol.occurred_on AND g.amount = ol.amount
+  AND g.description_raw = ol.description_raw GROUP BY 1
+""")
+def many_rules_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rules.classify_counts(_ledger(spark, d), long_rules(spark, d), L.overrides(spark, d), reclassify_all=True, scope=["household_id"])
+
+
 @query("cls1_classify", "ol ov", f"""
 WITH {RULE_SQL},
 m AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import overrides as O
@@ -28,7 +28,7 @@ REACH_DAYS = 3 * transfers.TOLERANCE_DAYS
 def close(
     ledger: DataFrame,
     batch: DataFrame,
-    rules: Sequence[Row],
+    rules: R.Rules,
     overrides: DataFrame,
     *,
     domain: Column | None = None,
@@ -58,7 +58,7 @@ def ingest_into(
     spark: SparkSession,
     path: str,
     batch: DataFrame,
-    rules: Sequence[Row],
+    rules: R.Rules,
     overrides: DataFrame,
     *,
     domain: Column | None = None,

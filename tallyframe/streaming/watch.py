@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
+from tallyframe.operators import rules as R
 from tallyframe.operators import summaries
 from tallyframe.plans import ingest
 from tallyframe.sources.layouts import Layout, parse
@@ -49,7 +50,7 @@ def watch_folder(
     ledger_path: str,
     events_path: str,
     checkpoint: str,
-    rules: Sequence[Row],
+    rules: R.Rules,
     overrides: DataFrame,
     household: str = "household",
     after: Callable[[DataFrame, int], None] | None = None,

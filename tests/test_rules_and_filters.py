@@ -54,6 +54,66 @@ def test_override_protection_and_counts(spark):
     assert out["r1"] == ("medical", "seasonal")
 
 
+PATTERNS = (
+    "amazon", r"\bamzn\b|prime", "whole foods|wholefds", ".+", "^small", "a{2,}bc", "(?:coffee|tea) house", "co(?:ff|rn)ee?shop", r"check#\s*\d+", "x+yz?abc", r"a\.b\.c",
+    r"\Qa+b\E", "[a-z]{3}", "[[a-c]x]yz", r"\x41bc", "(?x) s p a c e d", "é cole", r"100\%", "(?i)ring$", "|empty", "((a|b)(c|d))efg", "ab*", "foo+?bar", r"\\\\share", "(?u)kelvin",
+    "under_score", "tr.nsfer", "zahlung(?= an)", "ÄRGER", "a-b/c", r"\p{Lu}bc", r"(..)\1", "half(", "A",
+)
+TEXTS = (
+    "AMAZON mktp", "AMZN digital", "amazing PRIME", "WHOLEFDS 12", "small ring", "aaBC", "Tea House 9", "coffeeshop", "cornshop", "corneshop", "CHECK# 12", "xxyabc", "a.b.c", "a+b", "xyz",
+    "Abc", "spaced", "é Cole", "100%", "the RING", "", " ", "adefg", "acEFG", "fooobar", r"\\share", "Kelvin", "UNDER_SCORE", "transfer", "TRANSFER", "Zahlung an", "Ärger", "ärger", "a-b/c",
+    "abab", "漢字 amazon", "half(", "no match at all", None,
+)
+
+
+def test_a_required_text_stands_in_every_match(spark):
+    """Whatever a pattern matches holds one of its required texts."""
+    from tallyframe.operators import rule_index
+
+    book = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    texts = {r["pattern"]: r["t"] for r in book.select("pattern", rule_index.required_texts(F.col("pattern")).alias("t")).collect()}
+    assert texts["amazon"] == ["amazon"] and texts[r"\bamzn\b|prime"] == ["amzn", "prime"] and texts["a{2,}bc"] == [] and texts["tr.nsfer"] == ["nsfer"]
+    assert texts["(?:coffee|tea) house"] == [" house"] and texts["foo+?bar"] == ["foo"] and texts["ab*"] == [] and texts[r"check#\s*\d+"] == ["check#"]
+    valid = book.where("pattern <> 'half('").withColumn("needed", rule_index.required_texts(F.col("pattern")))
+    met = valid.crossJoin(spark.createDataFrame([(t,) for t in TEXTS], "text string")).where(F.rlike(F.col("text"), F.concat(F.lit("(?i)"), F.col("pattern"))))
+    holds = F.exists("needed", lambda t: F.contains(rule_index.folded(F.col("text")), t)) | (F.size("needed") == 0)
+    assert met.count() > len(TEXTS) and met.where(~holds).collect() == []
+
+
+def test_joined_rules_are_those_of_the_expression(spark):
+    """Both forms give every row the same rule: filters, ties, nulls, alternations, patterns without a required text."""
+    valid = [p for p in PATTERNS if p not in ("half(",)]
+    book = [
+        rule(f"r{i:03d}", p, priority=(i * 7) % 5 if p != ".+" else 9, direction=(None, "inflow", "")[i % 3], account=(None, None, "a", "")[i % 4], category=None if i % 9 == 8 else f"c{i}")
+        for i, p in enumerate(valid * 2)
+    ]
+    table = spark.createDataFrame(book, RULES)
+    rows = frame(spark, *[ledger_row(i, "ab"[i % 2], "2026-01-01", "-5", ("inflow", "outflow")[i // 2 % 2], text=t) for i, t in enumerate(t for t in TEXTS * 4)])
+    rows = rows.withColumn("account_id", F.when(F.col("id") != "r3", F.col("account_id")))
+    eligible = F.col("id") != "r5"
+    short = {r["id"]: r["match"] for r in rules.match_rules(rows, rules.load_rules(table), eligible).collect()}
+    long = {r["id"]: r["match"] for r in rules.match_rules(rows, table, eligible).collect()}
+    assert short == long and len(long) == 4 * len(TEXTS) and sum(m is not None for m in long.values()) > len(TEXTS)
+    written = [{r["id"]: r for r in rules.classify(rows, book, no_overrides(spark)).collect()} for book in (table, rules.load_rules(table))]
+    assert written[0] == written[1]
+    assert {r["match"] for r in rules.match_rules(rows, table.limit(0)).collect()} == {None}
+
+
+def test_fifty_thousand_rules(spark):
+    """No table of rules is refused, and a join tests few pairs of it."""
+    n = 50_000
+    table = spark.range(n).select(
+        F.format_string("r%05d", "id").alias("id"), F.format_string("merchant %05d$", "id").alias("pattern"), F.lit(None).cast("string").alias("account_filter"),
+        F.lit(None).cast("string").alias("direction_filter"), F.format_string("c%d", "id").alias("primary_category"), *[F.lit(None).cast("string").alias(c) for c in ("subcategory", "merchant_normalized", "household_role", "lifecycle")],
+        F.lit("high").alias("confidence"), F.lit(10).alias("priority"), F.lit(STAMP).alias("created_at"),
+    )
+    loaded_rules = rules.load_rules(table)
+    assert not isinstance(loaded_rules, list)
+    rows = frame(spark, *[ledger_row(i, "a", "2026-01-01", "-5", "outflow", text=f"MERCHANT {i * 99:05d}") for i in range(60)], ledger_row(999, "a", "2026-01-01", "-5", "outflow", text="merchant 1"))
+    got = {r["id"]: r["match"] and r["match"]["primary_category"] for r in rules.match_rules(rows, loaded_rules).collect()}
+    assert got == {f"r{i}": f"c{i * 99}" for i in range(60)} | {"r999": None}
+
+
 def test_many_rules_use_blocks(spark):
     book = loaded(spark, *[rule(f"r{i:04d}", f"word{i}$", 10, category=f"c{i}") for i in range(450)])
     rows = frame(spark, ledger_row(1, "a", "2026-01-01", "-5", "outflow", text="word449"), ledger_row(2, "a", "2026-01-01", "-5", "outflow", text="none"))
