@@ -2,8 +2,8 @@
 
 A row with balance ``b`` and amount ``a`` is an edge from ``b - a`` to ``b``. The rows of
 an account-day form one chain when they link into a single path. All degree tests are
-counts per balance value; only days that pass them and could still hide a closed loop
-are walked.
+counts per balance value; days that pass them may still hide a closed loop beside the path,
+so they are walked: edges are contracted over all tasks first, and what is left of a day in its row.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
 from tallyframe.operators.common import as_of_values
-from tallyframe.session import cut_lineage
 
 ACCOUNT_DAY = ("account_id", "occurred_on")
 
-# Days with more edges than this are walked by doubling jumps instead of in a row.
-WALK_IN_ROW = 512
+# Each round joins about a third of a path's edges to their followers, so 8 rounds leave one in 25.
+ROUNDS = 8
+# What is left of a day is looked up in so many small maps, as a map is searched from its start.
+DRAWERS = 64
 
 
 def _value_degrees(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,48 +65,47 @@ def _day_shape(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _walk_in_row(rows: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Follow the edges of small days inside one row: ``(keys, end)``, null where the walk stops short."""
-    edges = rows.select(
-        *keys, S.cents("running_balance").alias("b"), (S.cents("running_balance") - S.cents("amount")).alias("p")
-    ).where("b <> p")
-    steps = edges.join(days.select(*keys, "first_value", "edge_count"), list(keys)).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("p", "b"))).alias("next"),
-        F.first("first_value").alias("first_value"),
-        F.first("edge_count").alias("edge_count"),
+def contract(edges: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
+    """Paths and loops of ``edges`` (``keys, at, to``; one edge in and one out of a value at most) made shorter.
+
+    Each round draws a number per value and sends every edge to that end which drew more. Where the
+    edge into a value meets the edge out of it, the two become one. So ends of paths stay, a loop
+    shrinks to an edge from a value to itself, and a day of any length is spread over its values.
+    A round is one aggregation: the plan grows by one step and nothing runs while it is built.
+    """
+    for number in range(rounds):
+        draw = [F.xxhash64(F.lit(number), F.col(end)) for end in ("at", "to")]
+        met = edges.select(*keys, "at", "to", F.when(draw[0] > draw[1], F.col("at")).otherwise(F.col("to")).alias("v"))
+        ends = met.groupBy(*keys, "v").agg(
+            F.max(F.when(F.col("to") == F.col("v"), F.col("at"))).alias("came"), F.max(F.when(F.col("at") == F.col("v"), F.col("to"))).alias("goes")
+        )
+        edges = ends.select(*keys, F.coalesce("came", "v").alias("at"), F.coalesce("goes", "v").alias("to"))
+    return edges
+
+
+def _walk(rows: DataFrame, days: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+    """Where the walk from a day's head ends after all of its edges: ``(keys, end)``, null where it stops short.
+
+    Days that are no path by their counts lose edges on the way, but they are not in ``days``.
+    """
+    edges = rows.select(*keys, (S.cents("running_balance") - S.cents("amount")).alias("at"), S.cents("running_balance").alias("to")).where("`at` <> `to`")
+    drawer = F.pmod(F.xxhash64("at"), F.lit(DRAWERS))
+    left = contract(edges, keys, rounds).join(days.select(*keys, "first_value"), list(keys)).withColumn("drawer", drawer)
+    drawers = left.groupBy(*keys, "drawer").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "to"))).alias("next"), F.count("*").alias("steps"), F.first("first_value").alias("first_value")
     )
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.col("edge_count").cast("int")),
-        F.struct(F.col("first_value").alias("at"), F.lit(True).alias("ok")),
-        lambda acc, _: F.struct(
-            F.coalesce(F.try_element_at(F.col("next"), acc["at"]), acc["at"]).alias("at"),
-            (acc["ok"] & F.map_contains_key(F.col("next"), acc["at"])).alias("ok"),
-        ),
+    steps = drawers.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("drawer", "next"))).alias("next"), F.sum("steps").alias("steps"), F.first("first_value").alias("first_value")
     )
-    return steps.select(*keys, F.when(walked["ok"], walked["at"]).alias("end"))
 
+    def following(at: Column) -> Column:
+        return F.try_element_at(F.try_element_at(F.col("next"), F.pmod(F.xxhash64(at), F.lit(DRAWERS))), at)
 
-def _walk_by_doubling(rows: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same walk for large days: jump tables of 1, 2, 4, ... edges joined to the position."""
-    keys = list(keys)
-    at = days.select(*keys, "edge_count", F.col("first_value").alias("at"))
-    jump = (
-        rows.join(days.select(*keys), keys)
-        .select(*keys, (S.cents("running_balance") - S.cents("amount")).alias("at"), S.cents("running_balance").alias("to"))
-        .where("`at` <> `to`")
-    )
-    longest = days.agg(F.max("edge_count")).first()[0] or 0
-    for bit in range(int(longest).bit_length()):
-        moving = F.col("edge_count").bitwiseAND(1 << bit) != 0
-        at = cut_lineage(
-            at.join(jump, [*keys, "at"], "left").select(*keys, "edge_count", F.when(moving, F.col("to")).otherwise(F.col("at")).alias("at"))
-        )
-        onward = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("then"))
-        jump = cut_lineage(jump.join(onward, [*keys, "to"]).select(*keys, "at", F.col("then").alias("to")))
-    return at.select(*keys, F.col("at").alias("end"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.col("steps").cast("int")), F.col("first_value"), lambda at, _: following(at))
+    return steps.select(*keys, walked.alias("end"))
 
 
-def intraday_chains(rows: DataFrame, keys: Sequence[str] = ACCOUNT_DAY, walk_in_row: int = WALK_IN_ROW) -> DataFrame:
+def intraday_chains(rows: DataFrame, keys: Sequence[str] = ACCOUNT_DAY, rounds: int = ROUNDS) -> DataFrame:
     """Opening, closing and ambiguity of every account-day of rows that carry ``running_balance``.
 
     Row order is never read. A fork, a gap, a duplicate or a closed loop makes the day ambiguous.
@@ -117,12 +117,7 @@ def intraday_chains(rows: DataFrame, keys: Sequence[str] = ACCOUNT_DAY, walk_in_
     # A loop takes two edges; the path beside it may be a lone zero row without any.
     needs_walk = linked & (F.col("edge_count") >= 2)
     days = days.withColumn("linked", linked).withColumn("needs_walk", needs_walk)
-    small = days.where(F.col("needs_walk") & (F.col("edge_count") <= walk_in_row))
-    ends = _walk_in_row(rows, small, keys)
-    large = days.where(F.col("needs_walk") & (F.col("edge_count") > walk_in_row))
-    if _may_exceed(rows, keys, walk_in_row):
-        large = cut_lineage(large)
-        ends = ends.unionByName(_walk_by_doubling(rows, large, keys))
+    ends = _walk(rows, days.where("needs_walk"), keys, rounds)
     ambiguous = ~F.col("linked") | (F.col("needs_walk") & ~F.coalesce(F.col("end") == F.col("last_value"), F.lit(False)))
     alone = F.col("row_count") == 1
     return (
@@ -139,12 +134,6 @@ def intraday_chains(rows: DataFrame, keys: Sequence[str] = ACCOUNT_DAY, walk_in_
     )
 
 
-def _may_exceed(rows: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """Whether any account-day holds more rows than ``limit``: one counting pass, one row back."""
-    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) > limit
-
-
 def _money(value: Column) -> Column:
     return (value.cast("decimal(20,0)") / 100).cast("decimal(18,2)")
 

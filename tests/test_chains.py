@@ -51,14 +51,14 @@ def degrees_clear(rows):
     return max(after) <= 1 and max(before) <= 1 and after.count(0) == 1 and before.count(0) == 1
 
 
-@pytest.mark.parametrize("walk_in_row", [512, 2])
-def test_chains_match_brute_force(spark, walk_in_row):
+@pytest.mark.parametrize("rounds", [chains.ROUNDS, 1, 0])
+def test_chains_match_brute_force(spark, rounds):
     rng = random.Random(7)
     days = {f"a{i:04d}": random_day(rng) for i in range(250)}
     data = [(a, DAY, Decimal(x), Decimal(b)) for a, rows in days.items() for x, b in rows]
     got = {
         r["account_id"]: (r["ambiguous"], r["opening"], r["closing"])
-        for r in chains.intraday_chains(spark.createDataFrame(data, ROWS), walk_in_row=walk_in_row).collect()
+        for r in chains.intraday_chains(spark.createDataFrame(data, ROWS), rounds=rounds).collect()
     }
     kinds = set()
     for account, rows in days.items():
@@ -73,16 +73,50 @@ def test_chains_match_brute_force(spark, walk_in_row):
 
 
 def test_long_day_is_walked_exactly(spark):
-    rows = spark.range(3000).select(
+    rows = spark.range(5000).select(
         F.lit("a").alias("account_id"), F.lit(DAY).alias("occurred_on"), F.lit(1).cast("decimal(18,2)").alias("amount"),
         (F.col("id") + 1).cast("decimal(18,2)").alias("running_balance"),
     )
     out = chains.intraday_chains(rows).first()
-    assert (out["ambiguous"], out["opening"], out["closing"]) == (False, Decimal(0), Decimal(3000))
+    assert (out["ambiguous"], out["opening"], out["closing"]) == (False, Decimal(0), Decimal(5000))
     loop = spark.createDataFrame([("a", DAY, Decimal(5), Decimal(9005)), ("a", DAY, Decimal(-5), Decimal(9000))], ROWS)
     assert chains.intraday_chains(rows.unionByName(loop)).first()["ambiguous"]
 
 
+def test_contraction_keeps_ends_and_loops(spark):
+    """Two paths and two loops: few edges stay, each path from its start to its end, each loop in itself."""
+    paths = [(0, 400), (1000, 1300)]
+    loops = [(2000, 2002), (3000, 3150)]
+    edges = [(i, i + 1) for a, b in paths for i in range(a, b)] + [(i, i + 1 if i + 1 < b else a) for a, b in loops for i in range(a, b)]
+    df = spark.createDataFrame([("k", *e) for e in edges], "account_id string, at long, to long")
+    left = chains.contract(df, ["account_id"]).collect()
+    assert len(left) < len(edges) / 10
+    after = {r["at"]: r["to"] for r in left}
+    for a, b in paths:
+        at = a
+        while at in after:
+            at = after.pop(at)
+        assert at == b
+    for a, b in loops:
+        start = at = next(x for x in after if a <= x < b)
+        while at in after:
+            at = after.pop(at)
+        assert at == start
+    assert not after
+
+
+def test_chains_run_nothing_while_planned(spark):
+    """Building the plan starts no job, and no task meets a whole day before it is contracted."""
+    rows = spark.createDataFrame([("a", DAY, Decimal(1), Decimal(i + 1)) for i in range(5)], ROWS)
+    context, group = spark.sparkContext, "chains-planned"
+    context.setJobGroup(group, group)
+    out = chains.closing_by_day(rows)
+    out._jdf.queryExecution().executedPlan()
+    assert len(context.statusTracker().getJobIdsForGroup(group)) == 0
+    assert out.count() == 1 and len(context.statusTracker().getJobIdsForGroup(group)) > 0
+    context.setJobGroup("", "")
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_income_fill_matches_greedy(spark, seed):
     rng = random.Random(seed)
