@@ -35,7 +35,7 @@ ARITY = 2
 TAMPERED = 7
 NODE = ("grp", "idx", "n", "digest")
 #: Levels of proofs between two cuts of the plan.
-CUT_EVERY = 6
+CUT_EVERY = 3
 #: Siblings of one level, their digests one after the other: those before the node and those after it.
 STEP = "struct<before: binary, after: binary>"
 
@@ -104,25 +104,32 @@ def levels_of(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
 
 
 def tops(levels: Sequence[DataFrame]) -> DataFrame:
-    """The one node that remains of each group."""
-    return reduce(DataFrame.unionByName, [level.where("n = 1") for level in levels])
+    """The one node that remains of each group, with the level on which it does."""
+    return reduce(DataFrame.unionByName, [level.where("n = 1").withColumn("height", F.lit(h)) for h, level in enumerate(levels)])
 
 
 def proofs(levels: Sequence[DataFrame], above: DataFrame, arity: int = ARITY) -> DataFrame:
     """``grp, idx, digest, top, path`` of all leaves: siblings of each level up to the group's top, then the path of ``above``.
 
-    ``above`` has ``grp, path`` of the tops.
+    ``above`` has ``grp, height, path`` of the tops.
     """
     step = F.array(F.struct("before", "after").cast(STEP))
+    ending = {r["height"] for r in above.select("height").distinct().collect()} | {0}
     down = None
     for height, level in reversed(list(enumerate(levels))):
-        paths = level.where("n = 1").join(above, "grp").select("grp", "idx", "digest", F.col("digest").alias("top"), "path")
+        found = []
+        if height in ending:
+            own = level.where("n = 1").join(above.where(F.col("height") == height), "grp")
+            found.append(own.select("grp", "idx", "digest", F.col("digest").alias("top"), "path"))
         if down is not None:
             parent = down.select(F.col("grp").alias("_g"), F.col("idx").alias("_i"), "top", "path")
             child = level.where("n > 1").join(parent, (F.col("grp") == F.col("_g")) & (_above(arity) == F.col("_i")))
-            paths = paths.unionByName(child.select("grp", "idx", "digest", "top", F.concat(step, "path").alias("path")))
-        # joined levels make a long plan: cut it now and then
-        down = settle(paths, "paths") if height and height % CUT_EVERY == 0 else paths
+            found.append(child.select("grp", "idx", "digest", "top", F.concat(step, "path").alias("path")))
+        if found:
+            down = reduce(DataFrame.unionByName, found)
+            # joined levels make a long plan: cut it now and then
+            if height and height % CUT_EVERY == 0:
+                down = settle(down, "paths")
     return down
 
 
@@ -159,11 +166,12 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, arity:
     )
     leaves = numbered(rows, ["doc_id", "digest"])
     forest = levels_of(leaves.select(*NODE), arity)
-    subroots = numbered(tops(forest).select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest"), ["name"])
+    subroots = numbered(tops(forest).select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest", "height"), ["name"])
     upper = levels_of(subroots.select(*NODE), arity)
-    root = tops(upper).first()
-    start = subroots.where("idx = 0").select("grp", F.array().cast(f"array<{STEP}>").alias("path"))
-    above = subroots.select("idx", F.col("name").alias("group")).join(proofs(upper, start, arity).select("idx", "path"), "idx").select(F.col("group").alias("grp"), "path")
+    top = tops(upper)
+    root = top.first()
+    start = top.select("grp", "height", F.array().cast(f"array<{STEP}>").alias("path"))
+    above = settle(subroots.select("idx", "name", "height").join(proofs(upper, start, arity).select("idx", "path"), "idx").select(F.col("name").alias("grp"), "height", "path"), "above")
     paths = proofs(forest, above, arity).select("grp", "idx", "top", "path")
     return leaves.select("doc_id", "grp", "idx", "digest", "claimed").join(paths, ["grp", "idx"]).select(
         "doc_id", hexed(F.col("digest")).alias("leaf"), hexed(F.col("top")).alias("subroot"),
