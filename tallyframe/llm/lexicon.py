@@ -132,13 +132,17 @@ class Merger:
         return self._scan(ids) if len(ids) <= SHORT else self._queue(ids)
 
     def _scan(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
-        while len(ids) > 1:
-            found = [(*ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
-            if not found:
-                break
-            _, new, i = min(found, key=lambda x: (x[0], x[2]))
-            ids[i : i + 2] = [new]
+        rank, none = self.ranks.get, (len(self.ranks), 0)
+        # rank and result of each pair of neighbours; only those beside a merge change
+        pairs = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) is not none:
+            i = pairs.index(best)
+            ids[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def _queue(self, ids: list[int]) -> list[int]:
