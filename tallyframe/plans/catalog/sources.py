@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import scalars as S
 from tallyframe.operators import maintenance
 from tallyframe.plans.catalog.summaries import MERCHANT_SQL, doubles
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import ORACLES, query
 from tallyframe.sources import layouts, routing, store
 from tallyframe.sources import sample_ledger as L
 
@@ -348,25 +348,36 @@ def file_summary(spark: SparkSession, d: str) -> DataFrame:
     return layouts.file_summary(rows, existing)
 
 
+KNOWN_SQL = CARD_A_SQL + """,
+kn AS (SELECT DISTINCT source_record_key AS key FROM pa WHERE row_status = 'parsed' AND source_document_name < '1998'),
+fs AS (
+  SELECT source_document_name, count(*) FILTER (row_status = 'parsed' AND key IS NULL) AS inserted, count(*) FILTER (row_status = 'parsed' AND key IS NOT NULL) AS updated,
+    count(*) FILTER (row_status = 'skipped') AS skipped, count(*) FILTER (row_status = 'error') AS errors
+  FROM pa LEFT JOIN kn ON key = source_record_key AND row_status = 'parsed' GROUP BY 1)"""
+
+
+def _filed(spark: SparkSession, d: str) -> DataFrame:
+    """Per file, with the files up to 1997 stored by an earlier run."""
+    rows = layouts.parse(card_a_raw(spark, d), layouts.CARD_A)
+    return layouts.file_summary(rows, rows.where("row_status = 'parsed' AND source_document_name < '1998'"))
+
+
 @query("src15_run_totals", "ol", f"""
-WITH {CARD_A_SQL}
-SELECT count(DISTINCT source_document_name) AS files_seen, count(DISTINCT source_document_name) AS files_ingested, CAST(0 AS BIGINT) AS files_without_parser,
-  CAST(0 AS BIGINT) AS files_with_errors, count(*) FILTER (row_status = 'parsed') AS inserted, CAST(0 AS BIGINT) AS updated,
-  count(*) FILTER (row_status = 'skipped') AS skipped FROM pa
+WITH {KNOWN_SQL}
+SELECT count(*) AS files_seen, count(*) FILTER (inserted + updated > 0 OR errors = 0) AS files_ingested, CAST(0 AS BIGINT) AS files_without_parser,
+  count(*) FILTER (inserted + updated = 0 AND errors > 0) AS files_with_errors, CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(updated) AS BIGINT) AS updated,
+  CAST(sum(skipped) AS BIGINT) AS skipped FROM fs
 """)
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = layouts.parse(card_a_raw(spark, d), layouts.CARD_A)
-    return layouts.run_totals(layouts.file_summary(rows, rows.where("1 = 0")))
+    return layouts.run_totals(_filed(spark, d))
 
 
 @query("src19_import_audit", "ol", f"""
-WITH {CARD_A_SQL}
-SELECT source_document_name AS source_name, 'chase-credit-card' AS layout, count(*) FILTER (row_status = 'parsed') AS row_count FROM pa GROUP BY 1
+WITH {KNOWN_SQL}
+SELECT source_document_name AS source_name, 'chase-credit-card' AS layout, inserted + updated AS row_count FROM fs
 """)
 def import_audit(spark: SparkSession, d: str) -> DataFrame:
-    rows = layouts.parse(card_a_raw(spark, d), layouts.CARD_A)
-    files = layouts.file_summary(rows, rows.where("1 = 0"))
-    return store.audit_rows(files, F.lit("2026-01-01 00:00:00").cast("timestamp")).select("source_name", "layout", "row_count")
+    return store.audit_rows(_filed(spark, d), F.lit("2026-01-01 00:00:00").cast("timestamp")).select("source_name", "layout", "row_count")
 
 
 # --- routing -----------------------------------------------------------------
@@ -446,13 +457,52 @@ def match_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src14_layout_dispatch", "", f"""
 WITH {ROUTE_SQL}
-SELECT path, rt.source_id, CASE WHEN s.position % 2 = 0 THEN 'card' END AS layout, CASE WHEN s.position % 2 = 0 THEN 'routed' ELSE 'no_parser' END AS status
-FROM rt LEFT JOIN (SELECT * FROM src WHERE position < 40) s ON s.source_id = rt.source_id
+SELECT path, rt.source_id, CASE src.position % 3 WHEN 0 THEN 'card' WHEN 1 THEN 'savings' END AS layout,
+  CASE WHEN src.position % 3 < 2 THEN 'routed' ELSE 'no_parser' END AS status
+FROM rt LEFT JOIN src ON src.source_id = rt.source_id
 """)
 def layout_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    layout_of = {f"doc-{p:06d}": "card" for p in range(0, 40, 2)}
-    routed = routing.route_files(part_files(spark, d), name_sources(spark, d))
-    return routing.dispatch(routed, layout_of).select("path", "source_id", "layout", "status")
+    """Two of three sources have a layout, however many there are."""
+    sources = name_sources(spark, d)
+    layout_of = sources.where("position % 3 < 2").select("source_id", F.when(F.col("position") % 3 == 0, "card").otherwise("savings").alias("layout"))
+    return routing.dispatch(routing.route_files(part_files(spark, d), sources), layout_of).select("path", "source_id", "layout", "status")
+
+
+def statement_records(spark: SparkSession, d: str) -> DataFrame:
+    """The statements of all layouts as records of text, with their headers as banks write them."""
+    raws = (
+        (layouts.CARD_A, card_a_raw), (layouts.CHECKING_A, checking_a_raw), (layouts.SAVINGS_A, savings_a_raw),
+        (layouts.CHECKING_B, checking_b_raw), (layouts.CARD_B, card_b_raw), (layouts.SAVINGS_B, savings_b_raw),
+    )
+    found = None
+    for layout, raw in raws:
+        rows = raw(spark, d)
+        names = [c for c in rows.columns if c != "source_document_name"]
+        header = ",".join(n.replace("_", " ").title() for n in names)
+        record = F.to_csv(F.struct(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names]), {"quote": '"', "escape": '"', "emptyValue": ""})
+        one = rows.select(F.lit(layout.name).alias("layout"), F.lit(header).alias("header"), record.alias("record"), "source_document_name")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+SHARED_COLUMNS = "row_status, row_reason, account_id, source_document_name, occurred_on, posted_on, description_raw, amount, direction, statement_period"
+
+
+@query("src14_parse_all_layouts", "ol", f"""
+WITH {CARD_A_SQL},
+every AS (
+  SELECT 'chase-credit-card' AS layout, {SHARED_COLUMNS} FROM pa
+  UNION ALL SELECT 'beacon-checking', {SHARED_COLUMNS} FROM ({ORACLES["src3_checking_layout_a"]})
+  UNION ALL SELECT 'ally-hysa', {SHARED_COLUMNS} FROM ({ORACLES["src4_savings_layout_a"]})
+  UNION ALL SELECT 'webster-checking', {SHARED_COLUMNS} FROM ({ORACLES["src5_checking_layout_b"]})
+  UNION ALL SELECT 'citi-credit-card', {SHARED_COLUMNS} FROM ({ORACLES["src6_card_layout_b"]})
+  UNION ALL SELECT 'selfhelp-savings', {SHARED_COLUMNS} FROM ({ORACLES["src7_savings_layout_b"]}))
+SELECT * FROM every
+""")
+def parse_all_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Six layouts from text in one pass: columns by each record's own header, rows by each layout's own rules."""
+    rows, _ = routing.parse_records(statement_records(spark, d), list(layouts.LAYOUTS.values()))
+    return doubles(rows.select("layout", *SHARED_COLUMNS.split(", ")), "amount")
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -291,52 +291,81 @@ LAYOUT_OF_SOURCE: dict[str, str] = {
 }
 
 
-def parse(raw: DataFrame, layout: Layout, *, extra_patterns: Sequence[str] = (), household: str = "household") -> DataFrame:
+def parse(
+    raw: DataFrame, layout: Layout | Sequence[Layout], *, extra_patterns: Sequence[str] = (), household: str = "household"
+) -> DataFrame:
     """All rows of a statement scan with status, reason and, when parsed, their ledger columns.
 
-    ``raw`` has the layout's header columns as text and ``source_document_name``.
+    ``raw`` has the layout's header columns as text and ``source_document_name``. With several layouts
+    it has the columns of all of them, null where a row's header lacks one, and ``layout`` names each
+    row's own: all files are then parsed in one pass.
     """
-    for name in layout.optional:
-        if name not in raw.columns:
+    several = [layout] if isinstance(layout, Layout) else list(layout)
+
+    def pick(of: Callable[[Layout], Column]) -> Column:
+        if isinstance(layout, Layout):
+            return of(layout)
+        chain = F.when(F.col("layout") == several[0].name, of(several[0]))
+        for one in several[1:]:
+            chain = chain.when(F.col("layout") == one.name, of(one))
+        return chain
+
+    named = list(dict.fromkeys(c for one in several for c in (*one.required, *one.optional)))
+    for name in named:
+        if name not in raw.columns and (len(several) > 1 or name in layout.optional):
             raw = raw.withColumn(name, F.lit(None).cast("string"))
-    used = ["source_document_name", *layout.required, *layout.optional]
+    used = ["source_document_name", *named]
     if "household_id" in raw.columns:
         used.append("household_id")
+    if not isinstance(layout, Layout):
+        used.append("layout")
     # Texts are read once; everything after works on the typed columns.
     rows = raw.select(
         *used,
-        layout.occurred_on().alias("_day"),
-        layout.posted_on().alias("_posted"),
-        layout.description().alias("_description"),
-        layout.amount().alias("_amount"),
-        layout.skip().alias("_skip"),
+        pick(lambda one: one.occurred_on()).alias("_day"),
+        pick(lambda one: one.posted_on()).alias("_posted"),
+        pick(lambda one: one.description()).alias("_description"),
+        pick(lambda one: one.amount().cast(S.MONEY)).alias("_amount") if len(several) > 1 else layout.amount().alias("_amount"),
+        pick(lambda one: one.skip()).alias("_skip"),
     )
-    rows = rows.withColumn("_error", F.when(F.col("_skip").isNull(), layout.error()))
+    rows = rows.withColumn("_error", F.when(F.col("_skip").isNull(), pick(lambda one: one.error())))
     status = F.when(F.col("_skip").isNotNull(), "skipped").when(F.col("_error").isNotNull(), "error").otherwise("parsed")
-    head = [F.col("_day"), F.col("_amount")]
-    if "time" in layout.extra:
-        head.insert(1, S.clock_time(text("time")))
-    payload = F.concat_ws("|", *[c.cast("string") for c in (*head, *layout.key())])
-    rows = rows.select("*", status.alias("row_status"), F.coalesce("_skip", "_error").alias("row_reason"), payload.alias("_payload"))
+
+    def payload_of(one: Layout) -> Column:
+        head = [F.col("_day"), F.col("_amount")]
+        if "time" in one.extra:
+            head.insert(1, S.clock_time(text("time")))
+        return F.concat_ws("|", *[c.cast("string") for c in (*head, *one.key())])
+
+    rows = rows.select("*", status.alias("row_status"), F.coalesce("_skip", "_error").alias("row_reason"), pick(payload_of).alias("_payload"))
     amount, description = F.col("_amount"), F.col("_description")
-    if layout.numbered:
+    numbered = [one for one in several if one.numbered]
+    if numbered:
         scope = ["source_document_name", "_payload", "row_status"]
         whole = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in used]), 256)
-        rows = number_copies(rows, scope, whole)
+        if len(several) == 1:
+            rows = number_copies(rows, scope, whole)
+        else:
+            repeats = F.col("layout").isin(*[one.name for one in numbered])
+            alone = rows.where(~F.coalesce(repeats, F.lit(False))).withColumn("ordinal", F.lit(0).cast("long"))
+            rows = number_copies(rows.where(repeats), [*scope, "layout"], whole).unionByName(alone)
     else:
         rows = rows.withColumn("ordinal", F.lit(0))
     payload = F.when(F.col("ordinal") == 0, F.col("_payload")).otherwise(
         F.concat(F.col("_payload"), F.lit("|seq"), F.col("ordinal").cast("string"))
     )
-    direction = layout.direction(amount, description, (*layout.transfer_patterns, *extra_patterns))
+    direction = pick(lambda one: one.direction(amount, description, (*one.transfer_patterns, *extra_patterns)))
     parsed = F.col("row_status") == "parsed"
-    pairs = [x for name, value in layout.metadata.items() for x in (F.lit(name), value().cast("string"))]
+
+    def metadata_of(one: Layout) -> Column:
+        pairs = [x for name, value in one.metadata.items() for x in (F.lit(name), value().cast("string"))]
+        return F.create_map(*pairs).cast("map<string,string>")
 
     def when_parsed(value: Column) -> Column:
         return F.when(parsed, value)
 
     owner = F.col("household_id") if "household_id" in raw.columns else F.lit(household)
-    account = layout.account_id() if layout.account_id else F.lit(layout.account.account_id)
+    account = pick(lambda one: one.account_id() if one.account_id else F.lit(one.account.account_id))
     return rows.select(
         "row_status",
         "row_reason",
@@ -350,15 +379,15 @@ def parse(raw: DataFrame, layout: Layout, *, extra_patterns: Sequence[str] = (),
         F.lit(None).cast("string").alias("merchant_normalized"),
         when_parsed(S.signed_amount(amount, direction).cast(S.MONEY)).alias("amount"),
         when_parsed(direction).alias("direction"),
-        F.lit(layout.account.currency).alias("currency"),
+        pick(lambda one: F.lit(one.account.currency)).alias("currency"),
         F.lit("unclassified").alias("primary_category"),
         F.lit(None).cast("string").alias("subcategory"),
-        F.lit(layout.role).alias("household_role"),
+        pick(lambda one: F.lit(one.role)).alias("household_role"),
         F.lit("recurring").alias("lifecycle"),
         F.lit(None).cast("string").alias("transfer_group_key"),
         S.statement_period("source_document_name").alias("statement_period"),
-        F.create_map(*pairs).cast("map<string,string>").alias("metadata"),
-        F.lit(layout.name).alias("layout"),
+        pick(metadata_of).alias("metadata"),
+        pick(lambda one: F.lit(one.name)).alias("layout"),
     )
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
 from tallyframe.operators.common import newest_per_key
+from tallyframe.sources import records
+from tallyframe.sources.layouts import Layout, parse
 
 # Score weights, threshold, kept matches.
 TOKEN_WEIGHT = 0.65
@@ -214,25 +216,44 @@ def readiness(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def dispatch(routed: DataFrame, layout_of_source: dict[str, str]) -> DataFrame:
-    """Each routed file with the layout of its source; ``no_parser`` when there is none."""
-    chain: Column | None = None
-    for source, layout in layout_of_source.items():
-        condition = F.col("source_id") == source
-        chain = F.when(condition, layout) if chain is None else chain.when(condition, layout)
-    layout = chain if chain is not None else F.lit(None).cast("string")
-    return routed.withColumn("layout", layout).withColumn("status", F.when(F.col("layout").isNull(), "no_parser").otherwise("routed"))
-
-
-def parse_routed(dispatched: DataFrame, read: Callable[[str, Sequence[str]], DataFrame]) -> DataFrame:
-    """Parsed rows of all routed files: ``read(layout, paths)`` once per layout, unioned by name."""
-    by_layout: dict[str, list[str]] = {}
-    for row in dispatched.where("layout IS NOT NULL").select("layout", "path").collect():
-        by_layout.setdefault(row["layout"], []).append(row["path"])
-    frames = [read(layout, sorted(paths)) for layout, paths in sorted(by_layout.items())]
-    if not frames:
-        raise ValueError("no file is routed to a layout")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+def dispatch(routed: DataFrame, layout_of_source: dict[str, str] | DataFrame) -> DataFrame:
+    """Each routed file with the layout of its source; ``no_parser`` when there is none.
+
+    Layouts come as a mapping or as a table ``source_id, layout`` of any length.
+    """
+    if isinstance(layout_of_source, dict):
+        kind = "source_id string, layout string"
+        layout_of_source = routed.sparkSession.createDataFrame(sorted(layout_of_source.items()), kind)
+    named = routed.join(layout_of_source.select("source_id", "layout"), "source_id", "left").select(*routed.columns, "layout")
+    return named.withColumn("status", F.when(F.col("layout").isNull(), "no_parser").otherwise("routed"))
+
+
+def parse_records(found: DataFrame, specs: Sequence[Layout]) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows of records of all layouts at once, and ``source_document_name, layout, reason`` of files that lack columns.
+
+    ``found`` has ``header, record, layout, source_document_name``; every file's columns are taken by
+    its own header.
+    """
+    named = found.withColumn("names", records.clean_names(F.col("header")))
+    lacking = None
+    for spec in specs:
+        here = F.col("layout") == spec.name
+        lacking = F.when(here, records.missing(spec.required)) if lacking is None else lacking.when(here, records.missing(spec.required))
+    good = named.where(F.size(lacking) == 0).withColumn("values", records.fields(F.col("record")))
+    wanted = dict.fromkeys(name for spec in specs for name in (*spec.required, *spec.optional))
+    raw = good.select("layout", "source_document_name", *[records.column(name).alias(name) for name in wanted])
+    reason = F.concat(F.lit("missing required columns: "), F.array_join(lacking, ", "))
+    failed = named.where(F.size(lacking) > 0).select("source_document_name", "layout", reason.alias("reason")).distinct()
+    return parse(raw, specs), failed
+
+
+def parse_routed(dispatched: DataFrame, paths: str | Sequence[str], specs: Sequence[Layout]) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows, and files that lack columns, of all routed files below ``paths``: one scan, one plan.
+
+    ``dispatched`` has ``path`` and ``layout``. Files without a layout are left out; no path goes
+    through the driver.
+    """
+    found = records.read_records(dispatched.sparkSession, paths)
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    routed = dispatched.where(F.col("layout").isNotNull()).select(bare.alias("_bare"), "layout").distinct()
+    return parse_records(found.join(routed, bare == F.col("_bare")), specs)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.sources import records
 from tallyframe.sources.layouts import Layout
 
 # Folders and files a scan of the watch folder leaves out, unless the caller names others.
@@ -21,49 +22,23 @@ def clean_name(name: str) -> str:
 
 
 def file_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """First line of every file: ``(path, header)``."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_line"),
-        "value",
-    )
-    return lines.where("_at = 0").groupBy("path").agg(F.min_by("value", "_line").alias("header"))
-
-
-def _split_header(header: str) -> list[str]:
-    return [clean_name(part.strip().strip('"')) for part in header.split(",")]
+    """``path, names`` of every file with a line: the columns its header names."""
+    lines = records.lines_of(spark, paths).groupBy("path").agg(F.min_by("value", F.struct("block", "line")).alias("header"))
+    return lines.select("path", records.clean_names(F.col("header")).alias("names"))
 
 
 def read_statements(spark: SparkSession, paths: str | Sequence[str], layout: Layout) -> tuple[DataFrame, DataFrame]:
     """Rows of all files with the layout's columns, and ``(path, reason)`` of files that lack some.
 
-    Files are read per distinct header, so exports with another column order are never
-    read by position. Only header texts and paths reach the driver.
+    Every file's columns are taken by its own header. A large file is read by several tasks, and
+    nothing is read before the rows are asked for.
     """
-    by_header: dict[str, list[str]] = {}
-    for row in file_headers(spark, paths).collect():
-        by_header.setdefault(row["header"] or "", []).append(row["path"])
-    wanted = [*layout.required, *layout.optional]
-    frames, failed = [], []
-    for header, files in sorted(by_header.items()):
-        names = _split_header(header)
-        missing = sorted(set(layout.required) - set(names))
-        if missing:
-            failed += [(path, f"missing required columns: {', '.join(missing)}") for path in files]
-            continue
-        scan = spark.read.csv(files, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False)
-        named = scan.toDF(*[f"c{i}" for i in range(len(scan.columns))]).select("*", F.col("_metadata.file_name").alias("_file"))
-        position = {name: i for i, name in reversed(list(enumerate(names)))}
-        columns = [
-            (F.col(f"c{position[w]}") if w in position else F.lit(None).cast("string")).alias(w) for w in wanted
-        ]
-        frames.append(named.select(*columns, F.col("_file").alias("source_document_name")))
-    schema = ", ".join(f"`{w}` string" for w in [*wanted, "source_document_name"])
-    rows = spark.createDataFrame([], schema)
-    for frame in frames:
-        rows = rows.unionByName(frame)
-    return rows, spark.createDataFrame(failed, "path string, reason string")
+    lacking = records.missing(layout.required)
+    found = records.read_records(spark, paths).withColumn("names", records.clean_names(F.col("header"))).where(F.size(lacking) == 0)
+    found = found.withColumn("values", records.fields(F.col("record")))
+    rows = found.select(*[records.column(name).alias(name) for name in (*layout.required, *layout.optional)], "source_document_name")
+    failed = file_headers(spark, paths).where(F.size(lacking) > 0)
+    return rows, failed.select("path", F.concat(F.lit("missing required columns: "), F.array_join(lacking, ", ")).alias("reason"))
 
 
 def read_sidecar(spark: SparkSession, path: str, required: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:

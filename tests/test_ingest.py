@@ -231,11 +231,8 @@ def test_parse_routed_and_accounts(spark, tmp_path):
     save = write(tmp_path / "Savings_2026-01.csv", "Date,Time,Amount,Type,Description\n5/8/2026,9:01:02,1.25,Deposit,Interest Paid\n")
     plan = spark.createDataFrame([(card, "chase-credit-card"), (save, "ally-hysa"), ("x", None)], "path string, layout string")
 
-    def read(layout, paths):
-        spec = layouts.LAYOUTS[layout]
-        return layouts.parse(statements.read_statements(spark, paths, spec)[0], spec)
-
-    rows = routing.parse_routed(plan, read)
+    rows, failed = routing.parse_routed(plan, str(tmp_path), list(layouts.LAYOUTS.values()))
+    assert failed.collect() == []
     assert {(r["account_id"], r["direction"]) for r in rows.collect()} == {("acct-chase-credit-card", "outflow"), ("acct-ally-hysa", "inflow")}
     assert {(r["account_id"], r["account_type"]) for r in layouts.accounts_of(rows).collect()} == {
         ("acct-chase-credit-card", "credit_card"), ("acct-ally-hysa", "savings"),
