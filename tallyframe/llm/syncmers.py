@@ -28,7 +28,7 @@ K, S = 8, 3
 
 
 def _with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``name``: the 64-bit hashes of the anchors of column ``text`` in order."""
+    """Adds ``name``: the 32-bit hashes of the anchors of column ``text`` in order, as the fingerprint shows them."""
     words, hashes, inner, found = (f"_{x}_{name}" for x in ("words", "hashes", "inner", "found"))
     n = F.size(hashes)
     span = K - S + 1
@@ -38,8 +38,9 @@ def _with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
         least = F.least(*[F.get(inner, i + j) for j in range(span)])
         return (i <= n - K) & ((least == first) | (least == last))
 
-    anchor = lambda x, i: F.when(chosen(i), F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]))
-    whole = F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+    half = lambda x: F.shiftrightunsigned(x, 32)
+    anchor = lambda x, i: F.when(chosen(i), half(F.xxhash64(*[F.get(hashes, i + j) for j in range(K)])))
+    whole = F.when(F.size(hashes) > 0, F.array(half(F.xxhash64(hashes)))).otherwise(F.array().cast("array<bigint>"))
     return (
         df.withColumn(words, F.filter(F.split(text, GAP), lambda x: x != ""))
         .withColumn(hashes, F.transform(words, lambda x: F.xxhash64(x)))
@@ -51,7 +52,7 @@ def _with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def _shown(anchors: str) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0")), "")
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -59,29 +60,33 @@ def likeness(a: str, b: str) -> Column:
     return F.when(na + nb == 0, 1.0).otherwise(shared / (na + nb - shared))
 
 
+def _range_of(points: list[int]) -> Column:
+    """How many of the sorted ``points`` are not above ``doc_id``; whole strides first, then inside one."""
+    if not points:
+        return F.lit(0)
+    every = F.lit(points).cast("array<bigint>")
+    stride = max(1, int(len(points) ** 0.5))
+    whole = F.size(F.filter(F.lit(points[stride - 1 :: stride]).cast("array<bigint>"), lambda p: p <= F.col("doc_id"))) * stride
+    return whole + F.size(F.filter(F.slice(every, whole + 1, F.lit(stride)), lambda p: p <= F.col("doc_id")))
+
+
 def _dealt(docs: DataFrame) -> DataFrame:
     """``bucket, guest, doc_id, tie, text``: ranges of ids, each with the first row of the range below it as a guest."""
-    spark = docs.sparkSession
+    n = parts_for(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    n = parts_for(spark)
     points = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] if n > 1 else None
-    points = sorted(set(points or []))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.lit(points).cast("array<bigint>"), lambda p: p <= F.col("doc_id"))) if points else F.lit(0))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    # one row per range comes to the driver
-    tops = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top")).orderBy(F.desc("bucket")).collect()
-    above = {r["bucket"]: tops[i - 1]["bucket"] for i, r in enumerate(tops)}
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(_range_of(sorted(set(points or [])))).cast("int"))
     own = rows.select("bucket", F.lit(False).alias("guest"), "doc_id", "tie", "text")
-    if not tops:
-        return own
-    is_top = F.lit(False)
-    for r in tops:
-        is_top = is_top | (F.col("doc_id").eqNullSafe(F.lit(r["top"]["doc_id"])) & (F.col("tie") == r["top"]["tie"]))
-    to = F.create_map(*[F.lit(x) for pair in above.items() for x in pair])
-    ids = [r["top"]["doc_id"] for r in tops if r["top"]["doc_id"] is not None]
-    near = rows.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()) if above.get(-1) is not None else rows.where(F.col("doc_id").isin(ids))
-    guests = near.where(is_top).dropDuplicates(["doc_id", "tie"])
-    return own.unionByName(guests.select(to[F.col("bucket")].alias("bucket"), F.lit(True).alias("guest"), "doc_id", "tie", "text"))
+    # one row per range: its first row goes to the range above, that of the highest to the lowest
+    in_order = Window.orderBy("bucket")
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
+    tops = tops.select(
+        F.coalesce(F.lead("bucket").over(in_order), F.min("bucket").over(in_order)).alias("above"), F.col("top.doc_id").alias("top_id"), F.col("top.tie").alias("top_tie")
+    )
+    # at most as many rows as ranges, so they may be broadcast
+    first = rows.join(F.broadcast(tops), (F.col("tie") == F.col("top_tie")) & F.col("doc_id").eqNullSafe(F.col("top_id")))
+    guests = first.dropDuplicates(["doc_id", "tie"])
+    return own.unionByName(guests.select(F.col("above").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "tie", "text"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

@@ -221,3 +221,33 @@ def test_empty_tables(spark):
     assert merkle.verified(merkle.manifest(docs, merkle.tampered_every())).collect() == []
     assert whitening.whiten(vecs).collect() == []
     assert whitening.whiten(vectors(spark).where("vec_id in (400, 401, 403)")).collect() == []
+
+
+# --- fingerprints: planning and likeness ---
+
+
+def test_fingerprints_plan_with_many_ranges(spark):
+    """Nothing in the plan grows with the number of partitions but one array of range ends."""
+    from tallyframe.llm import syncmers
+
+    docs = documents(spark)
+    want = collections.Counter((r["doc_id"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in syncmers.fingerprints(docs).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        out = syncmers.fingerprints(docs)
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+        got = collections.Counter((r["doc_id"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in out.collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "10000")
+        syncmers.fingerprints(docs)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    from tallyframe.llm import syncmers
+
+    for r in syncmers.fingerprints(documents(spark)).collect():
+        a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_edited"] == (1.0 if not a | b else len(a & b) / len(a | b))
