@@ -69,8 +69,8 @@ HALF = (LENGTH - GRAM) // 2
 assert GRAM <= HALF <= 2 * GRAM
 
 
-def _runs(data: bytes, at: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First string, number of strings, anchor, and hashes with what is before and after it, of every run of strings with one anchor.
+def _runs(data: bytes, at: int, sides: bool, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """First string, number of strings and anchor of every run of strings with one anchor; with ``sides`` also its hashes with what is before and after it.
 
     For the strings that start in a slice of a text from ``at``.
     """
@@ -87,17 +87,20 @@ def _runs(data: bytes, at: int, length: int = LENGTH) -> tuple[np.ndarray, np.nd
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     places = anchor[first]
     own = grams[places]
+    numbers = np.diff(np.append(first, len(anchor)))
+    if not sides:
+        return first + at, numbers, own
     before = _joined(_joined(grams[np.maximum(0, places - HALF)], grams[np.maximum(0, places - GRAM)]), own)
     last = len(grams) - 1
     after = _joined(own, _joined(grams[np.minimum(last, places + GRAM)], grams[np.minimum(last, places + HALF)]) + np.uint64(1))
     # where a side is too short no string leans on it; the anchor alone then stands for it
     before = np.where(places >= HALF, before, own)
     after = np.where(places + HALF <= last, after, own)
-    return first + at, np.diff(np.append(first, len(anchor))), own, before, after
+    return first + at, numbers, own, before, after
 
 
-def _all_runs(data: bytes) -> tuple[np.ndarray, ...]:
-    parts = [_runs(data, at) for at in range(0, len(data) - LENGTH + 1, SLICE)]
+def _all_runs(data: bytes, sides: bool = False) -> tuple[np.ndarray, ...]:
+    parts = [_runs(data, at, sides) for at in range(0, len(data) - LENGTH + 1, SLICE)]
     return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
 
 
@@ -136,7 +139,7 @@ def _anchoring(buckets: int):
             for row, text in zip(batch["row"], batch["text"]):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) >= LENGTH:
-                    held.append((row, *_all_runs(data)[3:]))
+                    held.append((row, *_all_runs(data, sides=True)[3:]))
                     size += len(data)
                     if size >= 4 * SLICE:
                         yield pack(held)
@@ -184,10 +187,12 @@ def _cutting(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         a, b = np.searchsorted(rows, row, "left"), np.searchsorted(rows, row, "right")
         if a < b:
             data = text.encode("utf-8", "surrogatepass")
-            first, size, anchor, _, _ = _all_runs(data)
-            for i in np.unique(numbers[a:b]).tolist():
-                piece = data[first[i] : first[i] + size[i] + LENGTH - 1]
-                out.append((xxhash.xxh3_128_digest(piece), int(anchor[i].astype(np.int64)), row, own, int(first[i]), piece))
+            first, size, anchor = _all_runs(data)
+            wanted = np.unique(numbers[a:b])
+            ends = (first + size + LENGTH - 1)[wanted].tolist()
+            for at, end, key in zip(first[wanted].tolist(), ends, anchor[wanted].astype(np.int64).tolist()):
+                piece = data[at:end]
+                out.append((xxhash.xxh3_128_digest(piece), key, row, own, at, piece))
     return pd.DataFrame(out, columns=["segment", "anchor", "row", "own", "at", "piece"])
 
 
@@ -201,6 +206,16 @@ def _packed(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _names(keys: np.ndarray) -> np.ndarray:
+    """1 for the smallest of the different keys, and so on: by counting where they are few, else by sorting."""
+    top = int(keys.max(initial=0)) + 1
+    if top > 4 * len(keys):
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+    there = np.zeros(top, bool)
+    there[keys] = True
+    return np.cumsum(there, dtype=np.int64)[keys]
+
+
 def suffix_order(symbols: np.ndarray, reach: int, length: int) -> np.ndarray:
     """Places of ``symbols`` (all above 0) in the order of the suffixes there.
 
@@ -212,7 +227,7 @@ def suffix_order(symbols: np.ndarray, reach: int, length: int) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sampled = np.concatenate([one, two])
     triples = _packed(s[sampled], s[sampled + 1], s[sampled + 2])
-    names = np.unique(triples, return_inverse=True)[1].astype(np.int64) + 1
+    names = _names(triples)
     if len(names) and names.max() < len(names) and 3 * reach < length:
         order = suffix_order(names, 3 * reach, length)
         names = np.empty(len(names), np.int64)
@@ -221,12 +236,12 @@ def suffix_order(symbols: np.ndarray, reach: int, length: int) -> np.ndarray:
     rank[sampled] = names
     # where names stop early they tie; finer keys then order each third in itself, so that counts of smaller ones only grow
     between, one = np.arange(0, n, 3), one[one < n]
-    between = between[np.argsort(_packed(s[between], rank[between + 1], s[between + 1], rank[between + 2]), kind="stable")]
+    between = between[np.argsort(_packed(s[between], rank[between + 1], s[between + 1], rank[between + 2]))]
     before = np.zeros(len(between), np.int64)
     thirds = []
     for third, columns in ((one, ((s, 0), (rank, 1))), (two, ((s, 0), (s, 1), (rank, 2)))):
         key = _packed(*(np.concatenate([x[between + d], x[third + d]]) for x, d in columns))
-        order = np.argsort(key[len(between) :], kind="stable")
+        order = np.argsort(key[len(between) :])
         thirds.append(third[order])
         # of suffixes that agree on all that counts, one may have got the lower name by chance
         before += np.maximum.accumulate(np.searchsorted(key[len(between) :][order], key[: len(between)], "left"))
@@ -249,7 +264,10 @@ def _sorting(part: pd.DataFrame) -> pd.DataFrame:
     starts = ends - sizes - 1
     text = np.zeros(ends[-1], np.int64)
     body = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    text[:] = body.astype(np.int64) + 2
+    # bytes that occur, numbered in order: triples of them are few enough to be counted
+    there = np.zeros(256, np.int64)
+    there[body] = 1
+    text[:] = (np.cumsum(there) + 1)[body]
     text[ends - 1] = 1
     order = suffix_order(text, 1, LENGTH)
     of = np.repeat(np.arange(len(pieces)), sizes + 1)
