@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import predicates as P
@@ -153,16 +154,11 @@ def spend_rule_direction(rules: DataFrame, exceptions: Sequence[str] = ()) -> Da
     return findings(bad, "spend_rule_direction", "warn", F.col("id"), "spend rule is not limited to outflows")
 
 
-def pattern_errors(spark: SparkSession, rules: Sequence[Row]) -> DataFrame:
-    """Loaded rules whose pattern the regex engine refuses."""
-    compiler = spark._jvm.java.util.regex.Pattern
-    bad = []
-    for rule in rules:
-        try:
-            compiler.compile("(?i)" + rule["pattern"])
-        except Exception:  # noqa: BLE001
-            bad.append((rule["id"],))
-    return findings(spark.createDataFrame(bad, "id string"), "rule_bands", "fail", F.col("id"), "pattern does not compile")
+def pattern_errors(rules: DataFrame) -> DataFrame:
+    """Rules whose pattern the regex engine refuses: each pattern is compiled where its row is."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), F.col("pattern")))
+    bad = rules.where(F.col("pattern").isNotNull() & compiled.isNull())
+    return findings(bad, "rule_bands", "fail", F.col("id"), "pattern does not compile")
 
 
 def rule_bands(rules: DataFrame) -> DataFrame:
@@ -586,41 +582,54 @@ def null_merchant_spend(ledger: DataFrame) -> DataFrame:
 
 
 
-def _about(rows: DataFrame, entries: Sequence[Row]) -> DataFrame:
-    """Rows of the ledger each entry is about: one pass over the rows, entries as literals."""
-    kind = "struct<b_id:string,b_account:string,b_pattern:string,b_day:date>"
-    items = []
-    for e in entries:
-        account = F.lit(True) if e["account_id"] is None else F.col("account_id") == e["account_id"]
-        if e["pattern"] is not None:
-            inside = F.col("description_raw").rlike("(?i)" + e["pattern"])
-        else:
-            inside = F.lit(True) if e["occurred_on"] is None else F.col("occurred_on") == F.lit(str(e["occurred_on"])).cast("date")
-        day = F.lit(None if e["occurred_on"] is None else str(e["occurred_on"])).cast("date")
-        item = F.struct(
-            F.lit(e["id"]).alias("b_id"), F.lit(e["account_id"]).cast("string").alias("b_account"),
-            F.lit(e["pattern"]).cast("string").alias("b_pattern"), day.alias("b_day"),
-        )
-        items.append(F.when(account & inside, item))
-    if not items:
-        items = [F.lit(None).cast(kind)]
-    return rows.withColumn("_b", F.explode(F.array_compact(F.array(*items)))).select("*", "_b.b_id", "_b.b_day").drop("_b")
+#: Each entry is filed under so many keys and each row looks under one of them: a row everybody's entries are about is spread.
+BENIGN_SALTS = 16
+_ANY = "*"
+
+
+def _met(rows: DataFrame, entries: DataFrame, named: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows with each entry whose named columns equal theirs; an entry's null stands for any value.
+
+    A row looks under its own values and under "any" for each column, an entry is filed under what it
+    names: one equi-join, however many entries there are.
+    """
+
+    def key(parts: Sequence[Column], salt: Column) -> Column:
+        return F.concat(*[x for part in parts for x in (part, F.lit("\u0001"))], salt.cast("string"))
+
+    own = [(F.concat(F.lit("="), F.col(row).cast("string")), F.lit(_ANY)) for row, _ in named]
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(BENIGN_SALTS))
+    looked_up = rows.withColumn("_salt", salt).withColumn("_key", F.explode(F.array_compact(F.array(*[key(parts, F.col("_salt")) for parts in product(*own)]))))
+    kept = [F.coalesce(F.concat(F.lit("="), F.col(entry).cast("string")), F.lit(_ANY)) for _, entry in named]
+    salts = F.explode(F.sequence(F.lit(0), F.lit(BENIGN_SALTS - 1)))
+    filed = entries.withColumn("_s", salts).withColumn("_key", key(kept, F.col("_s"))).drop("_s")
+    return looked_up.join(filed, "_key").drop("_key", "_salt")
+
+
+def _about(rows: DataFrame, benign: DataFrame) -> DataFrame:
+    """Rows of the ledger each entry is about: its account, and its pattern or else its day."""
+    day = F.when(F.col("pattern").isNull(), F.col("occurred_on"))
+    entries = benign.select(
+        F.col("id").alias("b_id"), F.col("account_id").alias("b_account"), day.alias("b_on"), F.col("pattern").alias("b_pattern"), F.col("occurred_on").alias("b_day")
+    )
+    met = _met(rows, entries, (("account_id", "b_account"), ("occurred_on", "b_on")))
+    fits = F.col("b_pattern").isNull() | F.rlike(F.col("description_raw"), F.concat(F.lit("(?i)"), F.col("b_pattern")))
+    return met.where(fits).select(*rows.columns, "b_id", "b_day")
 
 
 def benign_transactions(ledger: DataFrame, suspects: DataFrame, benign: DataFrame, check: str) -> DataFrame:
     """Each benign entry of a row-level check: rows it suppresses and why it is falsified, if it is.
 
     Count and net are over every row the entry is about, whatever its day or pairing; the
-    amount only over rows of the named day. ``benign`` is a short configuration table.
+    amount only over rows of the named day. ``benign`` may be of any length.
     """
     rows = benign.where(F.col("check") == check)
-    entries = _small(rows)
-    scope = _about(ledger, entries)
+    scope = _about(ledger, rows)
     named = F.col("b_day").isNull() | (F.col("b_day") == F.col("occurred_on"))
     totals = scope.join(rows.select(F.col("id").alias("b_id"), F.col("amount").alias("b_amount")), "b_id").groupBy("b_id").agg(
         F.count("*").alias("rows_about"), F.sum("amount").alias("net"), F.count_if(named & (F.col("amount") != F.col("b_amount"))).alias("other_amounts")
     )
-    hit = _about(suspects, entries).where(named).groupBy("b_id").agg(F.count("*").alias("suppressed"))
+    hit = _about(suspects, rows).where(named).groupBy("b_id").agg(F.count("*").alias("suppressed"))
     judged = rows.withColumnRenamed("id", "b_id").join(totals, "b_id", "left").join(hit, "b_id", "left")
     count, net = F.coalesce("rows_about", F.lit(0)), F.coalesce("net", F.lit(0))
     reasons = F.array_compact(
@@ -639,7 +648,7 @@ def benign_transactions(ledger: DataFrame, suspects: DataFrame, benign: DataFram
 def suppress_transactions(suspects: DataFrame, evaluated: DataFrame, benign: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Suspects left open, and suppressed rows with the first entry that explains them."""
     live = benign.join(evaluated.where("falsified = '' AND matched > 0").select("id"), "id", "left_semi")
-    about = _about(suspects, _small(live)).where(F.col("b_day").isNull() | (F.col("b_day") == F.col("occurred_on")))
+    about = _about(suspects, live).where(F.col("b_day").isNull() | (F.col("b_day") == F.col("occurred_on")))
     explained = about.groupBy("id").agg(F.min("b_id").alias("suppressed_by"))
     return suspects.join(explained.select("id"), "id", "left_anti"), suspects.join(explained, "id")
 
@@ -650,12 +659,7 @@ def benign_periods(found: DataFrame, benign: DataFrame, check: str) -> DataFrame
         "id", "check", F.col("account_id").alias("b_account"), F.col("period_end").alias("b_end"), F.col("variance").alias("b_variance"),
         (F.col("expected_count").isNotNull() | F.col("expected_net").isNotNull() | F.col("amount").isNotNull()).alias("misused"),
     )
-    selects = (F.col("b_account").isNull() | (F.col("b_account") == F.col("account_id"))) & (
-        F.col("b_end").isNull() | (F.col("b_end") == F.col("period_end"))
-    )
-    listed = _small(entries)
-    picks = F.array(*[F.when(_literal_row(selects, e), F.lit(e["id"])) for e in listed]) if listed else F.array().cast("array<string>")
-    hits = found.withColumn("id", F.explode(F.array_compact(picks))).join(entries.select("id", "b_variance"), "id")
+    hits = _met(found, entries.select("id", "b_account", "b_end", "b_variance"), (("account_id", "b_account"), ("period_end", "b_end")))
     off = F.col("b_variance").isNotNull() & ~F.col("variance").eqNullSafe(F.col("b_variance"))
     totals = hits.groupBy("id").agg(F.count("*").alias("matched"), F.count_if(off).alias("off"))
     reasons = F.array_compact(
@@ -668,21 +672,13 @@ def benign_periods(found: DataFrame, benign: DataFrame, check: str) -> DataFrame
     )
 
 
-def _literal_row(_: Column, entry: Row) -> Column:
-    account = F.lit(True) if entry["b_account"] is None else F.col("account_id") == entry["b_account"]
-    end = F.lit(True) if entry["b_end"] is None else F.col("period_end") == F.lit(str(entry["b_end"])).cast("date")
-    return account & end
-
-
 def suppress_periods(found: DataFrame, evaluated: DataFrame, benign: DataFrame) -> DataFrame:
     """Period findings no live entry explains."""
     live = benign.join(evaluated.where("falsified = '' AND matched > 0").select("id"), "id", "left_semi")
-    explained = F.lit(False)
-    for e in _small(live):
-        account = F.lit(True) if e["account_id"] is None else F.col("account_id") == e["account_id"]
-        end = F.lit(True) if e["period_end"] is None else F.col("period_end") == F.lit(str(e["period_end"])).cast("date")
-        explained = explained | (account & end)
-    return found.where(~explained)
+    numbered = found.withColumn("_n", F.struct(*[F.col(c) for c in found.columns]))
+    entries = live.select(F.col("account_id").alias("b_account"), F.col("period_end").alias("b_end"))
+    explained = _met(numbered, entries, (("account_id", "b_account"), ("period_end", "b_end"))).select(F.col("_n").alias("_m")).distinct()
+    return numbered.join(explained, F.col("_n").eqNullSafe(F.col("_m")), "left_anti").drop("_n")
 
 
 def benign_stale(benign: DataFrame, evaluated: DataFrame) -> DataFrame:
@@ -697,17 +693,6 @@ def benign_stale(benign: DataFrame, evaluated: DataFrame) -> DataFrame:
     return findings(bad, "benign_stale", "warn", F.col("id"), F.col("_p"))
 
 
-MAX_BENIGN = 5_000
-
-
-def _small(table: DataFrame) -> list[Row]:
-    """A hand-written table on the driver, refused when it is not short."""
-    rows = table.orderBy("id").limit(MAX_BENIGN + 1).collect()
-    if len(rows) > MAX_BENIGN:
-        raise ValueError(f"more than {MAX_BENIGN} entries")
-    return rows
-
-
 def disposition_metrics(ledger: DataFrame, unpaired: DataFrame) -> DataFrame:
     """Transfer groups, grouped rows and unpaired rows by disposition, per household."""
     names = ("groups", "grouped_rows", "unpaired_rows", "balanced_cluster", "orphan")

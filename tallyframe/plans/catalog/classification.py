@@ -331,14 +331,17 @@ def bulk_override(spark: SparkSession, d: str) -> DataFrame:
     return doubles(out.select(*names).distinct(), "amount")
 
 
-@query("mnt3_rename_label", "ol", """
-SELECT ol.id, CASE WHEN subcategory = 'streaming' THEN 'streaming_video' ELSE subcategory END AS subcategory, subcategory = 'streaming' AND subcategory IS NOT NULL AS flagged
-FROM ol
+@query("mnt3_rename_label", "ol ov", """
+SELECT ol.id, CASE WHEN ol.subcategory = 'streaming' THEN 'streaming_video' ELSE coalesce(ov.subcategory, ol.subcategory) END AS subcategory,
+  (ol.subcategory = 'streaming' AND ol.subcategory IS NOT NULL) OR ov.match_key IS NOT NULL AS flagged
+FROM ol LEFT JOIN ov ON ov.match_key = substr(sha256(ol.account_id || '|' || CAST(ol.occurred_on AS VARCHAR)
+  || '|' || CAST(ol.amount AS VARCHAR) || '|' || lower(trim(regexp_replace(ol.description_raw, '\\s+', ' ', 'g')))), 1, 24)
 """)
 def rename_label(spark: SparkSession, d: str) -> DataFrame:
+    """A rename on top of the overrides that are stored already."""
     ledger = _ledger(spark, d, household=False)
     requests = overrides.rename_label(ledger, "subcategory", "streaming", "streaming_video")
-    merged = overrides.upsert_overrides(L.overrides(spark, d).where("1 = 0"), requests)
+    merged = overrides.upsert_overrides(L.overrides(spark, d), requests)
     return overrides.apply_overrides(ledger, merged).select("id", "subcategory", S.is_flagged().alias("flagged"))
 
 

@@ -141,12 +141,14 @@ def rearm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("trf5_pairing_run", "el", f"""
-WITH {PAIR_SQL}
-SELECT el.id, {KEY_SQL} AS transfer_group_key, direction FROM el LEFT JOIN pairs ON el.id IN (left_id, right_id)
+WITH {RE_PAIR_SQL}
+SELECT arm.id, {KEY_SQL} AS transfer_group_key, CASE WHEN cd.id IS NULL OR NOT (arm.account_id = 'pool-1' AND description_raw = 'CARD SIGNUP') THEN arm.direction
+  WHEN left_id IS NULL AND NOT coalesce(len(partners) > 1 OR (partners IS NULL AND coalesce(hits, 0) > 0), false) THEN 'inflow' ELSE 'transfer' END AS direction
+FROM arm LEFT JOIN cd ON cd.id = arm.id LEFT JOIN pairs ON arm.id IN (left_id, right_id) LEFT JOIN best ON best.id = arm.id LEFT JOIN same_acct ON same_acct.id = arm.id
 """)
 def pairing_run(spark: SparkSession, d: str) -> DataFrame:
-    nothing = F.lit(False)
-    return transfers.apply_pairing(L.events_ledger(spark, d), domain=nothing).select("id", "transfer_group_key", "direction")
+    applied = transfers.apply_pairing(rearm_ledger(spark, d), domain=rearm_domain())
+    return applied.select("id", "transfer_group_key", "direction")
 
 
 @query("trf5_pairing_counts", "el", f"""

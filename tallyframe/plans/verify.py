@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.filters import DETAIL_CAP
 from tallyframe.operators.quality import CHECKS, FAMILY, FINDING
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, shared_checkpoints
 
 Check = Callable[[], DataFrame]
 
 STATUS_SQL = "CASE WHEN severity IN ('fail', 'error') THEN 2 WHEN severity = 'warn' THEN 1 ELSE 0 END"
 
 
+#: Checks that run side by side; Spark shares its tasks among them.
+AT_ONCE = 4
+
+
 def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[str] = ()) -> DataFrame:
     """Findings of all checks, or of some. A check that cannot be built or that fails as it runs is one ``error`` finding.
 
@@ -26,20 +33,23 @@ def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[
     unknown = [name for name in wanted if name not in checks]
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(unknown)}")
-    out: DataFrame | None = None
-    for name in wanted:
+    if not wanted:
+        raise ValueError("no checks to run")
+
+    def run(name: str) -> DataFrame:
         try:
-            part = cut_lineage(checks[name]().select(*FINDING))
+            return cut_lineage(checks[name]().select(*FINDING))
         except Exception as error:  # noqa: BLE001
             row = (name, FAMILY.get(name, "meta"), "error", None, name, f"{type(error).__name__}: {error}", 0, None)
-            part = spark.createDataFrame(
+            return spark.createDataFrame(
                 [row],
                 "check string, family string, severity string, household_id string, subject string, problem string, row_count bigint, amount double",
             )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no checks to run")
-    return out
+
+    # the folder is set before several threads ask for it
+    shared_checkpoints(spark)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), wanted))
 
 
 def check_status(spark: SparkSession, found: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -25,16 +25,20 @@ def build_session(app: str = "tallyframe", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Set the folder for checkpoints to the one the cluster names in ``spark.checkpoint.dir``, once.
 
     Only a local session may leave it unset: there one machine holds driver and executors.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the folder all executors share."""
+    shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager)

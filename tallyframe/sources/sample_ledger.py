@@ -38,11 +38,14 @@ def _pick(index: Column, *values: str | None) -> Column:
 
 
 @lru_cache(maxsize=64)
-def orders_ledger(spark: SparkSession, sf_dir: str, *, describe: bool = True, household: bool = True) -> DataFrame:
-    """One posting per order. Descriptions and households each cost a join, so both are optional."""
+def orders_ledger(spark: SparkSession, sf_dir: str, *, describe: bool = True, household: bool = True, orders: DataFrame | None = None) -> DataFrame:
+    """One posting per order. Descriptions and households each cost a join, so both are optional.
+
+    ``orders`` stands in for the table, such as a stream of it.
+    """
     key = F.col("o_orderkey")
     slot = key % 20
-    out = table(spark, sf_dir, "orders")
+    out = table(spark, sf_dir, "orders") if orders is None else orders
     columns = [
         _pad("o_orderkey", "t").alias("id"),
         _pad("o_custkey", "acct-").alias("account_id"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +63,8 @@ def watch_folder(
         rows = parse(batch, layout, household=household)
         fresh = ingest.ledger_rows(rows, F.lit(f"{layout.name}-{epoch}"))
         ingest.ingest_into(spark, ledger_path, fresh, rules, overrides)
-        events = batch.groupBy("path", "modified", "size").agg(F.count("*").alias("row_count")).withColumn("epoch", F.lit(epoch))
-        events.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
+        events = batch.groupBy("path", "modified", "size").agg(F.count("*").alias("row_count"))
+        log_events(spark, events_path, events, epoch)
         if after is not None:
             after(fresh, epoch)
         batch.unpersist()
@@ -79,12 +80,59 @@ def watch_folder(
     )
 
 
-def recent_events(spark: SparkSession, events_path: str, shown: int = EVENT_LOG_SHOWN, keep: int = EVENT_LOG_KEEP) -> DataFrame:
+def _last_log(spark: SparkSession, events_path: str, before: int | None = None) -> DataFrame | None:
+    """The log as the newest epoch left it; epochs are told by their folders, no file is read for that."""
+    try:
+        log = spark.read.parquet(events_path)
+    except AnalysisException:  # no epoch has been written
+        return None
+    epochs = log.select("epoch").distinct() if before is None else log.where(F.col("epoch") < before).select("epoch").distinct()
+    newest = epochs.agg(F.max("epoch").alias("epoch")).first()["epoch"]
+    return None if newest is None else log.where(F.col("epoch") == newest).drop("epoch")
+
+
+def log_events(spark: SparkSession, events_path: str, events: DataFrame, epoch: int, keep: int = EVENT_LOG_KEEP) -> None:
+    """The newest ``keep`` events up to ``epoch``, in a folder of its own: an epoch that runs again writes the same rows."""
+    earlier = _last_log(spark, events_path, epoch)
+    every = events if earlier is None else earlier.unionByName(events)
+    newest = every.orderBy(F.col("modified").desc(), F.col("path")).limit(keep)
+    newest.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
+
+
+def recent_events(spark: SparkSession, events_path: str, shown: int = EVENT_LOG_SHOWN) -> DataFrame:
     """The newest file events, newest first."""
-    log = spark.read.parquet(events_path).orderBy(F.col("modified").desc(), F.col("path")).limit(keep)
+    log = _last_log(spark, events_path)
+    if log is None:
+        raise ValueError(f"no events in {events_path}")
     return log.orderBy(F.col("modified").desc(), F.col("path")).limit(shown)
 
 
+def rows_once(ledger_stream: DataFrame, moment: str = "occurred_at", late: str = "3650 days") -> DataFrame:
+    """Rows of a stream without repeats of a record key; keys are forgotten once ``late`` behind the newest moment."""
+    return ledger_stream.withWatermark(moment, late).dropDuplicatesWithinWatermark(["account_id", "source_record_key"])
+
+
+def drained(stream: DataFrame, folder: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over all there is, batch by batch, with its state under ``folder``.
+
+    Started again with the same folder after a failure, it goes on at the batch that was cut short.
+    """
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def latest_counters(counters: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """Run live counters to the end in update mode: the newest row of each key."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/epoch={epoch}")
+
+    drained(counters, folder, "update", write)
+    values = [c for c in counters.columns if c not in keys]
+    updates = counters.sparkSession.read.parquet(f"{folder}/updates")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v")).select(*keys, "_v.*")
+
+
 def source_counters(ledger_stream: DataFrame) -> DataFrame:
     """Live rows per source document (update mode)."""
     return ledger_stream.groupBy("source_document_name").agg(F.count("*").alias("row_count"))

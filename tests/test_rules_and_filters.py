@@ -131,8 +131,8 @@ def test_a_check_that_fails_as_it_runs_is_one_finding(spark):
 
 
 def test_pattern_errors(spark):
-    bad = quality.pattern_errors(spark, loaded(spark, rule("ok", "x+"), rule("broken", "(x")))
-    assert [r["subject"] for r in bad.collect()] == ["broken"]
+    bad = quality.pattern_errors(spark.createDataFrame([rule("ok", "x+"), rule("broken", "(x"), rule("class", "[a-")], RULES))
+    assert sorted(r["subject"] for r in bad.collect()) == ["broken", "class"]
 
 
 def test_manual_rules_are_clamped(spark):
@@ -252,3 +252,45 @@ def test_register_tiers(spark):
         1: ("matched", "r1"), 2: ("ambiguous_fallback", None), 3: ("matched", "r4"), 4: ("unknown_account", None), 5: ("parse_error", None),
         6: ("missing_value", None), 7: ("duplicate", None), 8: ("duplicate", None),
     }
+
+
+BENIGN = "id string, check string, account_id string, occurred_on date, period_end date, pattern string, amount decimal(18,2), variance decimal(18,2), expected_count bigint, expected_net decimal(18,2)"
+
+
+def test_benign_entries_of_any_number(spark):
+    """Every combination of what an entry may name, against a loop over all pairs; and fifty thousand of them."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    days = [datetime.date(2026, 1, 1 + i) for i in range(3)]
+    texts = ["alpha shop", "BETA gym", "gamma"]
+    kept = [(i, rng.choice("ab"), rng.choice(days), rng.choice(texts)) for i in range(60)]
+    rows = frame(spark, *[ledger_row(i, a, str(day), "-5", "outflow", text=t) for i, a, day, t in kept])
+    shapes = list(itertools.product((None, "a", "zz"), (None, days[0]), (None, "shop|gym$", "no such")))
+    entries = [(f"e{i:02d}", "orphan_transfers", a, day, None, p, None, None, None, None) for i, (a, day, p) in enumerate(shapes)]
+    judged = {r["id"]: r["matched"] for r in quality.benign_transactions(rows, rows, spark.createDataFrame(entries, BENIGN), "orphan_transfers").collect()}
+    for i, (a, day, p) in enumerate(shapes):
+        about = [k for k in kept if a in (None, k[1]) and day in (None, k[2]) and (p is None or (p == "shop|gym$" and k[3] != "gamma"))]
+        assert judged[f"e{i:02d}"] == len(about), shapes[i]
+    many = spark.range(50_000).select(
+        F.format_string("m%05d", "id").alias("id"), F.lit("orphan_transfers").alias("check"), F.when(F.col("id") > 1, F.format_string("other%d", "id")).otherwise("a").alias("account_id"),
+        F.lit(None).cast("date").alias("occurred_on"), F.lit(None).cast("date").alias("period_end"), F.lit("alpha").alias("pattern"), *[F.lit(None).cast("decimal(18,2)").alias(c) for c in ("amount", "variance")],
+        F.lit(None).cast("bigint").alias("expected_count"), F.lit(None).cast("decimal(18,2)").alias("expected_net"),
+    )
+    found = quality.benign_transactions(rows, rows, many, "orphan_transfers")
+    left, explained = quality.suppress_transactions(rows, found, many)
+    alphas = {f"r{k[0]}" for k in kept if k[1] == "a" and k[3].startswith("alpha")}
+    assert {r["id"]: r["suppressed_by"] for r in explained.collect()} == dict.fromkeys(alphas, "m00000")
+    assert left.count() == 60 - len(alphas)
+
+
+def test_benign_periods(spark):
+    end, later = datetime.date(2026, 1, 31), datetime.date(2026, 2, 28)
+    found = spark.createDataFrame([("a", end, "k", "p", Decimal(1)), ("a", later, "k", "p", None), ("b", end, "k", "p", Decimal(2))], "account_id string, period_end date, kind string, problem string, variance decimal(18,2)")
+    entries = [("x", "stored_reconciliation", "a", None, end, None, None, Decimal(1), None, None), ("y", "stored_reconciliation", None, None, end, None, None, Decimal(1), None, None), ("z", "stored_reconciliation", None, None, None, None, None, None, 3, None)]
+    benign = spark.createDataFrame(entries, BENIGN)
+    judged = quality.benign_periods(found, benign, "stored_reconciliation")
+    assert {r["id"]: (r["matched"], r["falsified"]) for r in judged.collect()} == {"x": (1, ""), "y": (2, "variance"), "z": (3, "applies to rows only")}
+    left = quality.suppress_periods(found, judged, benign).collect()
+    assert {(r["account_id"], r["period_end"].month) for r in left} == {("a", 2), ("b", 1)}
