@@ -320,7 +320,8 @@ def suspected_untagged(ledger: DataFrame, pairs: DataFrame, tolerance: int = TOL
         F.when(F.col("kind") == "mutual", 0).otherwise(1).alias("k"), F.col("left_day").alias("d"), F.col("left_id").alias("i"),
         F.col("s.leg").alias("l"), F.col("s.leg_id").alias("leg_id"), F.col("left_account").alias("a"), F.col("right_account").alias("b"),
     )
-    legs = pairs.select("*", F.explode(sides).alias("s")).select(*AMOUNT_KEY, F.col("s.leg_day").alias("leg_day"), place.alias("p"))
+    # settled, as the first legs are found in them and then joined to them
+    legs = cut_lineage(pairs.select("*", F.explode(sides).alias("s")).select(*AMOUNT_KEY, F.col("s.leg_day").alias("leg_day"), place.alias("p")))
     per_day = [*AMOUNT_KEY, "leg_day"]
     first = legs.groupBy(*per_day).agg(F.min("p").alias("f"))
     beside = legs.join(first, per_day)

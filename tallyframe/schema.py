@@ -106,33 +106,6 @@ IMPORT_BATCHES = T.StructType(
     ]
 )
 
-# Tables the data model declares but no operator reads.
-EQUITY_GRANTS = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("grant_date", T.DateType()),
-        T.StructField("shares_granted", T.DoubleType()),
-        T.StructField("notes", T.StringType()),
-    ]
-)
-EQUITY_VESTS = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("grant_id", T.StringType()),
-        T.StructField("vest_date", T.DateType()),
-        T.StructField("shares_vested", T.DoubleType()),
-        T.StructField("notes", T.StringType()),
-    ]
-)
-SAFE_HARBOR_TARGETS = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("tax_year", T.IntegerType()),
-        T.StructField("target_amount", MONEY),
-        T.StructField("notes", T.StringType()),
-    ]
-)
-
 OVERRIDABLE = ("merchant_normalized", "primary_category", "subcategory", "household_role", "lifecycle")
 
 # The closed vocabularies. Role names other than the neutral ones
