@@ -126,13 +126,22 @@ o AS (
 f AS (SELECT *, (total - before) * w >= cap * rest AS stops FROM o),
 t AS (
   SELECT source, source_size, CASE WHEN stops THEN cap ELSE (total - coalesce(sum(cap) FILTER (stops) OVER (), 0)) * w / sum(w) FILTER (NOT stops) OVER () END AS target FROM f),
-b AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS base FROM t),
+b AS (SELECT *, target - base * source_size AS need FROM (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS base FROM t)),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+v AS (
+  SELECT z.source, size, need - CAST(coalesce(sum(size * n) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rest,
+    CAST(sum(CAST(size AS HUGEINT) * size * n) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS squares
+  FROM z JOIN b ON b.source IS NOT DISTINCT FROM z.source),
+h AS (
+  SELECT source, max(size) AS top, arg_max(rest, size) AS rest, CASE WHEN arg_max(rest, size) > 0 THEN arg_max(rest, size) / arg_max(squares, size) ELSE 0 END AS rate
+  FROM v WHERE rest * size < squares GROUP BY source),
 x AS (
-  SELECT doc_id, size, source_size, target, base, target - base * source_size AS need, d.source AS src,
+  SELECT doc_id, d.size, source_size, target, base, d.source AS src, coalesce(rest, 0) AS rest, d.size > coalesce(top, 0) AS sure, coalesce(rate, 0) * d.size AS p,
     (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || 'mix'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source),
-y AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY u, CAST(doc_id AS VARCHAR)) AS upto FROM x)
-SELECT doc_id, size, source_size, target, size * CAST(base + CASE WHEN upto - size / 2.0 <= need THEN 1 ELSE 0 END AS BIGINT) AS taken FROM y
+  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM d.source),
+q AS (SELECT *, NOT sure AND p > 0 AS drawn, CASE WHEN NOT sure AND p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM x),
+y AS (SELECT *, sum(size) OVER (PARTITION BY src, drawn ORDER BY odds / (1 + odds), CAST(doc_id AS VARCHAR)) AS upto FROM q)
+SELECT doc_id, size, source_size, target, size * CAST(base + CASE WHEN sure OR (drawn AND upto - size / 2.0 <= rest) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM y
 """
 
 ORACLES["op12_merkle"] = """

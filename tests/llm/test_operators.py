@@ -360,17 +360,65 @@ def test_mixing(spark):
     assert mix == +taken
 
 
+def brute_mix(rows, need):
+    """Documents taken once more: ``rows`` of one source as id and size, by certainties one after the other."""
+    pool, sure = {i: n for i, n in rows if n}, set()
+    while pool and need > 0:
+        rate = need / sum(n * n for n in pool.values())
+        most = max(pool.values())
+        if rate * most < 1:
+            break
+        over = {i for i, n in pool.items() if n == most}
+        sure, need = sure | over, need - most * len(over)
+        pool = {i: n for i, n in pool.items() if i not in over}
+    if need <= 0 or not pool:
+        return sure
+    u = {i: (int(hashlib.md5(f"{i}mix".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for i in pool}
+    at = 0
+    for i in sorted(pool, key=lambda i: u[i] / (1 - u[i]) / (rate * pool[i] / (1 - rate * pool[i]))):
+        at += pool[i]
+        if at - pool[i] / 2 > need:
+            break
+        sure.add(i)
+    return sure
+
+
 def test_mix_follows_the_rank(spark):
-    """Whoever is taken once more has a smaller rank than whoever is not."""
-    df = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string")
+    """Certain documents and those of smallest random odds over own odds are taken once more, and no others."""
+    size = lambda i: 900 if i % 1001 == 5 else 1 + i % 7
+    df = spark.createDataFrame([(i, "w " * size(i), "abc"[i % 3]) for i in range(6000)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    partly = 0
+    for k in range(3):
+        own = {r["doc_id"]: r for r in got if r["doc_id"] % 3 == k}
+        one = next(iter(own.values()))
+        base = int(one["target"] // one["source_size"])
+        taken = brute_mix([(i, size(i)) for i in own], one["target"] - base * one["source_size"])
+        assert {i: r["copies"] for i, r in own.items()} == {i: base + (i in taken) for i in own}
+        partly += 0 < len(taken) < len(own)
+    assert partly
+
+
+def test_larger_inclusion_odds_are_taken_more_often(spark):
+    """Of documents of 1, 2, 4 and 8 words, eight times the size is about eight times the odds."""
+    df = spark.createDataFrame([(i, "w " * (1 << i % 4), "ab"[i >= 8000]) for i in range(16000)], "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1, 40), share=0.8, most=1.0).collect()
+    own = [r for r in got if r["doc_id"] < 8000]
+    share = {n: sum(r["copies"] for r in own if r["size"] == n) / 2000 for n in (1, 2, 4, 8)}
+    assert 0 < share[1] < share[2] < share[4] < share[8] < 1 and 6 < share[8] / share[1] < 10.7
+
+
+def test_mix_of_equal_rows(spark):
+    """Rows that nothing tells apart are split where the sample ends: each source is within a document of its target."""
+    rows = [(None, "a b c d", "x")] * 3000 + [(7, "a b c", "y")] * 2000 + [(i, "a b", "z") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
-    for own in ({r["doc_id"]: r for r in got if r["doc_id"] % 2 == k} for k in (0, 1)):
-        any_row = next(iter(own.values()))
-        assert abs(sum(r["taken"] for r in own.values()) - any_row["target"]) <= 4
-        u = {i: (int(hashlib.md5(f"{i}mix".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for i in own}
-        most = max(r["copies"] for r in own.values())
-        if most > min(r["copies"] for r in own.values()):
-            assert max(u[i] for i, r in own.items() if r["copies"] == most) < min(u[i] for i, r in own.items() if r["copies"] < most)
+    assert len(got) == len(rows)
+    for size in (2, 3, 4):
+        own = [r for r in got if r["size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size
+    again = collections.Counter(r["source"] for r in mixing.mixed(df).collect())
+    assert again == {s: sum(r["copies"] for r in got if r["size"] == n) for s, n in (("x", 4), ("y", 3), ("z", 2))}
 
 
 def test_language(spark):
