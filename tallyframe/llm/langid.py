@@ -8,9 +8,10 @@ the score is its share of them.
 
 Defined results: ``und`` with score 0 for null text, for text without a letter, and where nothing
 could be learned. Documents with a null language or id are not learned from; a null ``doc_id``
-counts as not held out. Repeated rows are predicted alike. An empty table gives no rows. Languages
-beyond the ``MOST_LANGUAGES`` with most training documents are not learned. Texts are scored in
-slices of bounded length that end between words, so memory follows the number of words of one text.
+counts as not held out. Repeated rows are predicted alike. An empty table gives no rows. Every label
+is learned: the model has 2**BITS numbers for each different one and no more, however many documents
+there are. Texts are scored in slices of bounded length that end between words, and as many texts at
+once as the number of languages allows, so memory follows the number of words of one text.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import settle
+
 BITS = 16
-MOST_LANGUAGES = 200
+#: Languages whose counts a task holds at a time while learning.
+HELD = 256
 #: Cost of changing the language between two words, in nats.
 SWITCH = 12.0
 #: A language uses a script if so much of its training letters is in it.
 USES = 0.01
 SLICE = 1_000_000
+#: Characters times languages that are scored at once, beyond a first text.
+CELLS = 16_000_000
 #: First code points of script ranges and the script's number; 0 is none, 1 Latin.
 SCRIPTS = (
     (0x0000, 0), (0x0041, 1), (0x0250, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6),
@@ -78,21 +84,30 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram and script counts of each language, summed over the task."""
+    """Trigram and script counts of each language, summed over the task while it meets no more than ``HELD``."""
     size = (1 << BITS) + N_SCRIPTS
     sums: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
+
+    def emit() -> Iterator[pd.DataFrame]:
+        for lang, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1), "n": np.append(total[at], 1)})
+        sums.clear()
+
     for batch in batches:
         for text, lang in zip(batch["text"], batch["lang"]):
+            if lang not in sums and len(sums) == HELD:
+                yield from emit()
             total = sums.setdefault(lang, np.zeros(size, np.int64))
-            docs[lang] = docs.get(lang, 0) + 1
             for part in _slices(text):
                 buckets, scripts, _ = _codes(part)
                 total += np.bincount(buckets, minlength=size)
                 total[1 << BITS :] += np.bincount(scripts, minlength=N_SCRIPTS)
-    for lang, total in sums.items():
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1), "n": np.append(total[at], docs[lang])})
+    yield from emit()
+
+
+def _labels_type(languages: int) -> type:
+    return np.uint8 if languages <= 1 << 8 else np.uint16 if languages <= 1 << 16 else np.uint32
 
 
 class Model:
@@ -127,8 +142,9 @@ class Model:
             first = np.cumsum(lengths) - lengths
             active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
             n = len(self.languages)
-            own = np.arange(n, dtype=np.uint8)
-            back = np.empty((len(scores), n), np.uint8)
+            kind = _labels_type(n)
+            own = np.arange(n, dtype=kind)
+            back = np.empty((len(scores), n), kind)
             value = np.zeros((active[0], n))
             for t, a in enumerate(active):
                 value = value[:a]
@@ -147,9 +163,9 @@ class Model:
     @staticmethod
     def _path(back: np.ndarray, state: int) -> np.ndarray:
         """Labels from the last word to the first; runs without a switch are skipped in one step."""
-        path = np.empty(len(back), np.uint8)
+        path = np.empty(len(back), back.dtype)
         end = len(back)
-        moves = back != np.arange(back.shape[1], dtype=np.uint8)
+        moves = back != np.arange(back.shape[1], dtype=back.dtype)
         columns = [np.flatnonzero(moves[:, k]) for k in range(back.shape[1])]
         while end > 0:
             at = np.searchsorted(columns[state], end, "left") - 1
@@ -162,16 +178,14 @@ class Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model of ``docs`` (``text, lang``); at most ``MOST_LANGUAGES * 2**BITS`` counts come to the driver."""
+    """A model of ``docs`` (``text, lang``); at most ``2**BITS`` counts of each language come to the driver."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInPandas(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    from tallyframe.llm.common import settle
-
     counts = settle(counts, "language-counts")
-    names = sorted(r["lang"] for r in counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    names = sorted(r["lang"] for r in counts.where("bucket = -1").collect())
     index = {x: i for i, x in enumerate(names)}
     total = np.zeros(((1 << BITS) + N_SCRIPTS, len(names)))
-    found = counts.where(F.col("lang").isin(names) & (F.col("bucket") >= 0)).toPandas() if names else pd.DataFrame({"lang": [], "bucket": [], "n": []})
+    found = counts.where("bucket >= 0").toPandas() if names else pd.DataFrame({"lang": [], "bucket": [], "n": []})
     total[found["bucket"].astype(int), found["lang"].map(index).astype(int)] = found["n"]
     grams, scripts = total[: 1 << BITS], total[1 << BITS :]
     smooth = 0.1
@@ -193,7 +207,7 @@ def predicted(model: Model, text: Column, spark) -> Column:
             texts = [x or "" for x in batch]
             while at < len(texts):
                 upto, held = at, 0
-                while upto < len(texts) and (upto == at or held + len(texts[upto]) <= 4 * SLICE):
+                while upto < len(texts) and (upto == at or (held + len(texts[upto])) * len(own.languages) <= CELLS):
                     held, upto = held + len(texts[upto]), upto + 1
                 rows += _judged(own, texts[at:upto])
                 at = upto

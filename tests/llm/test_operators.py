@@ -436,6 +436,19 @@ def test_language(spark):
     assert all(r["lang"] for r in langid.keep_known(documents(spark)).select("lang").where("doc_id < 60").collect())
 
 
+def test_every_label_is_learned(spark):
+    """300 languages with an alphabet of their own each: all are learned and told apart."""
+    letters = [chr(0x4E00 + 10 * k + j) for k in range(300) for j in range(10)]
+    word = lambda k, n: "".join(letters[10 * k + (n * 3 + j) % 10] for j in range(4))
+    rows = [(k * 8 + n, " ".join(word(k, n + m) for m in range(12)), f"l{k:03}") for k in range(300) for n in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    want = {i: lang for i, _, lang in rows}
+    taught = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    got = langid.predict(df).collect()
+    assert len(got) == len(rows) and len(taught) > 295
+    assert all(r["lang_pred"] == want[r["doc_id"]] for r in got if want[r["doc_id"]] in taught)
+
+
 def test_spans_of_mixed_text_equal_exhaustive_viterbi():
     rng = np.random.default_rng(2)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3), np.float32), np.ones((langid.N_SCRIPTS, 3), bool))
