@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
 from tallyframe.operators.common import HOUSEHOLD, join_interval, mark_intervals
+from tallyframe.session import cut_lineage
 
 # Fixed value: a payment this close to the scheduled one is the scheduled one.
 MATCH_TOLERANCE = 50
@@ -86,7 +87,9 @@ def debt_principal(
     """Scheduled and non-scheduled debt paydown per household and month.
 
     A row at or above its scheduled payment less the tolerance is one scheduled payment,
-    and its excess counts when it exceeds the tolerance; a smaller row is all paydown.
+    and its excess counts when it exceeds the tolerance; a smaller row is all paydown. The
+    ledger is read once: its sums, one row per loan and month, are settled before the
+    schedule takes its months from them.
     """
     rows = with_tier(loan_rows(ledger, loans), tiers, "occurred_on")
     paid = F.abs("amount")
@@ -96,6 +99,7 @@ def debt_principal(
     monthly = rows.groupBy(*HOUSEHOLD, "loan", F.trunc("occurred_on", "month").alias("month_start")).agg(
         F.count_if(scheduled).alias("scheduled_count"), F.sum(extra).alias("debt_paydown_nonscheduled")
     )
+    monthly = cut_lineage(monthly)
     principal = amortized_principal(loans, tiers, anchors, monthly)
     return (
         monthly.join(principal, ["loan", "month_start"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
+from tallyframe.session import cut_lineage
 
 # Match windows in days and description forms.
 CHECK_FALLBACK_DAYS = 10
@@ -73,33 +74,43 @@ def _no_zeros(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"^0+", "")
 
 
+def _day_key(day: Column) -> Column:
+    return F.concat(F.lit("d"), F.unix_date(day).cast("string"))
+
+
 def match_checks(entries: DataFrame, ledger: DataFrame, days: int = CHECK_FALLBACK_DAYS) -> DataFrame:
     """Match each entry (``entry_id``, account_id, check_number, abs_cents, date_written).
 
     Strict: account, amount and check number. Otherwise any check of that account and
-    amount within ``days``. Postings are counted per key before they meet the entries, so
-    nothing is paired row by row; exactly one hit is a match.
+    amount within ``days``. A posting is filed under its number and under its day, an entry
+    asks for its number and for every day in reach: one equi-join finds both kinds of hit,
+    and one aggregation tells them apart. Postings are counted per key before they meet the
+    entries, so nothing is paired row by row; exactly one hit is a match.
     """
-    checks = ledger.where(F.col("description_raw").rlike(CHECK_TEXT)).select(
-        "account_id",
-        "id",
-        F.abs(S.cents("amount")).alias("abs_cents"),
-        F.coalesce("posted_on", "occurred_on").alias("day"),
-        F.regexp_extract("description_raw", CHECK_NUMBER, 1).alias("number"),
-    )
-    strict = (
-        checks.groupBy("account_id", "abs_cents", _no_zeros(F.col("number")).alias("bare"), F.length("number").alias("width"))
+    number = F.regexp_extract("description_raw", CHECK_NUMBER, 1)
+    by_number = F.struct(F.concat(F.lit("n"), _no_zeros(number)).alias("key"), F.length(number).alias("width"))
+    by_day = F.struct(_day_key(F.coalesce("posted_on", "occurred_on")).alias("key"), F.lit(None).cast("int").alias("width"))
+    filed = (
+        ledger.where(F.col("description_raw").rlike(CHECK_TEXT))
+        .select("account_id", "id", F.abs(S.cents("amount")).alias("abs_cents"), F.explode(F.array(by_number, by_day)).alias("filed"))
+        .groupBy("account_id", "abs_cents", "filed.key", "filed.width")
         .agg(F.count("*").alias("n"), F.min("id").alias("one"))
     )
-    keyed = entries.withColumn("bare", _no_zeros(F.trim("check_number")))
-    strict_hits = (
-        keyed.join(strict, ["account_id", "abs_cents", "bare"])
-        .where(F.col("width") >= F.length(F.trim("check_number")))
+    wanted = F.trim("check_number")
+    reach = F.sequence(F.date_sub("date_written", days), F.date_add("date_written", days))
+    keys = F.concat(F.array(F.concat(F.lit("n"), _no_zeros(wanted))), F.coalesce(F.transform(reach, _day_key), F.array().cast("array<string>")))
+    asked = entries.select("entry_id", "account_id", "abs_cents", F.length(wanted).alias("least"), F.explode(keys).alias("key"))
+    strict = F.col("width").isNotNull()
+    hits = (
+        asked.join(filed, ["account_id", "abs_cents", "key"])
+        .where(~strict | (F.col("width") >= F.col("least")))
         .groupBy("entry_id")
-        .agg(F.sum("n").alias("strict_count"), F.min("one").alias("strict_id"))
-    )
-    near_hits = _window_hits(entries, checks, "date_written", days)
-    joined = entries.join(strict_hits, "entry_id", "left").join(near_hits, "entry_id", "left")
+        .agg(
+            F.sum(F.when(strict, F.col("n"))).alias("strict_count"), F.min(F.when(strict, F.col("one"))).alias("strict_id"),
+            F.sum(F.when(~strict, F.col("n"))).alias("near_count"), F.min(F.when(~strict, F.col("one"))).alias("near_id"),
+        )
+    )
+    joined = entries.join(hits, "entry_id", "left")
     is_strict = F.coalesce("strict_count", F.lit(0)) > 0
     count = F.when(is_strict, F.col("strict_count")).otherwise(F.coalesce("near_count", F.lit(0)))
     one = F.when(is_strict, F.col("strict_id")).otherwise(F.col("near_id"))
@@ -165,17 +176,21 @@ def _prepare(entries: DataFrame, accounts: DataFrame, required: Sequence[str], k
 
 
 def check_register(entries: DataFrame, accounts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Outcome of every check register entry (``entry_id`` plus the text columns of the file)."""
+    """Outcome of every check register entry (``entry_id`` plus the text columns of the file).
+
+    Prepared entries and outcomes are settled, as both are read more than once: the ledger is
+    scanned once for all matches.
+    """
     key = [F.lower("account"), F.col("check_number")]
-    ready = _prepare(entries, accounts, CHECK_REQUIRED, key, "date_written")
-    return _outcomes(ready, match_checks(ready.where(F.col("problem").isNull()), ledger))
+    ready = cut_lineage(_prepare(entries, accounts, CHECK_REQUIRED, key, "date_written"))
+    return cut_lineage(_outcomes(ready, match_checks(ready.where(F.col("problem").isNull()), ledger)))
 
 
 def deposit_ledger(entries: DataFrame, accounts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Outcome of every deposit ledger entry."""
     key = [F.lower("account"), F.col("date_deposited"), F.col("amount")]
-    ready = _prepare(entries, accounts, DEPOSIT_REQUIRED, key, "date_deposited")
-    return _outcomes(ready, match_deposits(ready.where(F.col("problem").isNull()), ledger))
+    ready = cut_lineage(_prepare(entries, accounts, DEPOSIT_REQUIRED, key, "date_deposited"))
+    return cut_lineage(_outcomes(ready, match_deposits(ready.where(F.col("problem").isNull()), ledger)))
 
 
 def _outcomes(ready: DataFrame, matched: DataFrame) -> DataFrame:
