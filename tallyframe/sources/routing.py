@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
-from tallyframe.operators.common import newest_per_key
 from tallyframe.sources import records
 from tallyframe.sources.layouts import Layout, parse
 
@@ -56,21 +55,98 @@ def expected_extensions(form: Column) -> Column:
 # Bigram likeness that a pair without a shared token needs beside the extension bonus: 2 * shared / (f + s).
 LEAST_LIKENESS = (THRESHOLD - EXTENSION_BONUS) / NAME_WEIGHT
 
+# A key of the index with more sources is cut into blocks of about so many, one with more files dealt over so many tasks' keys.
+BLOCK_SOURCES = 64
+CELL_FILES = 4096
 
-def _rare_grams(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``name, gram``: the rarest bigrams of each name, enough that two names alike share one.
+# Names are lower-case letters, digits and blanks: a bigram is told by its place in a square of the signs from the blank on.
+_SIGNS = 96
+
+
+def _gram_places(name: str) -> Column:
+    """Bigrams of a name as numbers, which meet faster than texts."""
+    return F.transform(S.bigrams(name), lambda g: (F.ascii(g) - 32) * _SIGNS + F.ascii(F.substring(g, 2, 1)) - 32)
+
+
+def _gram_counts(sources: DataFrame) -> DataFrame:
+    """One row: how many sources hold the bigram of each place."""
+    counted = sources.select(F.explode("_grams").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    known = counted.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(_SIGNS * _SIGNS - 1))
+    return known.select(F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0))).alias("_counts"))
+
+
+def _rare_grams() -> Column:
+    """The first bigrams of a name in the common order of ``_counts``, enough that two names alike share one.
 
     With likeness at least t a name of n bigrams shares at least n * t / (2 - t) of them, so
     two names alike agree on one of their first n - that + 1 in any common order.
     """
-    counts = files.select(F.explode("_grams").alias("gram")).unionAll(sources.select(F.explode("_grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
+    placed = F.array_sort(F.transform("_grams", lambda g: F.struct(F.get("_counts", g).alias("n"), g.alias("gram"))))
+    least = F.ceil(F.size("_grams") * (LEAST_LIKENESS / (2 - LEAST_LIKENESS)) - 1e-9)
+    return F.slice(F.transform(placed, lambda x: x["gram"]), F.lit(1), (F.size("_grams") - least + 1).cast("int"))
+
+
+def _named(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the bigrams of a name; the name is a column, as an expression would be worked out for each of them."""
+    return df.withColumn("_name", normal_text(text)).withColumn("_grams", _gram_places("_name"))
+
+
+def _met(entries: DataFrame, index: DataFrame) -> DataFrame:
+    """``path, _text, _name, key, block``: files beside the sources ``(key, source)`` of their key, in blocks.
 
-    def first(df: DataFrame) -> DataFrame:
-        placed = df.select("name", F.explode("_grams").alias("gram")).join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-        least = F.ceil(F.size("g") * (LEAST_LIKENESS / (2 - LEAST_LIKENESS)) - 1e-9)
-        return placed.select("name", F.explode(F.slice("g", F.lit(1), (F.size("g") - least + 1).cast("int"))).alias("x")).select("name", F.col("x.gram").alias("gram"))
+    Only short texts of a file are shuffled. A key that many files hold is dealt over several, and its sources
+    are copied for each; the table of such keys has at most a row for ``CELL_FILES`` entries.
+    """
+    held = entries.groupBy("key").agg(F.ceil(F.count("*") / CELL_FILES).cast("int").alias("cells"))
+    dealt = entries.join(F.broadcast(held.where("cells > 1")), "key", "left").withColumn("cell", F.pmod(F.xxhash64("path"), F.coalesce("cells", F.lit(1))).cast("int"))
+    # sizes of tables that grow out of lists are not known beforehand, so no side of these joins may be sent to the driver
+    used = index.join(held.hint("merge"), "key")
+    blocks = used.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SOURCES).cast("int").alias("blocks"))
+    cut = used.join(blocks.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("source.source_id"), F.col("blocks")))
+    cut = cut.groupBy("key", "part", "cells").agg(F.collect_list("source").alias("block"))
+    copied = cut.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    return dealt.drop("cells").join(copied.hint("merge"), ["key", "cell"]).select("path", "_text", "_name", "key", "block")
+
+
+def _scored(met: DataFrame, mine: Callable[[Column], Column]) -> DataFrame:
+    """``path, hits``: the sources of each block that are ``mine`` to score and reach the threshold."""
+    ready = met.withColumns({"_fw": F.split("_text", " "), "_fg": _gram_places("_name"), "_fe": file_parts("path")["extension"]})
+
+    def scored(s: Column) -> Column:
+        both = F.size(s["_grams"]) + F.size("_fg")
+        overlap = F.size(F.array_intersect("_fw", s["_words"])) / F.greatest(F.size(s["_words"]), F.lit(1))
+        likeness = F.when(both > 0, F.size(F.array_intersect("_fg", s["_grams"])) * 2 / both).otherwise(0.0)
+        # named twice, as a column named once is worked out anew for each source
+        bonus = F.when(F.col("_fe").isNotNull() & F.array_contains(s["_exts"], F.col("_fe")), EXTENSION_BONUS).otherwise(0.0)
+        score = overlap * TOKEN_WEIGHT + likeness * NAME_WEIGHT + bonus
+        return F.struct((-score).alias("minus"), s["position"].alias("position"), s["source_id"].alias("source_id"))
+
+    hits = F.filter(F.transform(F.filter("block", mine), scored), lambda x: x["minus"] <= -THRESHOLD)
+    # a filter on hits would be worked out with all its columns before they are; empty ones fall out later
+    return ready.select("path", hits.alias("hits"))
+
+
+def _hits(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``path, hits`` of pairs with a shared word, each pair once, and of pairs without, as often as they share a rare bigram.
+
+    A hit is ``minus, position, source_id``, so the least one is the best.
+    """
+    haystack = F.concat_ws(" ", "document", "category", "subject", "why_needed")
+    s = _named(sources, F.col("document")).select(
+        "source_id", "position", S.tokens(haystack).alias("_words"), "_grams", expected_extensions(F.col("format")).alias("_exts")
+    )
+    source = F.struct("source_id", "position", "_words", "_grams", "_exts").alias("source")
+    parts = file_parts("path")
+    f = _named(files.select("path", S.tokens(F.concat_ws(" ", *parts.values())).alias("_words")), parts["stem"]).withColumn("_text", F.array_join("_words", " "))
+    entry = ("path", "_text", "_name")
+    words = _met(f.select(*entry, F.explode("_words").alias("key")), s.select(F.explode("_words").alias("key"), source))
+    by_word = _scored(words, lambda x: F.get(F.array_intersect("_fw", x["_words"]), F.lit(0)) == F.col("key"))
 
-    return first(files), first(sources)
+    counts = F.broadcast(_gram_counts(s))
+    grams = _met(f.crossJoin(counts).select(*entry, F.explode(_rare_grams()).alias("key")), s.crossJoin(counts).select(F.explode(_rare_grams()).alias("key"), source))
+    by_name = _scored(grams, lambda x: ~F.arrays_overlap("_fw", x["_words"]))
+    return by_word, by_name
 
 
 def score_files(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -78,42 +154,23 @@ def score_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
     Pairs come from inverted indexes, never from a product. Without a shared token a score
     needs names so alike that one of the rarest bigrams of each is shared, so only those are
-    indexed; each pair is then scored once.
+    indexed. A pair with shared words is scored where the first of them meets.
     ``files(path)``, ``sources(source_id, position, category, document, subject, why_needed, format)``.
     """
-    parts = file_parts("path")
-    f = files.select("path", *[c.alias(n) for n, c in parts.items()])
-    f = f.withColumn("_words", S.tokens(F.concat_ws(" ", "stem", "parent", "extension"))).withColumn(
-        "_grams", S.bigrams(normal_text(F.col("stem")))
-    )
-    haystack = F.concat_ws(" ", "document", "category", "subject", "why_needed")
-    s = sources.select(
-        "source_id", "position", S.tokens(haystack).alias("_words"), S.bigrams(normal_text(F.col("document"))).alias("_grams"),
-        expected_extensions(F.col("format")).alias("_exts"),
-    )
-    shared_word = f.select("path", F.explode("_words").alias("x")).join(s.select("source_id", F.explode("_words").alias("x")), "x")
-    rare = _rare_grams(f.select(F.col("path").alias("name"), "_grams"), s.select(F.col("source_id").alias("name"), "_grams"))
-    like = rare[0].withColumnRenamed("name", "path").join(rare[1].withColumnRenamed("name", "source_id"), "gram")
-    pairs = shared_word.select("path", "source_id").union(like.select("path", "source_id")).distinct()
-    sized = (
-        pairs.join(f.select("path", "extension", F.col("_words").alias("_fw"), F.col("_grams").alias("_fg")), "path")
-        .join(s.select("source_id", "position", "_exts", F.col("_words").alias("_sw"), F.col("_grams").alias("_sg")), "source_id")
-        .select(
-            "path", "source_id", "position", "extension", "_exts", F.size("_sw").alias("s_words"), F.size("_sg").alias("s_grams"), F.size("_fg").alias("f_grams"),
-            F.size(F.array_intersect("_fw", "_sw")).alias("words"), F.size(F.array_intersect("_fg", "_sg")).alias("grams"),
-        )
-    )
-    overlap = F.col("words") / F.greatest(F.col("s_words"), F.lit(1))
-    likeness = F.when(F.col("s_grams") + F.col("f_grams") > 0, F.col("grams") * 2 / (F.col("s_grams") + F.col("f_grams"))).otherwise(0.0)
-    bonus = F.when(F.array_contains("_exts", F.col("extension")), EXTENSION_BONUS).otherwise(0.0)
-    score = overlap * TOKEN_WEIGHT + likeness * NAME_WEIGHT + bonus
-    return sized.withColumn("score", score).where(F.col("score") >= THRESHOLD).select("path", "source_id", "position", "score")
+    by_word, by_name = (h.select("path", F.explode("hits").alias("hit")) for h in _hits(files, sources))
+    hit = F.col("hit")
+    return by_word.unionByName(by_name.distinct()).select("path", hit["source_id"].alias("source_id"), hit["position"].alias("position"), (-hit["minus"]).alias("score"))
 
 
 def route_files(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each file with its single best source (ties to the first source), null when none reaches the threshold."""
-    best = newest_per_key(score_files(files, sources), ["path"], F.col("score").desc(), F.col("position"))
-    return files.join(best.select("path", "source_id", "score"), "path", "left")
+    """Each file with its single best source (ties to the first source), null when none reaches the threshold.
+
+    The best source of a block is taken in its row, so a file's pairs are never rows.
+    """
+    by_word, by_name = _hits(files, sources)
+    best = by_word.unionByName(by_name).select("path", F.array_min("hits").alias("hit")).groupBy("path").agg(F.min("hit").alias("hit"))
+    best = best.select("path", F.col("hit.source_id").alias("source_id"), (-F.col("hit.minus")).alias("score"))
+    return files.join(best.hint("merge"), "path", "left")
 
 
 def top_matches(files: DataFrame, sources: DataFrame, keep: int = TOP_FILES) -> DataFrame:
