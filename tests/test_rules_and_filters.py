@@ -294,3 +294,20 @@ def test_benign_periods(spark):
     assert {r["id"]: (r["matched"], r["falsified"]) for r in judged.collect()} == {"x": (1, ""), "y": (2, "variance"), "z": (3, "applies to rows only")}
     left = quality.suppress_periods(found, judged, benign).collect()
     assert {(r["account_id"], r["period_end"].month) for r in left} == {("a", 2), ("b", 1)}
+
+
+def test_rules_of_one_pattern_are_filed_once(spark):
+    """Thousands of rules of few patterns meet a row as few, and each filter keeps its first rule."""
+    from tallyframe.operators import rule_index
+
+    book = [
+        rule(f"r{i:04d}", ("amazon", "whole foods", ".+")[i % 3], priority=50 - i // 100, direction=(None, "inflow", "", "outflow")[i % 4], account=(None, "a", "b", "")[i // 4 % 4], category=None if i % 10 == 9 else f"c{i}")
+        for i in range(1_800)
+    ]
+    table = spark.createDataFrame(book, RULES)
+    firsts = rule_index.one_per_filter(table)
+    none = spark.createDataFrame([], "key string, rows long")
+    assert rule_index.filed(firsts, none).count() == 2 + rule_index.SALTS
+    rows = frame(spark, *[ledger_row(i, "abc"[i % 3], "2026-01-01", "-5", ("inflow", "outflow", "transfer")[i // 3 % 3], text=("AMAZON", "whole foods amazon", "x")[i // 9]) for i in range(27)])
+    short = {r["id"]: r["match"] for r in rules.match_rules(rows, rules.load_rules(table)).collect()}
+    assert {r["id"]: r["match"] for r in rules.match_rules(rows, table).collect()} == short
