@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
-from tallyframe.operators.chains import statement_closings
-from tallyframe.operators.common import as_day, as_of_values, newest_per_key
+from tallyframe.operators.chains import day_closings
+from tallyframe.operators.common import SPREAD, as_day, as_of_values
 
 ACCOUNT = "account_id"
 PERIOD_KEY = (ACCOUNT, "period_start", "period_end")
@@ -27,8 +27,8 @@ def zero() -> Column:
     return F.lit(0).cast("decimal(28,2)")
 
 
-def day_breakdown(ledger: DataFrame) -> DataFrame:
-    """Inflow, outflow, transfers in and out per account and day."""
+def day_breakdown(ledger: DataFrame, *more: Column) -> DataFrame:
+    """Inflow, outflow, transfers in and out per account and day, and ``more`` of it."""
     amount, direction = F.col("amount"), F.col("direction")
     moved_in = (direction == "transfer") & (amount >= 0)
     moved_out = (direction == "transfer") & (amount < 0)
@@ -41,6 +41,7 @@ def day_breakdown(ledger: DataFrame) -> DataFrame:
         total(direction == "outflow", F.abs(amount)).alias("outflows"),
         total(moved_in, amount).alias("transfers_in"),
         total(moved_out, F.abs(amount)).alias("transfers_out"),
+        *more,
     )
 
 
@@ -75,14 +76,17 @@ def period_breakdown(ledger: DataFrame, periods: DataFrame) -> DataFrame:
     )
 
 
-def months_in_range(keys: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    """Calendar months from ``start``'s month to ``end`` per key row; the last one is clipped to ``end``."""
+def _months_between(start: date | str, end: date | str) -> Column:
     first, last = F.trunc(as_day(start), "month"), as_day(end)
-    months = F.when(last >= as_day(start), F.sequence(first, F.greatest(last, first), F.expr("interval 1 month"))).otherwise(
+    return F.when(last >= as_day(start), F.sequence(first, F.greatest(last, first), F.expr("interval 1 month"))).otherwise(
         F.array().cast("array<date>")
     )
-    return keys.select("*", F.explode(months).alias("period_start")).withColumn(
-        "period_end", F.least(F.last_day("period_start"), last)
+
+
+def months_in_range(keys: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """Calendar months from ``start``'s month to ``end`` per key row; the last one is clipped to ``end``."""
+    return keys.select("*", F.explode(_months_between(start, end)).alias("period_start")).withColumn(
+        "period_end", F.least(F.last_day("period_start"), as_day(end))
     )
 
 
@@ -188,49 +192,57 @@ def refresh_goals(goals: DataFrame, goal_accounts: DataFrame, balances: DataFram
 
 def prior_closing(periods: DataFrame, before: date | str) -> DataFrame:
     """Closing of the last stored period ending before a day: statement, else computed."""
-    newest = newest_per_key(
-        periods.where(F.col("period_end") < as_day(before)), [ACCOUNT], F.col("period_end").desc(), F.col("period_start").desc()
+    origin = F.lit("0001-01-01").cast("date")
+    # days as one number keep the state of a group fixed in width, so it is hashed and not sorted
+    order = F.datediff("period_end", origin).cast("long") * 10_000_000 + F.datediff("period_start", origin)
+    return (
+        periods.where(F.col("period_end") < as_day(before))
+        .groupBy(ACCOUNT)
+        .agg(F.max_by(F.coalesce("statement_closing", "computed_closing"), order).alias("prior_closing"))
     )
-    return newest.select(ACCOUNT, F.coalesce("statement_closing", "computed_closing").alias("prior_closing"))
 
 
-def _split_at_checkpoints(months: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Explode each month into its periods.
+def _per_account(df: DataFrame, values: Column, name: str) -> DataFrame:
+    """One row per account that holds ``values`` of its rows, dealt like the accounts of ``reconcile``."""
+    return df.select(ACCOUNT, values.alias(name)).repartition(SPREAD, ACCOUNT).groupBy(ACCOUNT).agg(F.collect_list(name).alias(name))
+
+
+def only_asked(periods: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """Periods whose ``column`` is among the days that ``asked(account_id, day)`` lists for their account.
 
-    ``role``: plain, verify (ends at the checkpoint), remainder (opens at it).
+    Periods are met by account alone, so those that are dealt by account are not dealt again.
     """
-    dated = checkpoints.select(ACCOUNT, F.trunc("as_of", "month").alias("period_start"), "as_of", "balance")
-    governing = (
-        months.join(dated, [ACCOUNT, "period_start"])
-        .where(F.col("eligible") & (F.col("as_of") <= F.col("period_end")))
-        .groupBy(ACCOUNT, "period_start")
-        .agg(F.max(F.struct("as_of", "balance")).alias("g"), F.count("*").alias("checkpoint_count"))
-    )
-    joined = months.join(governing, [ACCOUNT, "period_start"], "left")
-    day, held = F.col("g.as_of"), F.col("g.balance")
+    days = asked.groupBy(ACCOUNT).agg(F.collect_set("day").alias("_asked"))
+    return periods.join(days, ACCOUNT).where(F.array_contains("_asked", F.col(column))).drop("_asked")
+
+
+def _parts_of(month: Column) -> Column:
+    """The periods of a month: plain, or verify (ends at the checkpoint) and remainder (opens at it)."""
+    start, end, day, held = month["period_start"], month["period_end"], month["g"]["as_of"], month["g"]["balance"]
     none = F.lit(None).cast("decimal(18,2)")
 
-    def part(start: Column, end: Column, role: str, anchor: Column, fixed: Column) -> Column:
+    def part(first: Column, last: Column, role: str, anchor: Column, fixed: Column) -> Column:
         return F.struct(
-            start.alias("period_start"), end.alias("period_end"), F.lit(role).alias("role"),
+            first.alias("period_start"), last.alias("period_end"), F.lit(role).alias("role"), day.alias("governing_day"),
             anchor.cast("decimal(18,2)").alias("own_anchor"), fixed.cast("decimal(18,2)").alias("checkpoint_balance"),
         )
 
-    start, end = F.col("period_start"), F.col("period_end")
-    parts = (
+    return (
         F.when(day.isNull(), F.array(part(start, end, "plain", none, none)))
         .when(day >= end, F.array(part(start, end, "verify", none, held)))
         .when(day <= start, F.array(part(F.date_add(day, 1), end, "remainder", held, none)))
-        .otherwise(
-            F.array(part(start, day, "verify", none, held), part(F.date_add(day, 1), end, "remainder", held, none))
-        )
-    )
-    keep = [c for c in joined.columns if c not in ("period_start", "period_end", "g")]
-    return joined.select(*keep, F.col("g.as_of").alias("governing_day"), F.explode(parts).alias("p")).select(
-        *keep, "governing_day", "p.*"
+        .otherwise(F.array(part(start, day, "verify", none, held), part(F.date_add(day, 1), end, "remainder", held, none)))
     )
 
 
+def _flows_between(start: Column, end: Column) -> Column:
+    """Flows of the account's days from ``start`` to ``end``, as a struct."""
+    none = F.struct(*[zero().alias(f) for f in FLOWS])
+    inside = F.filter("_days", lambda d: d["occurred_on"].between(start, end))
+    add = lambda acc, d: F.struct(*[(acc[f] + d[f]).cast("decimal(28,2)").alias(f) for f in FLOWS])
+    return F.coalesce(F.aggregate(inside, none, add), none)
+
+
 def reconcile(
     ledger: DataFrame,
     accounts: DataFrame,
@@ -248,69 +260,93 @@ def reconcile(
     ``ledger`` carries ``running_balance`` (null where the export has none); ``openings``
     and ``closings`` are ``(account_id, balance)`` and ``(account_id, as_of, balance)``.
     The opening of a period is the prior statement closing, else the prior computed
-    closing. Closings restart a segment, so the chain is one windowed sum, not a loop.
+    closing. An account's days, closings and notes meet in one row, which calendar days bound;
+    its periods are computed there in order and unfold last, so none of them is shuffled or sorted.
     """
-    per_account = ledger.groupBy(ACCOUNT).agg(
-        F.max("occurred_on").alias("newest_row"), (F.count("running_balance") > 0).alias("has_running_balance")
+    days = day_breakdown(ledger, F.count("running_balance").alias("balances"))
+    per_account = (
+        days.repartition(SPREAD, ACCOUNT)
+        .groupBy(ACCOUNT)
+        .agg(
+            F.max("occurred_on").alias("newest_row"), (F.sum("balances") > 0).alias("has_running_balance"),
+            F.collect_list(F.struct("occurred_on", *FLOWS)).alias("_days"),
+        )
+    )
+    chained = _per_account(day_closings(ledger), F.struct(F.col("occurred_on").alias("day"), "closing", "closing_source"), "_chains")
+    marks = _per_account(closings, F.struct("as_of", F.col("balance").cast("decimal(18,2)").alias("balance")), "_marks")
+    notes = _per_account(stored, F.struct("period_start", "period_end", F.col("variance_explanation").alias("note")), "_notes")
+
+    seed_month = F.when(F.dayofmonth(as_day(seed_day)) == 1, as_day(seed_day)).otherwise(
+        F.add_months(F.trunc(as_day(seed_day), "month"), 1)
     )
+    first_month = F.trunc(as_day(start), "month")
+    initial = F.when(F.col("seed").isNotNull() & (first_month <= seed_month), F.col("seed")).otherwise(F.coalesce("prior_closing", "seed"))
     base = (
         accounts.select(ACCOUNT, "account_type")
+        .repartition(SPREAD, ACCOUNT)
         .join(per_account, ACCOUNT, "left")
+        .join(chained, ACCOUNT, "left")
+        .join(marks, ACCOUNT, "left")
+        .join(notes, ACCOUNT, "left")
+        .join(openings.select(ACCOUNT, F.col("balance").alias("seed")), ACCOUNT, "left")
+        .join(prior_closing(stored, first_month), ACCOUNT, "left")
         .withColumn("has_running_balance", F.coalesce("has_running_balance", F.lit(False)))
         .withColumn("eligible", ~F.col("has_running_balance") & (F.col("account_type") != "credit_card"))
+        .withColumn("initial_opening", initial.cast("decimal(18,2)"))
     )
-    split = _split_at_checkpoints(months_in_range(base, start, end), closings)
-    flows = period_breakdown(ledger, split)
-
-    explicit = closings.select(ACCOUNT, F.col("as_of").alias("period_end"), F.col("balance").alias("_explicit"))
-    # Only accounts that carry running balances can derive a closing from them.
-    carrying = per_account.where("has_running_balance").select(ACCOUNT)
-    derived = statement_closings(
-        split.where("has_running_balance"), ledger.join(carrying, ACCOUNT, "left_semi")
-    ).withColumnsRenamed({"closing": "_derived", "closing_source": "_derived_source"})
-    notes = stored.select(*PERIOD_KEY, F.col("variance_explanation").alias("_note"))
+
+    last_day = as_day(end)
+
+    def month(m: Column) -> Column:
+        until = F.least(F.last_day(m), last_day)
+        mine = F.filter("_marks", lambda c: (F.trunc(c["as_of"], "month") == m) & (c["as_of"] <= until))
+        return F.struct(m.alias("period_start"), until.alias("period_end"), F.when(F.col("eligible"), F.array_max(mine)).alias("g"))
+
+    parts = F.flatten(F.transform(F.transform(_months_between(start, end), month), _parts_of))
+
+    def filled(p: Column) -> Column:
+        given = F.array_max(F.filter("_marks", lambda c: c["as_of"] == p["period_end"]))["balance"]
+        active = F.array_max(F.transform(F.filter("_days", lambda d: d["occurred_on"] <= p["period_end"]), lambda d: d["occurred_on"]))
+        chain = F.get(F.filter("_chains", lambda c: c["day"] == active), F.lit(0))
+        note = F.array_max(F.filter("_notes", lambda n: (n["period_start"] == p["period_start"]) & (n["period_end"] == p["period_end"])))["note"]
+        return F.struct(
+            p.alias("p"), _flows_between(p["period_start"], p["period_end"]).alias("f"), given.alias("given"),
+            F.when(F.col("has_running_balance"), chain).alias("chain"), note.alias("note"),
+        )
+
+    def closing_of(q: Column) -> Column:
+        return F.coalesce(q["p"]["checkpoint_balance"], q["given"], q["chain"]["closing"]).cast("decimal(18,2)")
+
+    def net_of(q: Column) -> Column:
+        f = q["f"]
+        net = f["inflows"] + f["transfers_in"] - f["outflows"] - f["transfers_out"]
+        return F.when(F.col("account_type") == "credit_card", -net).otherwise(net)
+
+    def opened(acc: Column, q: Column) -> Column:
+        opening = F.coalesce(q["p"]["own_anchor"], acc["next"])
+        computed = (opening + net_of(q)).cast("decimal(18,2)")
+        return F.struct(F.concat(acc["all"], F.array(opening)).alias("all"), F.coalesce(closing_of(q), computed).alias("next"))
+
+    at_first = F.struct(F.array().cast("array<decimal(18,2)>").alias("all"), F.col("initial_opening").alias("next"))
+    rows = base.withColumn("_q", F.transform(parts, filled))
+    rows = rows.withColumn("_o", F.aggregate("_q", at_first, opened)["all"])
+    together = F.transform("_q", lambda q, i: F.struct(q.alias("q"), F.get("_o", i).alias("opening")))
+    rows = rows.select(ACCOUNT, "account_type", "newest_row", F.explode(together).alias("_r")).select(
+        ACCOUNT, "account_type", "newest_row", "_r.q.p.*", "_r.q.f.*", "_r.q.given", "_r.q.chain", F.col("_r.q.note").alias("_note"),
+        F.col("_r.opening").alias("statement_opening"), F.col("_r.q").alias("_q"),
+    )
     rows = (
-        flows.join(explicit, [ACCOUNT, "period_end"], "left")
-        .join(derived, [ACCOUNT, "period_end"], "left")
-        .join(notes, list(PERIOD_KEY), "left")
-        .withColumn(
-            "statement_closing",
-            F.coalesce(F.col("checkpoint_balance"), F.col("_explicit"), F.col("_derived")).cast("decimal(18,2)"),
-        )
+        rows.withColumn("statement_closing", closing_of(F.col("_q")))
+        .withColumn("computed_closing", (F.col("statement_opening") + net_of(F.col("_q"))).cast("decimal(18,2)"))
+        .withColumn("variance", (F.col("statement_closing") - F.col("computed_closing")).cast("decimal(18,2)"))
+        .withColumn("closing_day", F.col("chain.day"))
         .withColumn(
             "closing_source",
             F.when(F.col("checkpoint_balance").isNotNull(), CHECKPOINT_SOURCE)
-            .when(F.col("_explicit").isNotNull(), CLOSING_SOURCE)
-            .otherwise(F.col("_derived_source")),
+            .when(F.col("given").isNotNull(), CLOSING_SOURCE)
+            .otherwise(F.col("chain.closing_source")),
         )
     )
-
-    seed_month = F.when(F.dayofmonth(as_day(seed_day)) == 1, as_day(seed_day)).otherwise(
-        F.add_months(F.trunc(as_day(seed_day), "month"), 1)
-    )
-    first_month = F.trunc(as_day(start), "month")
-    chained = F.coalesce(F.col("prior_closing"), F.col("seed"))
-    initial = F.when(F.col("seed").isNotNull() & (first_month <= seed_month), F.col("seed")).otherwise(chained)
-    first_open = (
-        accounts.select(ACCOUNT)
-        .join(openings.select(ACCOUNT, F.col("balance").alias("seed")), ACCOUNT, "left")
-        .join(prior_closing(stored, F.trunc(as_day(start), "month")), ACCOUNT, "left")
-        .select(ACCOUNT, initial.cast("decimal(18,2)").alias("initial_opening"))
-    )
-
-    in_order = Window.partitionBy(ACCOUNT).orderBy("period_start")
-    reset = F.coalesce(F.col("own_anchor"), F.lag("statement_closing").over(in_order))
-    rows = rows.join(first_open, ACCOUNT).withColumn("reset", reset)
-    rows = rows.withColumn("segment", F.count("reset").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    segment = Window.partitionBy(ACCOUNT, "segment").orderBy("period_start")
-    sign = F.when(F.col("account_type") == "credit_card", -1).otherwise(1)
-    moved = F.coalesce(F.sum(F.col("net")).over(segment.rowsBetween(Window.unboundedPreceding, -1)), zero())
-    opened_at = F.coalesce(F.first("reset").over(segment.rowsBetween(Window.unboundedPreceding, 0)), F.when(F.col("segment") == 0, F.col("initial_opening")))
-    rows = (
-        rows.withColumn("statement_opening", (opened_at + moved * sign).cast("decimal(18,2)"))
-        .withColumn("computed_closing", (F.col("statement_opening") + F.col("net") * sign).cast("decimal(18,2)"))
-        .withColumn("variance", (F.col("statement_closing") - F.col("computed_closing")).cast("decimal(18,2)"))
-    )
     is_checkpoint = F.col("closing_source") == CHECKPOINT_SOURCE
     within_cent = F.coalesce(is_checkpoint & (F.abs("variance") <= 0.01), F.lit(False))
     rows = rows.withColumn("variance", F.when(within_cent, F.lit(0).cast("decimal(18,2)")).otherwise(F.col("variance")))
@@ -380,7 +416,8 @@ def checkpoint_deltas(ledger: DataFrame, closings: DataFrame, periods: DataFrame
     totals = as_of_values(ends, cumulative, [ACCOUNT], "day", "occurred_on", ["total"], fallback_first=False).select(
         ACCOUNT, "day", F.coalesce("total", zero()).alias("total")
     )
-    opened = periods.select(ACCOUNT, F.col("period_start").alias("month_start"), "statement_opening")
+    asked = marks.select(ACCOUNT, F.col("month_start").alias("day"))
+    opened = only_asked(periods.select(ACCOUNT, F.col("period_start").alias("month_start"), "statement_opening"), asked, "month_start")
     at_mark = totals.withColumnsRenamed({"day": "as_of", "total": "at_mark"})
     at_start = totals.select(ACCOUNT, F.add_months(F.trunc("day", "month"), 1).alias("month_start"), F.col("day").alias("_d"), F.col("total").alias("at_start"))
     at_start = at_start.where(F.col("_d") == F.date_sub("month_start", 1)).drop("_d")
@@ -421,7 +458,10 @@ def checkpoint_result(reconciled: DataFrame, entry: DataFrame) -> DataFrame:
     ordered = Window.partitionBy(ACCOUNT).orderBy("period_start")
     following = reconciled.withColumn("next_opening", F.lead("statement_opening").over(ordered))
     return entry.select(ACCOUNT, F.col("as_of").alias("period_end")).join(
-        following.select(*PERIOD_KEY, "statement_closing", "computed_closing", "variance", "next_opening", "checkpoint_stale"),
+        only_asked(
+            following.select(*PERIOD_KEY, "statement_closing", "computed_closing", "variance", "next_opening", "checkpoint_stale"),
+            entry.select(ACCOUNT, F.col("as_of").alias("day")), "period_end",
+        ),
         [ACCOUNT, "period_end"],
         "left",
     )
@@ -429,10 +469,12 @@ def checkpoint_result(reconciled: DataFrame, entry: DataFrame) -> DataFrame:
 
 def save_explanations(periods: DataFrame, notes: DataFrame) -> DataFrame:
     """Human notes ``(account_id, period_start, period_end, explanation)`` written onto their periods."""
+    found = notes.groupBy(ACCOUNT).agg(F.collect_list(F.struct("period_start", "period_end", "explanation")).alias("_new"))
+    mine = F.filter("_new", lambda n: (n["period_start"] == F.col("period_start")) & (n["period_end"] == F.col("period_end")))
     return (
-        periods.join(notes.select(*PERIOD_KEY, "explanation"), list(PERIOD_KEY), "left")
-        .withColumn("variance_explanation", F.coalesce("explanation", "variance_explanation"))
-        .drop("explanation")
+        periods.join(found, ACCOUNT, "left")
+        .withColumn("variance_explanation", F.coalesce(F.array_max(mine)["explanation"], "variance_explanation"))
+        .drop("_new")
     )
 
 

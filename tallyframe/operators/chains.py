@@ -37,7 +37,9 @@ def _value_degrees(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         edges.select(*keys, (F.col("b") == F.col("p")).cast("int").alias("loop"), F.when(F.col("b") == F.col("p"), loop).otherwise(ends).alias("e"))
         .select(*keys, "loop", F.explode("e").alias("e"))
-        .groupBy(*keys, F.col("e.v").alias("v"))
+        .select(*keys, "loop", "e", F.col("e.v").alias("v"))
+        .repartition(*keys, "v")
+        .groupBy(*keys, "v")
         .agg(F.sum("e.into").alias("into"), F.sum("e.out").alias("out"), F.sum("loop").alias("loops"))
     )
 
@@ -71,12 +73,13 @@ def contract(edges: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> Dat
     Each round draws a number per value and sends every edge to that end which drew more. Where the
     edge into a value meets the edge out of it, the two become one. So ends of paths stay, a loop
     shrinks to an edge from a value to itself, and a day of any length is spread over its values.
-    A round is one aggregation: the plan grows by one step and nothing runs while it is built.
+    A round is one aggregation: the plan grows by one step and nothing runs while it is built. Values are
+    dealt anew in each, as rows dealt by day would run all rounds, and a whole day, in one task.
     """
     for number in range(rounds):
         draw = [F.xxhash64(F.lit(number), F.col(end)) for end in ("at", "to")]
         met = edges.select(*keys, "at", "to", F.when(draw[0] > draw[1], F.col("at")).otherwise(F.col("to")).alias("v"))
-        ends = met.groupBy(*keys, "v").agg(
+        ends = met.repartition(*keys, "v").groupBy(*keys, "v").agg(
             F.max(F.when(F.col("to") == F.col("v"), F.col("at"))).alias("came"), F.max(F.when(F.col("at") == F.col("v"), F.col("to"))).alias("goes")
         )
         edges = ends.select(*keys, F.coalesce("came", "v").alias("at"), F.coalesce("goes", "v").alias("to"))
@@ -138,17 +141,27 @@ def _money(value: Column) -> Column:
     return (value.cast("decimal(20,0)") / 100).cast("decimal(18,2)")
 
 
-def closing_by_day(rows: DataFrame) -> DataFrame:
+def day_closings(rows: DataFrame) -> DataFrame:
+    """Closing and its source of every account-day with running balances; the highest one where the order is unclear."""
+    return intraday_chains(rows).select(
+        *ACCOUNT_DAY, F.coalesce("closing", "highest_balance").alias("closing"),
+        F.when(F.col("ambiguous"), "running_balance_unresolved").otherwise("running_balance").alias("closing_source"),
+    )
+
+
+def _active_days(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*ACCOUNT_DAY).agg(F.count("*").alias("day_rows"), F.count("running_balance").alias("balance_rows"))
+
+
+def closing_by_day(rows: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """Per account and active day: closing by running balance, or null when the day has none.
 
-    An ambiguous day falls back to its highest balance and says so.
+    An ambiguous day falls back to its highest balance and says so. ``active`` may be some of the days only.
     """
-    active = rows.groupBy(*ACCOUNT_DAY).agg(F.count("*").alias("day_rows"), F.count("running_balance").alias("balance_rows"))
+    active = _active_days(rows) if active is None else active
     chains = intraday_chains(rows).drop("row_count")
     return active.join(chains, list(ACCOUNT_DAY), "left").select(
-        *ACCOUNT_DAY,
-        "day_rows",
-        "balance_rows",
+        *active.columns,
         "opening",
         F.coalesce("closing", "highest_balance").alias("closing"),
         F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
@@ -176,9 +189,9 @@ def month_chains(rows: DataFrame) -> DataFrame:
 
     Only accounts whose every row carries a balance are chained.
     """
-    days = closing_by_day(rows)
     every = Window.partitionBy("account_id")
-    days = days.withColumn("gap_rows", F.sum(F.col("day_rows") - F.col("balance_rows")).over(every)).where("gap_rows = 0")
+    gaps = F.sum(F.col("day_rows") - F.col("balance_rows")).over(every)
+    days = closing_by_day(rows, _active_days(rows).withColumn("gap_rows", gaps).where("gap_rows = 0"))
     payload = F.struct("occurred_on", "opening", "closing", "ambiguous")
     months = days.groupBy("account_id", F.trunc("occurred_on", "month").alias("month_start")).agg(
         F.min(payload).alias("first"), F.max(payload).alias("last")

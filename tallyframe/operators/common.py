@@ -16,6 +16,10 @@ from tallyframe.operators.ranges import number_in_group
 
 HOUSEHOLD = ("household_id",)
 
+# Tasks for rows that shrink much in a shuffle or unfold after it: Spark joins partitions by their written
+# bytes, so tasks would hold millions of such rows.
+SPREAD = 128
+
 
 def as_day(value: date | str | Column) -> Column:
     """A date literal from a Python date or ISO text."""

@@ -19,6 +19,7 @@ from tallyframe.operators import chains, loans, transfers
 from tallyframe.operators import overrides as O
 from tallyframe.operators.common import HOUSEHOLD, as_day
 from tallyframe.schema import CONFIDENCES, HOUSEHOLD_ROLES, LIFECYCLES, PRIMARY_CATEGORIES
+from tallyframe.session import cut_lineage
 
 FINDING = ("check", "family", "severity", "household_id", "subject", "problem", "row_count", "amount")
 
@@ -351,7 +352,8 @@ def unpaired_card_payments(candidates: DataFrame) -> DataFrame:
 
 def self_anchor_chain(rows: DataFrame, openings: DataFrame, seed_day: date | str) -> DataFrame:
     """Breaks between months, a first month that misses its opening, ambiguous boundary days, partial balances."""
-    months = chains.month_chains(rows)
+    # five findings read the months, which are few beside the rows
+    months = cut_lineage(chains.month_chains(rows))
     label = F.concat_ws("|", "account_id", S.month_label("month_start"))
     first = (F.col("opening_ambiguous")) | (F.col("closing_ambiguous") & (F.col("last_day") != F.col("first_day")))
     out = findings(months.where(first), "self_anchor_chain", "warn", label, "order of a boundary day is ambiguous")
@@ -388,10 +390,17 @@ def reconciliation_findings(
     """
     start = F.to_date(F.lit(f"{as_of_month}-01"))
     end = F.last_day(start)
-    full_month = periods.where((F.col("period_start") == start) & (F.col("period_end") == end)).select(
-        "account_id", "computed_closing", "variance", F.lit(True).alias("_row")
-    )
     shape = ledger.groupBy("account_id").agg((F.count("running_balance") > 0).alias("has_balance"))
+    cash = accounts.where("account_type <> 'credit_card'").join(shape, "account_id", "left").where("NOT coalesce(has_balance, false)")
+    marks = closings.join(cash.select("account_id"), "account_id").select("account_id", "as_of", "balance")
+
+    # Few periods are read: those of the as-of month and those that end on a checkpoint or the day before it.
+    whole = (F.col("period_start") == start) & (F.col("period_end") == end)
+    asked = marks.groupBy("account_id").agg(F.collect_set("as_of").alias("_asked"))
+    marked = F.array_contains("_asked", F.col("period_end")) | F.array_contains("_asked", F.date_add("period_end", 1))
+    periods = periods.select("account_id", "period_start", "period_end", "statement_closing", "computed_closing", "variance")
+    periods = cut_lineage(periods.join(asked, "account_id", "left").where(whole | F.coalesce(marked, F.lit(False))).drop("_asked"))
+    full_month = periods.where(whole).select("account_id", "computed_closing", "variance", F.lit(True).alias("_row"))
 
     def shaped(df: DataFrame, kind: str, problem: Column, variance: Column, day: Column) -> DataFrame:
         out = df.withColumn("_p", problem).where(F.col("_p").isNotNull())
@@ -411,8 +420,6 @@ def reconciliation_findings(
     text = F.when(F.col("_row").isNull(), "no period for the as-of month").when(F.size(problems) > 0, F.array_join(problems, "; "))
     out = shaped(anchored, "self_anchoring", text, F.col("variance"), end)
 
-    cash = accounts.where("account_type <> 'credit_card'").join(shape, "account_id", "left").where("NOT coalesce(has_balance, false)")
-    marks = closings.join(cash.select("account_id"), "account_id").select("account_id", "as_of", "balance")
     at_day = periods.groupBy("account_id", F.col("period_end").alias("as_of")).agg(
         F.count("*").alias("rows_at"), F.min(F.when(F.col("variance").isNotNull(), F.struct("period_start", "variance")))["variance"].alias("v")
     )

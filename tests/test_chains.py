@@ -196,3 +196,11 @@ def test_number_copies(spark, monkeypatch):
     out = number_copies(spark.createDataFrame(rows, "file string, payload string, other string"), ["file", "payload"], F.sha2("other", 256))
     got = sorted((r["payload"], r["ordinal"]) for r in out.collect())
     assert got == [("p", i) for i in range(12)] + [("q", 0)]
+
+
+def test_each_round_deals_values_anew(spark):
+    """Rows that come dealt by day do not run all rounds, and a whole day, in one task."""
+    rows = spark.createDataFrame([("a", DAY, Decimal(1), Decimal(i + 1)) for i in range(5)], ROWS).repartition(7, "account_id", "occurred_on")
+    plan = chains.intraday_chains(rows)._jdf.queryExecution().executedPlan().toString()
+    by_value = [line for line in plan.splitlines() if "Exchange hashpartitioning(account_id" in line and ", v#" in line]
+    assert len(by_value) > chains.ROUNDS

@@ -47,3 +47,19 @@ def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["household_id", "month", "inflow", "outflow", "net_cash_flow"]
     assert frame.count() > 0
+
+
+@pytest.mark.parametrize("name", ["bal5_reconcile_periods", "bal6_checkpoint_periods", "expr15_variance_badge", "win7_latest_and_history"])
+def test_periods_are_not_shuffled(spark, small_dir, name):
+    """An account's periods unfold last: there are many times more of them than rows."""
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    unfolded = next(i for i, line in enumerate(plan) if "Generate" in line and "explode" in line)
+    assert not [line for line in plan[:unfolded] if "Exchange" in line]
+
+
+@pytest.mark.parametrize("name", ["bal10_checkpoint_deltas", "bal11_save_explanations", "ver14_stored_reconciliation"])
+def test_periods_meet_others_by_account(spark, small_dir, name):
+    """Where periods meet notes or checkpoints, no shuffle is keyed by period and few read the ledger."""
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(account_id" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "period_start" in line]
