@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def day_breakdown(ledger: DataFrame, *more: Column) -> DataFrame:
 FLOWS = ("inflows", "outflows", "transfers_in", "transfers_out")
 
 
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+
+
 def net_flow() -> Column:
     return F.col("inflows") + F.col("transfers_in") - F.col("outflows") - F.col("transfers_out")
 
@@ -236,10 +241,10 @@ def _parts_of(month: Column) -> Column:
 
 
 def _flows_between(start: Column, end: Column) -> Column:
-    """Flows of the account's days from ``start`` to ``end``, as a struct."""
-    none = F.struct(*[zero().alias(f) for f in FLOWS])
+    """Flows of the account's days from ``start`` to ``end`` in cents, as a struct."""
+    none = F.struct(*[F.lit(0).cast("long").alias(f) for f in FLOWS])
     inside = F.filter("_days", lambda d: d["occurred_on"].between(start, end))
-    add = lambda acc, d: F.struct(*[(acc[f] + d[f]).cast("decimal(28,2)").alias(f) for f in FLOWS])
+    add = lambda acc, d: F.struct(*[(acc[f] + d[f]).alias(f) for f in FLOWS])
     return F.coalesce(F.aggregate(inside, none, add), none)
 
 
@@ -269,7 +274,7 @@ def reconcile(
         .groupBy(ACCOUNT)
         .agg(
             F.max("occurred_on").alias("newest_row"), (F.sum("balances") > 0).alias("has_running_balance"),
-            F.collect_list(F.struct("occurred_on", *FLOWS)).alias("_days"),
+            F.collect_list(F.struct("occurred_on", *[S.cents(f).alias(f) for f in FLOWS])).alias("_days"),
         )
     )
     chained = _per_account(day_closings(ledger), F.struct(F.col("occurred_on").alias("day"), "closing", "closing_source"), "_chains")
@@ -323,21 +328,21 @@ def reconcile(
         return F.when(F.col("account_type") == "credit_card", -net).otherwise(net)
 
     def opened(acc: Column, q: Column) -> Column:
-        opening = F.coalesce(q["p"]["own_anchor"], acc["next"])
-        computed = (opening + net_of(q)).cast("decimal(18,2)")
-        return F.struct(F.concat(acc["all"], F.array(opening)).alias("all"), F.coalesce(closing_of(q), computed).alias("next"))
+        opening = F.coalesce(S.cents(q["p"]["own_anchor"]), acc["next"])
+        computed = opening + net_of(q)
+        return F.struct(F.concat(acc["all"], F.array(opening)).alias("all"), F.coalesce(S.cents(closing_of(q)), computed).alias("next"))
 
-    at_first = F.struct(F.array().cast("array<decimal(18,2)>").alias("all"), F.col("initial_opening").alias("next"))
+    at_first = F.struct(F.array().cast("array<long>").alias("all"), S.cents("initial_opening").alias("next"))
     rows = base.withColumn("_q", F.transform(parts, filled))
     rows = rows.withColumn("_o", F.aggregate("_q", at_first, opened)["all"])
     together = F.transform("_q", lambda q, i: F.struct(q.alias("q"), F.get("_o", i).alias("opening")))
     rows = rows.select(ACCOUNT, "account_type", "newest_row", F.explode(together).alias("_r")).select(
         ACCOUNT, "account_type", "newest_row", "_r.q.p.*", "_r.q.f.*", "_r.q.given", "_r.q.chain", F.col("_r.q.note").alias("_note"),
-        F.col("_r.opening").alias("statement_opening"), F.col("_r.q").alias("_q"),
+        _money(F.col("_r.opening")).alias("statement_opening"), _money(F.col("_r.opening") + net_of(F.col("_r.q"))).alias("computed_closing"),
+        F.col("_r.q").alias("_q"),
     )
     rows = (
         rows.withColumn("statement_closing", closing_of(F.col("_q")))
-        .withColumn("computed_closing", (F.col("statement_opening") + net_of(F.col("_q"))).cast("decimal(18,2)"))
         .withColumn("variance", (F.col("statement_closing") - F.col("computed_closing")).cast("decimal(18,2)"))
         .withColumn("closing_day", F.col("chain.day"))
         .withColumn(
@@ -363,7 +368,7 @@ def reconcile(
         "statement_opening",
         "statement_closing",
         "closing_source",
-        *[F.col(f).cast("decimal(18,2)").alias(f"computed_{f}") for f in FLOWS],
+        *[_money(F.col(f)).alias(f"computed_{f}") for f in FLOWS],
         "computed_closing",
         "variance",
         _explanation().alias("variance_explanation"),
