@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
 from tallyframe.operators.chains import day_closings
-from tallyframe.operators.common import SPREAD, as_day, as_of_values
+from tallyframe.operators.common import as_day, as_of_values, spread
 
 ACCOUNT = "account_id"
 PERIOD_KEY = (ACCOUNT, "period_start", "period_end")
@@ -207,9 +207,9 @@ def prior_closing(periods: DataFrame, before: date | str) -> DataFrame:
     )
 
 
-def _per_account(df: DataFrame, values: Column, name: str) -> DataFrame:
-    """One row per account that holds ``values`` of its rows, dealt like the accounts of ``reconcile``."""
-    return df.select(ACCOUNT, values.alias(name)).repartition(SPREAD, ACCOUNT).groupBy(ACCOUNT).agg(F.collect_list(name).alias(name))
+def _per_account(df: DataFrame, values: Column, name: str, tasks: int) -> DataFrame:
+    """One row per account that holds ``values`` of its rows, dealt to ``tasks`` like the accounts of ``reconcile``."""
+    return df.select(ACCOUNT, values.alias(name)).repartition(tasks, ACCOUNT).groupBy(ACCOUNT).agg(F.collect_list(name).alias(name))
 
 
 def only_asked(periods: DataFrame, asked: DataFrame, column: str) -> DataFrame:
@@ -267,19 +267,21 @@ def reconcile(
     The opening of a period is the prior statement closing, else the prior computed
     closing. An account's days, closings and notes meet in one row, which calendar days bound;
     its periods are computed there in order and unfold last, so none of them is shuffled or sorted.
+    Accounts are counted first: a task gets a bounded number of them.
     """
+    tasks = spread(accounts)
     days = day_breakdown(ledger, F.count("running_balance").alias("balances"))
     per_account = (
-        days.repartition(SPREAD, ACCOUNT)
+        days.repartition(tasks, ACCOUNT)
         .groupBy(ACCOUNT)
         .agg(
             F.max("occurred_on").alias("newest_row"), (F.sum("balances") > 0).alias("has_running_balance"),
             F.collect_list(F.struct("occurred_on", *[S.cents(f).alias(f) for f in FLOWS])).alias("_days"),
         )
     )
-    chained = _per_account(day_closings(ledger), F.struct(F.col("occurred_on").alias("day"), "closing", "closing_source"), "_chains")
-    marks = _per_account(closings, F.struct("as_of", F.col("balance").cast("decimal(18,2)").alias("balance")), "_marks")
-    notes = _per_account(stored, F.struct("period_start", "period_end", F.col("variance_explanation").alias("note")), "_notes")
+    chained = _per_account(day_closings(ledger), F.struct(F.col("occurred_on").alias("day"), "closing", "closing_source"), "_chains", tasks)
+    marks = _per_account(closings, F.struct("as_of", F.col("balance").cast("decimal(18,2)").alias("balance")), "_marks", tasks)
+    notes = _per_account(stored, F.struct("period_start", "period_end", F.col("variance_explanation").alias("note")), "_notes", tasks)
 
     seed_month = F.when(F.dayofmonth(as_day(seed_day)) == 1, as_day(seed_day)).otherwise(
         F.add_months(F.trunc(as_day(seed_day), "month"), 1)
@@ -288,7 +290,7 @@ def reconcile(
     initial = F.when(F.col("seed").isNotNull() & (first_month <= seed_month), F.col("seed")).otherwise(F.coalesce("prior_closing", "seed"))
     base = (
         accounts.select(ACCOUNT, "account_type")
-        .repartition(SPREAD, ACCOUNT)
+        .repartition(tasks, ACCOUNT)
         .join(per_account, ACCOUNT, "left")
         .join(chained, ACCOUNT, "left")
         .join(marks, ACCOUNT, "left")

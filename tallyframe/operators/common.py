@@ -6,6 +6,7 @@ month), so a hot key never puts an unbounded number of rows in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date
 
@@ -16,9 +17,16 @@ from tallyframe.operators.ranges import number_in_group
 
 HOUSEHOLD = ("household_id",)
 
-# Tasks for rows that shrink much in a shuffle or unfold after it: Spark joins partitions by their written
+# Least tasks for rows that shrink much in a shuffle or unfold after it: Spark joins partitions by their written
 # bytes, so tasks would hold millions of such rows.
 SPREAD = 128
+# Keys that such a task holds on average at most; beyond, there are more tasks and not more keys in each.
+KEYS_IN_TASK = 2_500
+
+
+def spread(keys: DataFrame) -> int:
+    """Tasks for rows dealt by a key, from the number of rows of ``keys``, which holds each key once. It counts them."""
+    return max(SPREAD, math.ceil(keys.count() / KEYS_IN_TASK))
 
 
 def as_day(value: date | str | Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as S
 from tallyframe.operators import balances, chains, loans
-from tallyframe.operators.common import SPREAD
+from tallyframe.operators.common import spread
 from tallyframe.plans.catalog.summaries import BALANCE_SQL, doubles, stored_openings
 from tallyframe.plans.registry import query
 from tallyframe.sources import sample_ledger as L
@@ -234,18 +234,18 @@ rc AS (
   FROM rc JOIN sq ON sq.account_id = rc.account_id AND sq.i = rc.i + 1)"""
 
 
-def with_running_balances(ledger: DataFrame) -> DataFrame:
+def with_running_balances(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Every seventh account carries running balances, on the days with one row; the others carry none."""
     carries = F.coalesce(F.substring("account_id", 6, L.ID_WIDTH).cast("bigint") % 7 == 1, F.lit(False))
     so_far = Window.partitionBy("account_id").orderBy("occurred_on", "id").rowsBetween(Window.unboundedPreceding, 0)
     alone = F.count("*").over(Window.partitionBy("account_id", "occurred_on")) == 1
-    mine = ledger.where(carries).repartition(SPREAD, "account_id")
+    mine = ledger.where(carries).repartition(spread(accounts), "account_id")
     mine = mine.withColumn("running_balance", F.when(alone, 100 + F.sum("amount").over(so_far)).cast("decimal(18,2)"))
     return mine.unionByName(ledger.where(~carries).withColumn("running_balance", F.lit(None).cast("decimal(18,2)")))
 
 
 def reconciled(spark: SparkSession, d: str, closings: DataFrame | None = None) -> DataFrame:
-    ledger = with_running_balances(L.orders_ledger(spark, d, describe=False, household=False))
+    ledger = with_running_balances(L.orders_ledger(spark, d, describe=False, household=False), L.accounts(spark, d))
     return balances.reconcile(
         ledger, L.accounts(spark, d), L.opening_anchors(spark, d), L.checkpoints(spark, d) if closings is None else closings,
         balances.empty_periods(spark), start=START, end=END, as_of=L.AS_OF, seed_day=L.OPENING_DAY,

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import pytest
 from oracle import compare, connect
 
+from tallyframe.operators import common
 from tallyframe.plans import catalog
 
 ORACLES = catalog.ORACLES
@@ -69,3 +70,16 @@ def test_read_periods_are_settled(spark, small_dir):
     """The check of stored periods unfolds them once, not once for each of its findings."""
     plan = QUERIES["ver14_stored_reconciliation"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Generate explode(transform(" in line]
+
+
+@pytest.mark.parametrize(
+    "name", ["join17_prior_closing", "bal6_checkpoint_periods", "bal11_save_explanations", "bal12_goal_progress", "bal12_trajectory"]
+)
+def test_accounts_of_a_task_stay_as_many(spark, small_dir, monkeypatch, name):
+    """More accounts than the least number of tasks can hold are dealt to more tasks."""
+    monkeypatch.setattr(common, "KEYS_IN_TASK", 1)
+    accounts = spark.read.parquet(f"{small_dir}/customer.parquet").count()
+    assert accounts > common.SPREAD
+    plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all(f", {accounts})" in line for line in dealt)
