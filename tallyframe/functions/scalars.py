@@ -32,7 +32,7 @@ def _c(x: Column | str) -> Column:
 
 def money(text: Column | str) -> Column:
     """Money text to ``decimal(18,2)``: ``$`` and ``,`` removed, blanks trimmed, unreadable is null."""
-    return F.trim(F.regexp_replace(_c(text), r"[$,]", "")).try_cast(MONEY)
+    return F.trim(F.translate(_c(text), "$,", "")).try_cast(MONEY)
 
 
 def cents(amount: Column | str) -> Column:
@@ -72,19 +72,21 @@ def variance_badge(variance: Column | str) -> Column:
 def us_date(text: Column | str, two_digit_year: bool = False) -> Column:
     """``M/D/YYYY`` (and ``M/D/YY`` when asked, pivoting at 69) without a format-parser policy."""
     t = _c(text)
-    full = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    short = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
-
-    def build(pattern: str, year: Column) -> Column:
-        month = F.lpad(F.regexp_extract(t, pattern, 1), 2, "0")
-        day = F.lpad(F.regexp_extract(t, pattern, 2), 2, "0")
+    full = r"^\d{1,2}/\d{1,2}/\d{4}$"
+    short = r"^\d{1,2}/\d{1,2}/\d{2}$"
+    # the shape is tested once, its parts are cut at the slashes
+    month = F.lpad(F.substring_index(t, "/", 1), 2, "0")
+    day = F.lpad(F.substring_index(F.substring_index(t, "/", 2), "/", -1), 2, "0")
+    last = F.substring_index(t, "/", -1)
+
+    def build(year: Column) -> Column:
         return F.concat_ws("-", year, month, day).try_cast("date")
 
-    parsed = F.when(t.rlike(full), build(full, F.regexp_extract(t, full, 3)))
+    parsed = F.when(t.rlike(full), build(F.substring(last, 1, 4)))
     if two_digit_year:
-        yy = F.regexp_extract(t, short, 3)
+        yy = F.substring(last, 1, 2)
         century = F.when(yy >= "69", F.lit("19")).otherwise(F.lit("20"))
-        parsed = parsed.when(t.rlike(short), build(short, F.concat(century, yy)))
+        parsed = parsed.when(t.rlike(short), build(F.concat(century, yy)))
     return parsed
 
 

@@ -468,20 +468,19 @@ def layout_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return routing.dispatch(routing.route_files(part_files(spark, d), sources), layout_of).select("path", "source_id", "layout", "status")
 
 
-def statement_records(spark: SparkSession, d: str) -> DataFrame:
-    """The statements of all layouts as records of text, with their headers as banks write them."""
+def statement_records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The statements of each layout as records of text, with their headers as banks write them."""
     raws = (
         (layouts.CARD_A, card_a_raw), (layouts.CHECKING_A, checking_a_raw), (layouts.SAVINGS_A, savings_a_raw),
         (layouts.CHECKING_B, checking_b_raw), (layouts.CARD_B, card_b_raw), (layouts.SAVINGS_B, savings_b_raw),
     )
-    found = None
+    found = {}
     for layout, raw in raws:
         rows = raw(spark, d)
         names = [c for c in rows.columns if c != "source_document_name"]
         header = ",".join(n.replace("_", " ").title() for n in names)
         record = F.to_csv(F.struct(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names]), {"quote": '"', "escape": '"', "emptyValue": ""})
-        one = rows.select(F.lit(layout.name).alias("layout"), F.lit(header).alias("header"), record.alias("record"), "source_document_name")
-        found = one if found is None else found.unionByName(one)
+        found[layout.name] = rows.select(F.lit(header).alias("header"), record.alias("record"), "source_document_name")
     return found
 
 
@@ -500,7 +499,7 @@ every AS (
 SELECT * FROM every
 """)
 def parse_all_layouts(spark: SparkSession, d: str) -> DataFrame:
-    """Six layouts from text in one pass: columns by each record's own header, rows by each layout's own rules."""
+    """Six layouts from text: columns by each record's own header, rows by each layout's own rules."""
     rows, _ = routing.parse_records(statement_records(spark, d), list(layouts.LAYOUTS.values()))
     return doubles(rows.select("layout", *SHARED_COLUMNS.split(", ")), "amount")
 

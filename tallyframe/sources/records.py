@@ -123,7 +123,9 @@ def fields(record: Column) -> Column:
         quoted = F.regexp_replace(F.regexp_replace(field, rf'(?s)^"({_QUOTED})"?(.*)$', "$1$2"), '""', '"')
         return F.when(field == "", F.lit(None).cast("string")).when(field.startswith('"'), quoted).otherwise(field)
 
-    return F.transform(cut, plain)
+    # most records hold no quote, so they are cut at their commas
+    bare = F.transform(F.split(record, ","), lambda field: F.nullif(field, F.lit("")))
+    return F.when(record.contains('"'), F.transform(cut, plain)).otherwise(bare)
 
 
 def clean_names(header: Column) -> Column:
@@ -133,7 +135,11 @@ def clean_names(header: Column) -> Column:
         word = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[^a-z0-9]+", "_")
         return F.regexp_replace(word, "^_+|_+$", "")
 
-    return F.transform(fields(F.regexp_replace(header, "\ufeff", "")), clean)
+    text = F.regexp_replace(header, "\ufeff", "")
+    # a header without quotes is cleaned whole; Spark does that once for a header that is a literal
+    words = F.regexp_replace(F.lower(text), "[^a-z0-9,]+", "_")
+    bare = F.split(F.regexp_replace(F.regexp_replace(words, "(^|,)_+", "$1"), "_+(?=,|$)", ""), ",")
+    return F.when(text.contains('"'), F.transform(fields(text), clean)).otherwise(bare)
 
 
 def column(name: str) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -285,12 +286,16 @@ def dispatch(routed: DataFrame, layout_of_source: dict[str, str] | DataFrame) ->
     return named.withColumn("status", F.when(F.col("layout").isNull(), "no_parser").otherwise("routed"))
 
 
-def parse_records(found: DataFrame, specs: Sequence[Layout]) -> tuple[DataFrame, DataFrame]:
+def parse_records(found: DataFrame | Mapping[str, DataFrame], specs: Sequence[Layout]) -> tuple[DataFrame, DataFrame]:
     """Parsed rows of records of all layouts at once, and ``source_document_name, layout, reason`` of files that lack columns.
 
     ``found`` has ``header, record, layout, source_document_name``; every file's columns are taken by
-    its own header.
+    its own header. Records that come apart, as a mapping from the layout's name, are parsed apart: the
+    steps of one layout are short enough for the JVM to compile, those of all in one are not.
     """
+    if not isinstance(found, DataFrame):
+        apart = [_parse_layout(found[spec.name], spec) for spec in specs if spec.name in found]
+        return tuple(reduce(DataFrame.unionByName, frames) for frames in zip(*apart))
     named = found.withColumn("names", records.clean_names(F.col("header")))
     lacking = None
     for spec in specs:
@@ -304,6 +309,16 @@ def parse_records(found: DataFrame, specs: Sequence[Layout]) -> tuple[DataFrame,
     return parse(raw, specs), failed
 
 
+def _parse_layout(found: DataFrame, spec: Layout) -> tuple[DataFrame, DataFrame]:
+    named = found.withColumn("names", records.clean_names(F.col("header")))
+    lacking = records.missing(spec.required)
+    good = named.where(F.size(lacking) == 0).withColumn("values", records.fields(F.col("record")))
+    raw = good.select("source_document_name", *[records.column(name).alias(name) for name in (*spec.required, *spec.optional)])
+    reason = F.concat(F.lit("missing required columns: "), F.array_join(lacking, ", "))
+    failed = named.where(F.size(lacking) > 0).select("source_document_name", F.lit(spec.name).alias("layout"), reason.alias("reason")).distinct()
+    return parse(raw, spec), failed
+
+
 def parse_routed(dispatched: DataFrame, paths: str | Sequence[str], specs: Sequence[Layout]) -> tuple[DataFrame, DataFrame]:
     """Parsed rows, and files that lack columns, of all routed files below ``paths``: one scan, one plan.
 

@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import scalars as S
 from tallyframe.sources import layouts, records, routing, statements
 
 
@@ -101,3 +102,44 @@ def test_several_layouts_in_one_plan_are_those_of_each(spark, tmp_path):
         want += layouts.parse(statements.read_statements(spark, str(tmp_path / name), spec)[0], spec).collect()
     assert sorted(map(str, rows.collect())) == sorted(map(str, want))
     assert [(r["source_document_name"], r["layout"]) for r in failed.collect()] == [("e.csv", "citi-credit-card")]
+
+
+def test_layouts_apart_agree_with_one_plan(spark):
+    """Records given by layout parse to the rows of the common plan, and their literal headers cost nothing per record."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    given = [
+        (layouts.CARD_B, "Status,﻿ Date ,Description,Debit,_Credit_", ["posted,1/2/2020,SHOP,5.00,", 'Cleared,1/2/20,"A, ""B""","1,200.00",', "posted,1/2/2020,SHOP,5.00,", "Pending,,x,,"]),
+        (layouts.SAVINGS_A, 'Date,"Time",Amount,Type,Description', ["2020-02-30,9:01,1,D,x", "2/3/2020,13:00:07,$5,D,Requested transfer to x", ",,,,"]),
+        (layouts.CHECKING_B, "Date,Type,Description,Debit,Credit", ["1/2/2020,POS,x,1.00,"]),
+    ]
+    apart = {
+        spec.name: spark.createDataFrame([(r, "f.csv") for r in rows], "record string, source_document_name string").withColumn("header", F.lit(header))
+        for spec, header, rows in given
+    }
+    together = reduce(DataFrame.unionByName, [frame.withColumn("layout", F.lit(name)) for name, frame in apart.items()])
+    specs = [spec for spec, _, _ in given]
+    for one, both in zip(routing.parse_records(apart, specs), routing.parse_records(together, specs)):
+        shown = [c for c in both.columns if c != "metadata"]
+        assert sorted(map(str, one.select(shown).collect())) == sorted(map(str, both.select(shown).collect()))
+        assert one.count() > 0
+    rows, _ = routing.parse_records({"citi-credit-card": apart["citi-credit-card"]}, [layouts.CARD_B])
+    assert "array_position" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bare_and_quoted_records_are_cut_alike(spark):
+    """What is cut at commas and what is cut by quotes give the same fields and names."""
+    texts = ["", ",", "a,,b", " a , b", "a\nb,c", "_A b_,__,c-d-", "Ä x,1", ",a,"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = frame.select(records.fields(F.col("t")).alias("f"), records.clean_names(F.col("t")).alias("n"))
+    quoted = frame.select(records.fields(F.concat(F.col("t"), F.lit(',"q"'))).alias("f"), records.clean_names(F.concat(F.col("t"), F.lit(',"q"'))).alias("n"))
+    for one, other in zip(bare.collect(), quoted.collect()):
+        assert one["f"] == other["f"][:-1] and one["n"] == other["n"][:-1]
+
+
+def test_us_dates(spark):
+    texts = {"1/2/2020": "2020-01-02", "01/02/69": "1969-01-02", "1/2/68": "2068-01-02", "13/45/2020": None, "1/2/202": None, "1/2/20201": None, "1/2/2020\n": "2020-01-02", "1//2020": None, "1/2": None}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.us_date("t", True).cast("string").alias("d"))
+    assert {r["t"]: r["d"] for r in frame.collect()} == texts
