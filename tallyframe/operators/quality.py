@@ -17,7 +17,7 @@ from tallyframe.functions import predicates as P
 from tallyframe.functions import scalars as S
 from tallyframe.operators import chains, loans, transfers
 from tallyframe.operators import overrides as O
-from tallyframe.operators.common import HOUSEHOLD, as_day
+from tallyframe.operators.common import HOUSEHOLD, as_day, spread
 from tallyframe.schema import CONFIDENCES, HOUSEHOLD_ROLES, LIFECYCLES, PRIMARY_CATEGORIES
 from tallyframe.session import cut_lineage
 
@@ -396,7 +396,8 @@ def reconciliation_findings(
 
     # Few periods are read: those of the as-of month and those that end on a checkpoint or the day before it.
     whole = (F.col("period_start") == start) & (F.col("period_end") == end)
-    asked = marks.groupBy("account_id").agg(F.collect_set("as_of").alias("_asked"))
+    # dealt like reconciled periods, which outnumber rows many times and so stay where they are
+    asked = marks.repartition(spread(accounts), "account_id").groupBy("account_id").agg(F.collect_set("as_of").alias("_asked"))
     marked = F.array_contains("_asked", F.col("period_end")) | F.array_contains("_asked", F.date_add("period_end", 1))
     periods = periods.select("account_id", "period_start", "period_end", "statement_closing", "computed_closing", "variance")
     periods = cut_lineage(periods.join(asked, "account_id", "left").where(whole | F.coalesce(marked, F.lit(False))).drop("_asked"))
@@ -591,6 +592,8 @@ def null_merchant_spend(ledger: DataFrame) -> DataFrame:
 
 #: Each entry is filed under so many keys and each row looks under one of them: a row everybody's entries are about is spread.
 BENIGN_SALTS = 16
+# Entries that are sent to all tasks at most.
+FEW_ENTRIES = 2_000
 _ANY = "*"
 
 
@@ -598,19 +601,22 @@ def _met(rows: DataFrame, entries: DataFrame, named: Sequence[tuple[str, str]])
     """Rows with each entry whose named columns equal theirs; an entry's null stands for any value.
 
     A row looks under its own values and under "any" for each column, an entry is filed under what it
-    names: one equi-join, however many entries there are.
+    names: one equi-join, however many entries there are. They are counted first: few ones are sent to all
+    tasks, so that rows, which look under several keys each, are not shuffled.
     """
+    few = entries.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES
+    dealt = 1 if few else BENIGN_SALTS
 
     def key(parts: Sequence[Column], salt: Column) -> Column:
         return F.concat(*[x for part in parts for x in (part, F.lit("\u0001"))], salt.cast("string"))
 
     own = [(F.concat(F.lit("="), F.col(row).cast("string")), F.lit(_ANY)) for row, _ in named]
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(BENIGN_SALTS))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(dealt))
     looked_up = rows.withColumn("_salt", salt).withColumn("_key", F.explode(F.array_compact(F.array(*[key(parts, F.col("_salt")) for parts in product(*own)]))))
     kept = [F.coalesce(F.concat(F.lit("="), F.col(entry).cast("string")), F.lit(_ANY)) for _, entry in named]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(BENIGN_SALTS - 1)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(dealt - 1)))
     filed = entries.withColumn("_s", salts).withColumn("_key", key(kept, F.col("_s"))).drop("_s")
-    return looked_up.join(filed, "_key").drop("_key", "_salt")
+    return looked_up.join(F.broadcast(filed) if few else filed, "_key").drop("_key", "_salt")
 
 
 def _about(rows: DataFrame, benign: DataFrame) -> DataFrame:

@@ -244,8 +244,9 @@ def with_running_balances(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     return mine.unionByName(ledger.where(~carries).withColumn("running_balance", F.lit(None).cast("decimal(18,2)")))
 
 
-def reconciled(spark: SparkSession, d: str, closings: DataFrame | None = None) -> DataFrame:
-    ledger = with_running_balances(L.orders_ledger(spark, d, describe=False, household=False), L.accounts(spark, d))
+def reconciled(spark: SparkSession, d: str, closings: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    rows = L.orders_ledger(spark, d, describe=False, household=False) if ledger is None else ledger
+    ledger = with_running_balances(rows, L.accounts(spark, d))
     return balances.reconcile(
         ledger, L.accounts(spark, d), L.opening_anchors(spark, d), L.checkpoints(spark, d) if closings is None else closings,
         balances.empty_periods(spark), start=START, end=END, as_of=L.AS_OF, seed_day=L.OPENING_DAY,

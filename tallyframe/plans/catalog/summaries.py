@@ -102,9 +102,9 @@ debt AS (
   FROM paid JOIN princ USING (household_id, loan, month_start))"""
 
 
-def _debt(spark: SparkSession, d: str) -> DataFrame:
+def _debt(spark: SparkSession, d: str, ledger: DataFrame | None = None) -> DataFrame:
     return loans.debt_principal(
-        L.orders_ledger(spark, d), L.loans(spark, d), L.loan_tiers(spark, d), L.loan_anchors(spark, d)
+        L.orders_ledger(spark, d) if ledger is None else ledger, L.loans(spark, d), L.loan_tiers(spark, d), L.loan_anchors(spark, d)
     )
 
 

@@ -23,12 +23,16 @@ STATUS_SQL = "CASE WHEN severity IN ('fail', 'error') THEN 2 WHEN severity = 'wa
 AT_ONCE = 4
 
 
-def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[str] = ()) -> DataFrame:
+def run_checks(
+    spark: SparkSession, checks: Mapping[str, Check], only: Iterable[str] = (), alone: Mapping[str, Check] | None = None
+) -> DataFrame:
     """Findings of all checks, or of some. A check that cannot be built or that fails as it runs is one ``error`` finding.
 
     Each check runs as a job of its own and its findings are checkpointed, so one bad check leaves
-    the others as they are.
+    the others as they are. Checks that share inputs may fail by what another one reads: such a check
+    runs once more as ``alone`` has it, on inputs of its own.
     """
+    alone = alone or {}
     wanted = list(only) or [name for name, _ in CHECKS if name in checks]
     unknown = [name for name in wanted if name not in checks]
     if unknown:
@@ -36,9 +40,17 @@ def run_checks(spark: SparkSession, checks: Mapping[str, Check], only: Iterable[
     if not wanted:
         raise ValueError("no checks to run")
 
+    def settled(check: Check) -> DataFrame:
+        return cut_lineage(check().select(*FINDING))
+
     def run(name: str) -> DataFrame:
         try:
-            return cut_lineage(checks[name]().select(*FINDING))
+            try:
+                return settled(checks[name])
+            except Exception:  # noqa: BLE001
+                if name not in alone:
+                    raise
+                return settled(alone[name])
         except Exception as error:  # noqa: BLE001
             row = (name, FAMILY.get(name, "meta"), "error", None, name, f"{type(error).__name__}: {error}", 0, None)
             return spark.createDataFrame(
