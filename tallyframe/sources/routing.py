@@ -63,29 +63,69 @@ CELL_FILES = 4096
 # Names are lower-case letters, digits and blanks: a bigram is told by its place in a square of the signs from the blank on.
 _SIGNS = 96
 
+# A word is told by two of so many places; one whose places no source takes is a word of no source.
+WORD_PLACES = 1 << 15
+
+# What a file's scores depend on: words and bigrams that sources may hold, the number of all its bigrams, its extension.
+SHAPE = ("_text", "_fg", "_n", "_fe")
+
 
 def _gram_places(name: str) -> Column:
     """Bigrams of a name as numbers, which meet faster than texts."""
-    return F.transform(S.bigrams(name), lambda g: (F.ascii(g) - 32) * _SIGNS + F.ascii(F.substring(g, 2, 1)) - 32)
+    return F.transform(S.bigrams(name), lambda g: ((F.ascii(g) - 32) * _SIGNS + F.ascii(F.substring(g, 2, 1)) - 32).cast("smallint"))
+
+
+def _word_places(word: Column) -> tuple[Column, Column]:
+    known = F.xxhash64(word)
+    return F.pmod(known, F.lit(WORD_PLACES)).cast("int"), F.pmod(F.shiftright(known, 32), F.lit(WORD_PLACES)).cast("int")
+
+
+def _unfolded(df: DataFrame, kept: Sequence[Column | str], values: Column, name: str) -> DataFrame:
+    """A row for each of ``values``.
+
+    For an inner ``explode`` Spark adds a filter on the size of its list and pushes it down to the first rows that tell it:
+    lists would be worked out for each of a caller's rows before they are grouped, and a second time.
+    """
+    return df.select(*kept, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
 def _gram_counts(sources: DataFrame) -> DataFrame:
     """One row: how many sources hold the bigram of each place."""
-    counted = sources.select(F.explode("_grams").alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    counted = _unfolded(sources, [], F.col("_grams"), "at").groupBy("at").agg(F.count("*").alias("n"))
     known = counted.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
     places = F.sequence(F.lit(0), F.lit(_SIGNS * _SIGNS - 1))
-    return known.select(F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0))).alias("_counts"))
+    return known.select(F.transform(places, lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("smallint")), F.lit(0))).alias("_counts"))
 
 
-def _rare_grams() -> Column:
-    """The first bigrams of a name in the common order of ``_counts``, enough that two names alike share one.
+def _marks(places: DataFrame, size: int) -> DataFrame:
+    """One row: which of ``size`` places the rows of ``places(at)`` take, 64 to a number. It is copied along with rows, so it is short."""
+    taken = places.groupBy(F.floor(F.col("at") / 64).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    slots = places.sparkSession.range(size // 64).join(F.broadcast(taken), F.col("id") == F.col("slot"), "left")
+    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return slots.agg(F.transform(in_order, lambda x: x["bits"]).alias("marks"))
 
-    With likeness at least t a name of n bigrams shares at least n * t / (2 - t) of them, so
-    two names alike agree on one of their first n - that + 1 in any common order.
-    """
-    placed = F.array_sort(F.transform("_grams", lambda g: F.struct(F.get("_counts", g).alias("n"), g.alias("gram"))))
-    least = F.ceil(F.size("_grams") * (LEAST_LIKENESS / (2 - LEAST_LIKENESS)) - 1e-9)
-    return F.slice(F.transform(placed, lambda x: x["gram"]), F.lit(1), (F.size("_grams") - least + 1).cast("int"))
+
+def _marked(marks: str, at: Column) -> Column:
+    return F.getbit(F.get(marks, F.floor(at / 64).cast("int")), at % 64) == 1
+
+
+def _word_marks(sources: DataFrame) -> DataFrame:
+    words = _unfolded(sources, [], F.col("_words"), "word").distinct()
+    return _marks(words.select(F.explode(F.array(*_word_places(F.col("word")))).alias("at")), WORD_PLACES)
+
+
+def _gram_marks(sources: DataFrame) -> DataFrame:
+    return _marks(_unfolded(sources, [], F.col("_grams"), "at").select(F.col("at").cast("int").alias("at")), _SIGNS * _SIGNS)
+
+
+def _least_shared(bigrams: Column) -> Column:
+    """How many bigrams a name of so many shares at least with one alike: with likeness at least t, n * t / (2 - t)."""
+    return F.ceil(bigrams * (LEAST_LIKENESS / (2 - LEAST_LIKENESS)) - 1e-9)
+
+
+def _in_order(grams: str, counts: Column) -> Column:
+    """Bigrams in the common order: those that few sources hold first."""
+    return F.transform(F.array_sort(F.transform(grams, lambda g: F.struct(F.get(counts, g.cast("int")).alias("n"), g.alias("gram")))), lambda x: x["gram"])
 
 
 def _named(df: DataFrame, text: Column) -> DataFrame:
@@ -93,29 +133,59 @@ def _named(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("_name", normal_text(text)).withColumn("_grams", _gram_places("_name"))
 
 
+def _tracked(sources: DataFrame) -> DataFrame:
+    """``source_id, position, _words, _grams, _exts`` of each source."""
+    haystack = F.concat_ws(" ", "document", "category", "subject", "why_needed")
+    return _named(sources, F.col("document")).select(
+        "source_id", "position", S.tokens(haystack).alias("_words"), "_grams", expected_extensions(F.col("format")).alias("_exts")
+    )
+
+
+def _shaped(files: DataFrame, tracked: DataFrame) -> DataFrame:
+    """``files`` with their ``SHAPE``: files of one shape have the same score with every source.
+
+    Words and bigrams that no source holds, such as numbers and dates, add nothing to a score, so they are left
+    out of it; a word that only takes the places of others stays and counts as little.
+    """
+    parts = file_parts("path")
+    f = files.withColumn("_words", S.tokens(F.concat_ws(" ", *parts.values())))
+    f = _named(f, parts["stem"]).withColumns({"_gram_marks": _gram_marks(tracked).scalar(), "_word_marks": _word_marks(tracked).scalar()})
+    words = F.filter("_words", lambda w: _marked("_word_marks", _word_places(w)[0]) & _marked("_word_marks", _word_places(w)[1]))
+    grams = F.filter("_grams", lambda g: _marked("_gram_marks", g.cast("int")))
+    known = sorted({e for exts in FORMAT_EXTENSIONS.values() for e in exts})
+    # none of them is null, or joins by them would work them out once more to leave out nulls
+    shape = {
+        "_text": F.coalesce(F.array_join(F.sort_array(words), " "), F.lit("")),
+        "_fg": F.coalesce(F.sort_array(grams), F.array().cast("array<smallint>")),
+        "_n": F.coalesce(F.when(F.col("_grams").isNotNull(), F.size("_grams")), F.lit(0)),
+        "_fe": F.coalesce(F.when(parts["extension"].isin(known), parts["extension"]), F.lit("")),
+    }
+    return f.withColumns(shape).select(*files.columns, *SHAPE)
+
+
 def _met(entries: DataFrame, index: DataFrame) -> DataFrame:
-    """``path, _text, _name, key, block``: files beside the sources ``(key, source)`` of their key, in blocks.
+    """``SHAPE, key, block``: shapes of files beside the sources ``(key, source)`` of their key, in blocks.
 
-    Only short texts of a file are shuffled. A key that many files hold is dealt over several, and its sources
+    A key that many shapes hold is dealt over several, and its sources
     are copied for each; the table of such keys has at most a row for ``CELL_FILES`` entries.
     """
     held = entries.groupBy("key").agg(F.ceil(F.count("*") / CELL_FILES).cast("int").alias("cells"))
-    dealt = entries.join(F.broadcast(held.where("cells > 1")), "key", "left").withColumn("cell", F.pmod(F.xxhash64("path"), F.coalesce("cells", F.lit(1))).cast("int"))
+    dealt = entries.join(F.broadcast(held.where("cells > 1")), "key", "left").withColumn("cell", F.pmod(F.xxhash64(*SHAPE), F.coalesce("cells", F.lit(1))).cast("int"))
     # sizes of tables that grow out of lists are not known beforehand, so no side of these joins may be sent to the driver
     used = index.join(held.hint("merge"), "key")
     blocks = used.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SOURCES).cast("int").alias("blocks"))
     cut = used.join(blocks.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("source.source_id"), F.col("blocks")))
     cut = cut.groupBy("key", "part", "cells").agg(F.collect_list("source").alias("block"))
     copied = cut.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    return dealt.drop("cells").join(copied.hint("merge"), ["key", "cell"]).select("path", "_text", "_name", "key", "block")
+    return dealt.drop("cells").join(copied.hint("merge"), ["key", "cell"]).select(*SHAPE, "key", "block")
 
 
 def _scored(met: DataFrame, mine: Callable[[Column], Column]) -> DataFrame:
-    """``path, hits``: the sources of each block that are ``mine`` to score and reach the threshold."""
-    ready = met.withColumns({"_fw": F.split("_text", " "), "_fg": _gram_places("_name"), "_fe": file_parts("path")["extension"]})
+    """``SHAPE, hits``: the sources of each block that are ``mine`` to score and reach the threshold."""
+    ready = met.withColumn("_fw", F.split("_text", " "))
 
     def scored(s: Column) -> Column:
-        both = F.size(s["_grams"]) + F.size("_fg")
+        both = F.size(s["_grams"]) + F.col("_n")
         overlap = F.size(F.array_intersect("_fw", s["_words"])) / F.greatest(F.size(s["_words"]), F.lit(1))
         likeness = F.when(both > 0, F.size(F.array_intersect("_fg", s["_grams"])) * 2 / both).otherwise(0.0)
         # named twice, as a column named once is worked out anew for each source
@@ -125,59 +195,80 @@ def _scored(met: DataFrame, mine: Callable[[Column], Column]) -> DataFrame:
 
     hits = F.filter(F.transform(F.filter("block", mine), scored), lambda x: x["minus"] <= -THRESHOLD)
     # a filter on hits would be worked out with all its columns before they are; empty ones fall out later
-    return ready.select("path", hits.alias("hits"))
+    return ready.select(*SHAPE, hits.alias("hits"))
 
 
-def _hits(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``path, hits`` of pairs with a shared word, each pair once, and of pairs without, as often as they share a rare bigram.
+def _hits(shapes: DataFrame, tracked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``SHAPE, hits`` of pairs with a shared word, each pair once, and of pairs without, as often as they share a rare bigram.
 
     A hit is ``minus, position, source_id``, so the least one is the best.
     """
-    haystack = F.concat_ws(" ", "document", "category", "subject", "why_needed")
-    s = _named(sources, F.col("document")).select(
-        "source_id", "position", S.tokens(haystack).alias("_words"), "_grams", expected_extensions(F.col("format")).alias("_exts")
-    )
     source = F.struct("source_id", "position", "_words", "_grams", "_exts").alias("source")
-    parts = file_parts("path")
-    f = _named(files.select("path", S.tokens(F.concat_ws(" ", *parts.values())).alias("_words")), parts["stem"]).withColumn("_text", F.array_join("_words", " "))
-    entry = ("path", "_text", "_name")
-    words = _met(f.select(*entry, F.explode("_words").alias("key")), s.select(F.explode("_words").alias("key"), source))
-    by_word = _scored(words, lambda x: F.get(F.array_intersect("_fw", x["_words"]), F.lit(0)) == F.col("key"))
+    words = F.filter(F.split("_text", " "), lambda w: w != "")
+    by_word = _scored(
+        _met(_unfolded(shapes, SHAPE, words, "key"), _unfolded(tracked, [source], F.col("_words"), "key")),
+        lambda x: F.get(F.array_intersect("_fw", x["_words"]), F.lit(0)) == F.col("key"),
+    )
 
-    counts = F.broadcast(_gram_counts(s))
-    grams = _met(f.crossJoin(counts).select(*entry, F.explode(_rare_grams()).alias("key")), s.crossJoin(counts).select(F.explode(_rare_grams()).alias("key"), source))
+    # a name of n bigrams that shares at least so many with another agrees with it on one of its first
+    # n - that + 1 in any common order; those that no source holds come first in it
+    counts = _gram_counts(tracked).scalar()
+    ordered = shapes.withColumn("_counts", counts).withColumn("_ordered", _in_order("_fg", F.col("_counts")))
+    rare = F.slice("_ordered", F.lit(1), F.greatest(F.size("_ordered") - _least_shared(F.col("_n")) + 1, F.lit(0)).cast("int"))
+    named = tracked.withColumn("_counts", counts).withColumn("_ordered", _in_order("_grams", F.col("_counts")))
+    first = F.slice("_ordered", F.lit(1), (F.size("_ordered") - _least_shared(F.size("_ordered")) + 1).cast("int"))
+    grams = _met(_unfolded(ordered, SHAPE, rare, "key"), _unfolded(named, [source], first, "key"))
     by_name = _scored(grams, lambda x: ~F.arrays_overlap("_fw", x["_words"]))
     return by_word, by_name
 
 
+def _pairs(shapes: DataFrame, tracked: DataFrame) -> DataFrame:
+    """``SHAPE, source_id, position, score`` of every (shape, source) pair that reaches the threshold, once."""
+    by_word, by_name = (_unfolded(h, SHAPE, F.col("hits"), "hit") for h in _hits(shapes, tracked))
+    hit = F.col("hit")
+    return by_word.unionByName(by_name.distinct()).select(*SHAPE, hit["source_id"].alias("source_id"), hit["position"].alias("position"), (-hit["minus"]).alias("score"))
+
+
 def score_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Every (file, source) pair that reaches the threshold, with its score.
 
     Pairs come from inverted indexes, never from a product. Without a shared token a score
     needs names so alike that one of the rarest bigrams of each is shared, so only those are
-    indexed. A pair with shared words is scored where the first of them meets.
+    indexed. A pair with shared words is scored where the first of them meets. Files of one shape
+    are scored as one.
     ``files(path)``, ``sources(source_id, position, category, document, subject, why_needed, format)``.
     """
-    by_word, by_name = (h.select("path", F.explode("hits").alias("hit")) for h in _hits(files, sources))
-    hit = F.col("hit")
-    return by_word.unionByName(by_name.distinct()).select("path", hit["source_id"].alias("source_id"), hit["position"].alias("position"), (-hit["minus"]).alias("score"))
+    tracked = _tracked(sources)
+    shaped = _shaped(files.select("path"), tracked)
+    found = _pairs(shaped.select(*SHAPE).distinct(), tracked)
+    return shaped.join(found.hint("merge"), list(SHAPE)).select("path", "source_id", "position", "score")
 
 
 def route_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Each file with its single best source (ties to the first source), null when none reaches the threshold.
 
-    The best source of a block is taken in its row, so a file's pairs are never rows.
+    The best source of a block is taken in its row, so a shape's pairs are never rows.
     """
-    by_word, by_name = _hits(files, sources)
-    best = by_word.unionByName(by_name).select("path", F.array_min("hits").alias("hit")).groupBy("path").agg(F.min("hit").alias("hit"))
-    best = best.select("path", F.col("hit.source_id").alias("source_id"), (-F.col("hit.minus")).alias("score"))
-    return files.join(best.hint("merge"), "path", "left")
+    tracked = _tracked(sources)
+    shaped = _shaped(files, tracked)
+    by_word, by_name = _hits(shaped.select(*SHAPE).distinct(), tracked)
+    best = by_word.unionByName(by_name).select(*SHAPE, F.array_min("hits").alias("hit")).groupBy(*SHAPE).agg(F.min("hit").alias("hit"))
+    best = best.select(*SHAPE, F.col("hit.source_id").alias("source_id"), (-F.col("hit.minus")).alias("score"))
+    others = [c for c in files.columns if c != "path"]
+    return shaped.join(best.hint("merge"), list(SHAPE), "left").select("path", *others, "source_id", "score")
 
 
 def top_matches(files: DataFrame, sources: DataFrame, keep: int = TOP_FILES) -> DataFrame:
-    """The best files of every source, each file counted for every source it fits."""
+    """The best files of every source, each file counted for every source it fits.
+
+    Files of one shape tie, so no more than the first ``keep`` of them can be among a source's best.
+    """
+    tracked = _tracked(sources)
+    alike = Window.partitionBy(*SHAPE).orderBy("path")
+    first = _shaped(files.select("path"), tracked).withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= keep).drop("_rn")
+    found = _pairs(first.select(*SHAPE).distinct(), tracked)
     ranked = Window.partitionBy("source_id").orderBy(F.col("score").desc(), "path")
-    scored = score_files(files, sources)
+    scored = first.join(found.hint("merge"), list(SHAPE))
     return scored.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= keep).select("source_id", "place", "path", "score")
 
 

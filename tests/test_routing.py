@@ -78,3 +78,21 @@ def test_no_file_or_source_is_sent_to_the_driver(spark, tmp_path):
     assert sent
     for columns in sent:
         assert not re.search(r"path#|source_id#|source#|block#|_words#|_fw#", columns), columns
+
+
+def test_files_alike_are_scored_once(spark, monkeypatch):
+    """Files that differ by numbers and dates only meet the sources as one, and each keeps its own row."""
+    paths = [f"in/{folder}/AmberBolt{i}_{name}{end}" for i in range(100, 300) for folder, name, end in (("box", "Cedar", ".csv"), ("amber", "zzq", ".PDF"))]
+    files = spark.createDataFrame([(p,) for p in [*paths, paths[0], "noname"]], "path string")
+    sources = tables(spark, 1, 40)[1]
+    shapes, pairs = [], routing._pairs
+    monkeypatch.setattr(routing, "_pairs", lambda found, tracked: shapes.append(found) or pairs(found, tracked))
+    top = routing.top_matches(files, sources).collect()
+    assert shapes[0].count() < 20
+
+    want = {}
+    for (path, source), (score, _) in by_product(files.distinct(), sources).items():
+        want.setdefault(source, []).extend([(-score, path)] * (2 if path == paths[0] else 1))
+    assert {(r["source_id"], r["place"]): (-r["score"], r["path"]) for r in top} == {(s, i + 1): hit for s, hits in want.items() for i, hit in enumerate(sorted(hits)[:3])}
+    assert len(top) == sum(min(len(hits), 3) for hits in want.values()) > 3
+    assert routing.route_files(files, sources).count() == 402
