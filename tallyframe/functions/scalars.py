@@ -129,10 +129,10 @@ def month_index(day: Column | str) -> Column:
 def statement_period(file_name: Column | str) -> Column:
     """``20YY[-_]M{1,2}`` in a file stem, months 1-12, else null."""
     stem = F.regexp_replace(_c(file_name), r"\.[^.]*$", "")
-    pattern = r"(20\d{2})[-_](\d{1,2})"
-    month = F.regexp_extract(stem, pattern, 2).try_cast("int")
-    label = F.concat_ws("-", F.regexp_extract(stem, pattern, 1), F.lpad(month.cast("string"), 2, "0"))
-    return F.when(month.between(1, 12), label)
+    found = F.regexp_extract(stem, r"20\d{2}[-_]\d{1,2}", 0)
+    label = F.translate(F.regexp_replace(found, r"[-_](?=\d$)", "-0"), "_", "-")
+    # each step is named once, so the name is searched once
+    return F.nullif(F.regexp_extract(label, r"^\d{4}-(?:0[1-9]|1[0-2])$", 0), F.lit(""))
 
 
 # --- text ------------------------------------------------------------------

@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.ranges import number_in_group
+from tallyframe.session import cut_lineage
 
 HOUSEHOLD = ("household_id",)
 
@@ -101,11 +104,44 @@ def join_interval(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], da
 
 COPY_CHUNK = 10_000
 
+# Rows of a group that one task numbers at most.
+LARGE_GROUP = 1_000_000
+
 
 def number_copies(df: DataFrame, keys: Sequence[str], digest: Column, name: str = "ordinal") -> DataFrame:
     """0-based ordinal of each row inside its group, in digest order; equal rows count on.
 
-    Equal rows are folded into one row with a count before anything is ordered, and are
+    Groups are numbered by a window, so rows are shuffled once, and not at all where nobody asks for the number.
+    Larger ones are found by counting, first the rows of each value of the first key, then the groups of
+    values with many; their equal rows are folded and the rest is spread over tasks.
+    """
+    large = _large_groups(df, keys[:1])
+    if large is not None and len(keys) > 1:
+        large = _large_groups(_in_groups(df, large, keys[:1], "left_semi"), keys)
+    if large is None:
+        return _number_in_tasks(df, keys, digest, name)
+    folded = _number_folded(_in_groups(df, large, keys, "left_semi"), keys, digest, name)
+    return _number_in_tasks(_in_groups(df, large, keys, "left_anti"), keys, digest, name).unionByName(folded)
+
+
+def _large_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys of groups with more than ``LARGE_GROUP`` rows, at most one for as many rows of ``df``."""
+    found = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_GROUP).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _in_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    named = groups.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    return df.join(F.broadcast(named), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]), how)
+
+
+def _number_in_tasks(df: DataFrame, keys: Sequence[str], digest: Column, name: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(digest))
+    return df.withColumn(name, (place - 1).cast("bigint"))
+
+
+def _number_folded(df: DataFrame, keys: Sequence[str], digest: Column, name: str) -> DataFrame:
+    """Equal rows are folded into one row with a count before anything is ordered, and are
     unfolded afterwards, so a group made of copies never sits in one task.
     """
     columns = df.columns

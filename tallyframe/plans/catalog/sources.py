@@ -9,6 +9,7 @@ from tallyframe.functions import scalars as S
 from tallyframe.operators import maintenance
 from tallyframe.plans.catalog.summaries import MERCHANT_SQL, doubles
 from tallyframe.plans.registry import ORACLES, query
+from tallyframe.session import cut_lineage
 from tallyframe.sources import layouts, routing, store
 from tallyframe.sources import sample_ledger as L
 
@@ -39,12 +40,12 @@ def _shown(rows: DataFrame) -> DataFrame:
     return doubles(rows.select(*PARSED_COLUMNS), "amount")
 
 
-def card_a_raw(spark: SparkSession, d: str) -> DataFrame:
+def card_a_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n, day = F.col("n"), F.col("occurred_on")
     micro = n % 10 == 5
     day = F.when(micro, F.trunc("occurred_on", "month")).otherwise(day)
     amount = F.when(micro, F.lit("-1.50").cast("decimal(18,2)")).otherwise(F.col("amount"))
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 37 == 0, "").when(n % 41 == 0, "13/45/2020").when(n % 2 == 0, _us(day)).otherwise(F.date_format(day, "MM/dd/yy")).alias("transaction_date"),
         F.coalesce(_us(F.col("posted_on")), F.lit("")).alias("post_date"),
         F.when(n % 43 == 0, "").when(micro, "MICRO  CHARGE").otherwise(F.col("description_raw")).alias("description"),
@@ -97,9 +98,9 @@ def duplicate_ordinal(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_document_name", "source_record_key")
 
 
-def checking_a_raw(spark: SparkSession, d: str) -> DataFrame:
+def checking_a_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n = F.col("n")
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 31 == 0, "").when(n % 2 == 0, F.concat(F.col("occurred_on").cast("string"), F.lit("T04:00:00+00:00"))).otherwise(F.col("occurred_on").cast("string")).alias("posted_date"),
         F.lit("DEBIT").alias("type"), F.lit("short").alias("description"),
         F.when(n % 3 == 0, _dollar(F.col("amount"))).otherwise(F.col("amount").cast("string")).alias("amount"),
@@ -128,10 +129,10 @@ def checking_a(spark: SparkSession, d: str) -> DataFrame:
     return _shown(layouts.parse(checking_a_raw(spark, d), layouts.CHECKING_A))
 
 
-def savings_a_raw(spark: SparkSession, d: str) -> DataFrame:
+def savings_a_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n = F.col("n")
     minute = F.lpad((n % 60).cast("string"), 2, "0")
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 23 == 0, "").when(n % 5 == 0, F.col("occurred_on").cast("string")).otherwise(_us(F.col("occurred_on"))).alias("date"),
         F.when(n % 19 == 0, "25:00").when(n % 2 == 0, F.concat(F.lit("9:"), minute)).otherwise(F.concat(F.lit("13:"), minute, F.lit(":07"))).alias("time"),
         F.col("amount").cast("string").alias("amount"), F.lit("Deposit").alias("type"),
@@ -158,10 +159,10 @@ def savings_a(spark: SparkSession, d: str) -> DataFrame:
     return _shown(layouts.parse(savings_a_raw(spark, d), layouts.SAVINGS_A))
 
 
-def checking_b_raw(spark: SparkSession, d: str) -> DataFrame:
+def checking_b_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n, a = F.col("n"), F.col("amount")
     shown = a.cast("string")
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 31 == 0, "").otherwise(_us(F.col("occurred_on"))).alias("date"), F.lit("POS").alias("type"),
         F.when(n % 11 == 0, "CHASE CREDIT CRD EPAY").otherwise(F.col("description_raw")).alias("description"),
         F.when(n % 29 == 0, "").when(n % 37 == 0, shown).when((a < 0) | (n % 41 == 0), shown).otherwise("").alias("debit"),
@@ -188,11 +189,11 @@ def checking_b(spark: SparkSession, d: str) -> DataFrame:
     return _shown(layouts.parse(checking_b_raw(spark, d), layouts.CHECKING_B))
 
 
-def card_b_raw(spark: SparkSession, d: str) -> DataFrame:
+def card_b_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n = F.col("n")
     size = F.abs("amount").cast("string")
     charge = F.col("direction") == "outflow"
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 23 == 0, "Pending").when(n % 2 == 0, " Cleared ").otherwise("posted").alias("status"), _us(F.col("occurred_on")).alias("date"),
         F.when(n % 9 == 0, "THANK YOU AUTO-PMT").otherwise(F.col("description_raw")).alias("description"),
         F.when(n % 29 == 0, "").when(charge | (n % 31 == 0), size).otherwise("").alias("debit"),
@@ -219,9 +220,9 @@ def card_b(spark: SparkSession, d: str) -> DataFrame:
     return _shown(layouts.parse(card_b_raw(spark, d), layouts.CARD_B))
 
 
-def savings_b_raw(spark: SparkSession, d: str) -> DataFrame:
+def savings_b_raw(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     n = F.col("n")
-    return _base(spark, d).select(
+    return (_base(spark, d) if base is None else base).select(
         F.when(n % 31 == 0, "").when(n % 29 == 0, F.date_format("occurred_on", "M/d/yy")).otherwise(_us(F.col("occurred_on"))).alias("date"),
         F.when(n % 3 == 0, "").when(n % 11 == 0, "ALLY BANK $TRANSFER").otherwise(F.col("description_raw")).alias("description"),
         F.when(n % 33 == 0, "").otherwise("Share Deposit").alias("ext"), F.lit("").alias("draft"),
@@ -474,9 +475,11 @@ def statement_records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         (layouts.CARD_A, card_a_raw), (layouts.CHECKING_A, checking_a_raw), (layouts.SAVINGS_A, savings_a_raw),
         (layouts.CHECKING_B, checking_b_raw), (layouts.CARD_B, card_b_raw), (layouts.SAVINGS_B, savings_b_raw),
     )
+    # all statements tell of the same postings, which are derived once
+    base = cut_lineage(_base(spark, d).select("id", "n", "occurred_on", "posted_on", "direction", "amount", "description_raw"))
     found = {}
     for layout, raw in raws:
-        rows = raw(spark, d)
+        rows = raw(spark, d, base)
         names = [c for c in rows.columns if c != "source_document_name"]
         header = ",".join(n.replace("_", " ").title() for n in names)
         record = F.to_csv(F.struct(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names]), {"quote": '"', "escape": '"', "emptyValue": ""})

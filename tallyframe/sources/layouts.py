@@ -354,7 +354,9 @@ def parse(
     payload = F.when(F.col("ordinal") == 0, F.col("_payload")).otherwise(
         F.concat(F.col("_payload"), F.lit("|seq"), F.col("ordinal").cast("string"))
     )
-    direction = pick(lambda one: one.direction(amount, description, (*one.transfer_patterns, *extra_patterns)))
+    # a column, as the sign of the amount asks for it as well
+    rows = rows.withColumn("_direction", pick(lambda one: one.direction(amount, description, (*one.transfer_patterns, *extra_patterns))))
+    direction = F.col("_direction")
     parsed = F.col("row_status") == "parsed"
 
     def metadata_of(one: Layout) -> Column:

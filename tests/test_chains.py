@@ -204,3 +204,22 @@ def test_each_round_deals_values_anew(spark):
     plan = chains.intraday_chains(rows)._jdf.queryExecution().executedPlan().toString()
     by_value = [line for line in plan.splitlines() if "Exchange hashpartitioning(account_id" in line and ", v#" in line]
     assert len(by_value) > chains.ROUNDS
+
+
+def test_large_groups_are_numbered_apart(spark, monkeypatch):
+    """Only groups with many rows are folded and spread; all rows are numbered once, in digest order, null keys too."""
+    from tallyframe.operators import common
+
+    monkeypatch.setattr(common, "LARGE_GROUP", 4)
+    monkeypatch.setattr(common, "COPY_CHUNK", 3)
+    spread, folded = [], common._number_folded
+    monkeypatch.setattr(common, "_number_folded", lambda df, *rest: spread.append(df.count()) or folded(df, *rest))
+    rows = [("f", "p", "x")] * 7 + [("f", "p", "y")] * 2 + [("f", "q", "x")] * 2 + [("f", None, "x")] * 5 + [("f", None, None), (None, "p", "x"), ("g", "p", "z")]
+    df = spark.createDataFrame(rows, "file string, payload string, other string")
+    out = number_copies(df, ["file", "payload"], F.sha2(F.coalesce("other", F.lit("")), 256)).collect()
+    assert sorted((str(r["file"]), str(r["payload"]), r["ordinal"]) for r in out) == sorted(
+        [("f", "p", i) for i in range(9)] + [("f", "q", i) for i in range(2)] + [("f", "None", i) for i in range(6)] + [("None", "p", 0), ("g", "p", 0)]
+    )
+    assert sorted(str(tuple(r)[:3]) for r in out) == sorted(str(row) for row in rows)
+    assert {r["ordinal"] for r in out if r["payload"] == "p" and r["other"] == "y"} in ({0, 1}, {7, 8})
+    assert spread == [15]

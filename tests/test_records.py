@@ -143,3 +143,25 @@ def test_us_dates(spark):
     texts = {"1/2/2020": "2020-01-02", "01/02/69": "1969-01-02", "1/2/68": "2068-01-02", "13/45/2020": None, "1/2/202": None, "1/2/20201": None, "1/2/2020\n": "2020-01-02", "1//2020": None, "1/2": None}
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.us_date("t", True).cast("string").alias("d"))
     assert {r["t"]: r["d"] for r in frame.collect()} == texts
+
+
+def test_rows_are_shuffled_once_for_their_keys(spark):
+    """Repeats are numbered by one shuffle, and by none where no key is asked for."""
+    lines = [("01/05/2026,01/06/2026,SHOP %d,-1.00,Sale,," % (i % 3), "2026-01_Card.csv") for i in range(6)]
+    found = spark.createDataFrame(lines, "record string, source_document_name string").withColumn("header", F.lit("Transaction Date,Post Date,Description,Amount,Type,Category,Memo"))
+    rows, _ = routing.parse_records({"chase-credit-card": found}, [layouts.CARD_A])
+
+    def shuffles(frame):
+        return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert shuffles(rows.select("amount", "direction", "statement_period")) == 0
+    assert shuffles(rows) == 1
+    assert {r["statement_period"] for r in rows.collect()} == {"2026-01"}
+    assert rows.select("source_record_key").distinct().count() == 6
+
+
+def test_statement_periods(spark):
+    names = {"2026-1.csv": "2026-01", "2026_12_x.csv": "2026-12", "x.2026-01": None, "2026-13.csv": None, "2026-0_2.csv": None, "a 2026-1 2026-2.csv": "2026-01", "12026_05.v2.csv": "2026-05", "2026-130": None, "1999-05.csv": None, "": None}
+    frame = spark.createDataFrame([(t,) for t in names], "t string").select("t", S.statement_period("t").alias("p"))
+    assert {r["t"]: r["p"] for r in frame.collect()} == names
+    assert frame.select(S.statement_period(F.lit(None).cast("string"))).first()[0] is None
